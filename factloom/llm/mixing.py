@@ -55,14 +55,14 @@ def mix_plan(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), max_repea
     A source is cut into 16 ** order_hex ranges of its order, so that one that holds most rows is summed by many tasks.
     """
     key = F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), "source"))
-    d = docs.withColumns({"source_key": key, "size": word_count(F.col("text")), "__md5": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))})
+    d = docs.withColumns({"source_key": key, "size": word_count(F.col("text")), "__md5": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "__tie": F.xxhash64("text")})
     d = d.withColumn("__range", F.substring("__md5", 1, order_hex))
     ranges = written(d.groupBy("source_key", "__range").agg(F.sum("size").alias("range_size")), "mix-ranges")
     targets = source_targets(ranges.groupBy("source_key").agg(F.sum("range_size").alias("source_size")), weights, max_repeat)
     ahead = Window.partitionBy("source_key").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranges.withColumn("__ahead", F.coalesce(F.sum("range_size").over(ahead), F.lit(0))).drop("range_size")
     starts = starts.join(targets, "source_key")
-    within = Window.partitionBy("source_key", "__range").orderBy("__md5", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source_key", "__range").orderBy("__md5", "__tie").rowsBetween(Window.unboundedPreceding, -1)
     d = d.join(starts, ["source_key", "__range"]).withColumn("__start", F.col("__ahead") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     whole = F.round("target").cast("long")
     ramp = F.element_at(F.array(*map(F.lit, ramps)), F.col("rank") % len(ramps) + 1)
@@ -75,7 +75,7 @@ def mix_plan(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), max_repea
 
     copies = F.filter(F.array(*(copy(e) for e in range(max_repeat))), lambda c: c["words"] > 0)
     d = d.withColumn("copies", copies).withColumn("taken", F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"]))
-    return d.drop("source_key", "__range", "__md5", "__ahead", "__start", "rank")
+    return d.drop("source_key", "__range", "__md5", "__tie", "__ahead", "__start", "rank")
 
 
 def mix_sizes(docs: DataFrame, **params) -> DataFrame:

@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.llm.decontaminate import contamination
+from factloom.llm.html import extract_text
+from factloom.llm.licenses import COPYRIGHT_LINE, NOTICES, SPELLINGS, scan_licenses
 from factloom.llm.mixing import mix_sizes
+from factloom.llm.quality import quality
+from factloom.llm.secrets import scan_secrets
+from factloom.llm.tokenstore import token_store
+
+#: The vocabulary of op8, a file of the public tokenizers outside the repository.
+VOCABULARY = "word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,11 +30,56 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sizes(_table(spark, sf_dir, "documents")).drop("first_position")
 
 
+def op4_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
+
+
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store(_table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(_table(spark, sf_dir, "documents"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_mix": op2_mix,
+    "op4_extract_html": op4_extract_html,
+    "op6_quality_rules": op6_quality_rules,
+    "op8_token_store": op8_token_store,
+    "op9_secrets": op9_secrets,
+    "op10_licenses": op10_licenses,
 }
 
+def _canonical_sql(text: str) -> str:
+    """The canonical form of a licence text, in DuckDB."""
+    t = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    t = f"regexp_replace({t}, '{COPYRIGHT_LINE}', ' ', 'g')"
+    t = "' ' || trim(regexp_replace(" + t + r", '[^a-z0-9\x{80}-\x{10FFFF}]+', ' ', 'g'), ' ') || ' '"
+    for old, new in SPELLINGS:
+        t = f"replace({t}, ' {old} ', ' {new} ')"
+    return f"trim({t}, ' ')"
+
+
+def _notice_rows() -> str:
+    return ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in NOTICES)
+
+
 FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES: dict[str, str] = {
@@ -42,6 +95,13 @@ items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN covered USING (r) LEFT JOIN items USING (r)""",
+    "op10_licenses": f"""
+WITH known AS (SELECT sha256({_canonical_sql("t.text")}) AS digest, min(t.name) AS licence FROM (VALUES {_notice_rows()}) AS t(name, text) GROUP BY 1),
+d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+line AS (SELECT r, unnest(string_split(text, chr(10))) AS unit FROM d),
+hit AS (SELECT r, licence FROM line JOIN known ON digest = sha256({_canonical_sql("unit")})),
+n AS (SELECT r, count(*) AS n, string_agg(DISTINCT licence, ',' ORDER BY licence) AS names FROM hit GROUP BY r)
+SELECT doc_id, (SELECT licence FROM known WHERE digest = sha256({_canonical_sql("d.text")})) AS license, coalesce(n, 0) AS n_license_lines, coalesce(names, '') AS licenses FROM d LEFT JOIN n USING (r)""",
     "op2_mix": r"""
 WITH d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS k, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
   md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS m FROM documents),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from factloom.llm.decontaminate import contamination
 from factloom.llm.html import extract_text
+from factloom.llm.jaccard import jaccard_components
 from factloom.llm.licenses import COPYRIGHT_LINE, NOTICES, SPELLINGS, scan_licenses
 from factloom.llm.mixing import mix_sizes
 from factloom.llm.quality import quality
@@ -30,6 +31,10 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sizes(_table(spark, sf_dir, "documents")).drop("first_position")
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents")).drop("text_hash", "label")
+
+
 def op4_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_table(spark, sf_dir, "pages"))
 
@@ -59,6 +64,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_mix": op2_mix,
+    "op3_jaccard": op3_jaccard,
     "op4_extract_html": op4_extract_html,
     "op6_quality_rules": op6_quality_rules,
     "op8_token_store": op8_token_store,
@@ -95,6 +101,14 @@ items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN covered USING (r) LEFT JOIN items USING (r)""",
+    "op3_jaccard": rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all({FOLD}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+c AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY a.r, b.r),
+l AS (SELECT a, b FROM c JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+t AS (SELECT r AS a, r AS b FROM n UNION SELECT t.a, l.b FROM t JOIN l ON t.b = l.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce((SELECT min(z.doc_id) FROM t JOIN d z ON z.r = t.b WHERE t.a = d.r), d.doc_id) AS component_id FROM d LEFT JOIN n USING (r)""",
     "op10_licenses": f"""
 WITH known AS (SELECT sha256({_canonical_sql("t.text")}) AS digest, min(t.name) AS licence FROM (VALUES {_notice_rows()}) AS t(name, text) GROUP BY 1),
 d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),

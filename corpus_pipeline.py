@@ -1,23 +1,50 @@
-"""The corpus pipeline: stages that each take (spark, docs, sf_dir) and return the documents that stay."""
+"""The corpus pipeline: stages that each take (spark, docs, sf_dir); all but the last return the documents that stay."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.llm.decontaminate import decontaminate
+from factloom.llm.jaccard import keep_one
 from factloom.llm.mixing import mix
+from factloom.llm.quality import keep_good
+from factloom.llm.queries import vocabulary_path
 from factloom.llm.shared import written
+from factloom.llm.tokenstore import token_store
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the divergence reject go."""
+    return keep_good(docs)
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies stays, the one with the smallest doc_id."""
+    return keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each copy that the mix takes, in training order."""
     return mix(docs)
 
 
-STAGES = [("decontamination", decontamination), ("mixing", mixing)]
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids written to the store; what its files hold for each row."""
+    return token_store(docs, vocabulary_path())
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", jaccard_join),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources to target weights", mixing),
+    ("token-ID / binary output", token_output),
+]
 
 #: Not expressible in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
@@ -27,5 +54,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to `documents`; each stage's result is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = written(stage(spark, docs, sf_dir), "stage-" + name.split()[0])
     return STAGES[-1][1](spark, docs, sf_dir)

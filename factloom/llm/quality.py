@@ -196,41 +196,69 @@ def references(docs: DataFrame, limits: Limits) -> dict[str, tuple[np.ndarray, n
     return out
 
 
+class Verdict(NamedTuple):
+    measures: Measures
+    failed: np.ndarray
+    kept: np.ndarray
+    distances: np.ndarray  # characters, words; NaN without a verdict
+
+
+def verdicts(langs: pa.Array, texts: pa.Array, refs: dict, known: dict, limits: Limits) -> Iterator[tuple[slice, Verdict]]:
+    """The judgement of a batch, slice by slice."""
+    codes = lang_codes(langs)
+    for s in K.slices(texts):
+        n = len(s.offsets) - 1
+        rows = slice(s.first, s.first + n)
+        own = codes[rows]
+        m = measure(s, own, known)
+        failed = base_failed(m, limits)
+        distance = np.full((2, n), np.nan)
+        for i, lang in enumerate(LANGS):
+            chars, common = refs[lang]
+            fit = (own == i) & (m.n_words >= limits.guard_words) & (m.chars.sum(1) >= limits.guard_chars) & (common.sum() >= limits.reference_words)
+            if fit.any():
+                distance[0, fit] = js_distance(m.chars[fit], chars)
+                distance[1, fit] = js_distance(m.common[fit], common)
+        with np.errstate(invalid="ignore"):
+            far = (distance[0] > limits.char_distance) | ((distance[1] > limits.word_distance) & (distance[0] > limits.both_char_distance))
+        yield rows, Verdict(m, failed, ~failed & ~far, distance)
+
+
 def quality(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_distance, word_distance, lang, text.
+    """Per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_distance, word_distance.
 
     A distance is null where a guard leaves it without a verdict.
     """
     docs = plain_columns(docs, "doc_id", "lang", "text")
     small_arrow_batches(docs.sparkSession)
-    known_refs = references(docs, limits)
+    refs = references(docs, limits)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = tables()
         for batch in batches:
-            langs = lang_codes(batch.column(1))
-            for s in K.slices(batch.column(2)):
-                n = len(s.offsets) - 1
-                own = langs[s.first : s.first + n]
-                m = measure(s, own, known)
-                failed = base_failed(m, limits)
-                distance = np.full((2, n), np.nan)
-                for i, lang in enumerate(LANGS):
-                    chars, common = known_refs[lang]
-                    fit = (own == i) & (m.n_words >= limits.guard_words) & (m.chars.sum(1) >= limits.guard_chars) & (common.sum() >= limits.reference_words)
-                    if fit.any():
-                        distance[0, fit] = js_distance(m.chars[fit], chars)
-                        distance[1, fit] = js_distance(m.common[fit], common)
-                with np.errstate(invalid="ignore"):
-                    far = (distance[0] > limits.char_distance) | ((distance[1] > limits.word_distance) & (distance[0] > limits.both_char_distance))
-                longs = [pa.array(x, pa.int64()) for x in m[:5]]
-                floats = [pa.array(x, pa.float64(), mask=np.isnan(x)) for x in distance]
-                rows = slice(s.first, s.first + n)
+            for rows, v in verdicts(batch.column(1), batch.column(2), refs, known, limits):
+                longs = [pa.array(x, pa.int64()) for x in v.measures[:5]]
+                floats = [pa.array(x, pa.float64(), mask=np.isnan(x)) for x in v.distances]
                 yield pa.record_batch(
-                    [batch.column(0)[rows], *longs, pa.array(failed), pa.array(~failed & ~far), *floats],
+                    [batch.column(0)[rows], *longs, pa.array(v.failed), pa.array(v.kept), *floats],
                     names=["doc_id", *Measures._fields[:5], "base_failed", "kept", "char_distance", "word_distance"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     longs = ", ".join(f"{x} long" for x in Measures._fields[:5])
     return docs.mapInArrow(judge, f"doc_id {kind}, {longs}, base_failed boolean, kept boolean, char_distance double, word_distance double")
+
+
+def keep_good(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The documents, all columns, that the rules keep."""
+    small_arrow_batches(docs.sparkSession)
+    refs = references(plain_columns(docs, "doc_id", "lang", "text"), limits)
+    lang, text = docs.columns.index("lang"), docs.columns.index("text")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = tables()
+        for batch in batches:
+            for rows, v in verdicts(batch.column(lang), batch.column(text), refs, known, limits):
+                yield batch[rows].filter(pa.array(v.kept))
+
+    return docs.mapInArrow(judge, docs.schema)

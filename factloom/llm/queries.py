@@ -13,6 +13,7 @@ from factloom.llm.licenses import COPYRIGHT_LINE, NOTICES, SPELLINGS, scan_licen
 from factloom.llm.mixing import mix_sizes
 from factloom.llm.quality import quality
 from factloom.llm.secrets import scan_secrets
+from factloom.llm.suffixes import remove_repeats
 from factloom.llm.tokenstore import token_store
 
 #: The vocabulary of op8, a file of the public tokenizers outside the repository.
@@ -43,6 +44,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def vocabulary_path() -> str:
     import public_tokenizers
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_jaccard": op3_jaccard,
     "op4_extract_html": op4_extract_html,
     "op6_quality_rules": op6_quality_rules,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_token_store": op8_token_store,
     "op9_secrets": op9_secrets,
     "op10_licenses": op10_licenses,

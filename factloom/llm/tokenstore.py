@@ -36,14 +36,23 @@ CHUNK = {"least": 64, "mask_bits": 9, "most": 4096}
 BLOCK = 1024
 #: White space, to some tokenizers, besides the six ASCII kinds at which a text may be cut into independent pieces.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-CACHE_WORDS = 200_000
+CACHE_PIECES = 600_000
 GEAR = K.stream(21, 1 << 16)
 
 
-class WordEncoder:
-    """Encodes texts by their space-separated pieces, each distinct piece once; `word_bpe_49k` never looks across white space.
+#: Text of plain letters, digits, signs and space: ASCII and the precomposed Latin letters, all their own NFC.
+SIMPLE = re.compile("[\t-\r -~À-ÖØ-öø-įı-ſ]*")
+#: The vocabulary's own pattern, on simple text in lower case.
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ſ]+|[0-9]|[^\t-\r a-z0-9à-öø-ſ]+")
+SPACES = re.compile("[ \t-\r]+")
 
-    At most CACHE_WORDS pieces are kept.
+
+class PieceEncoder:
+    """Encodes texts by the vocabulary's pieces, each distinct piece once; `word_bpe_49k` never merges across pieces.
+
+    Simple text is cut into its pieces here, and those not seen before are encoded in one call. Other text is cut at
+    white space, and its words encoded as they are; text with odd white space or special tokens is encoded whole. At most
+    CACHE_PIECES pieces are kept, as bytes of 16-bit ids.
     """
 
     def __init__(self, path: str):
@@ -51,30 +60,43 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
+
+    def plain(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+
+    def cut(self, text: str) -> list[str]:
+        """Pieces in lower case, or, of text that isn't simple, words as they are; each has its own ids."""
+        if SIMPLE.fullmatch(text):
+            return PIECES.findall(text.lower())
+        out = []
+        for word in SPACES.split(text):
+            if SIMPLE.fullmatch(word):
+                out += PIECES.findall(word.lower())
+            else:
+                out.append(word)
+        return out
+
+    def learn(self, new: list[str]) -> None:
+        simple = [w for w in new if SIMPLE.fullmatch(w)]
+        self.known.update((w, self.plain(w)) for w in new if not SIMPLE.fullmatch(w))
+        for i in range(0, len(simple), 2000):
+            part = simple[i : i + 2000]
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            edge = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(part) + 1)).tolist()
+            raw = np.array(e.ids, "<u2").tobytes()
+            self.known.update((w, raw[2 * a : 2 * b]) for w, a, b in zip(part, edge, edge[1:]))
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, each with the end id, and the number of each."""
-        pieces = []
-        for text in texts:
-            if text and ODD_SPACE.search(text):
-                pieces.append(None)
-            else:
-                pieces.append(text.split() if text else [])
-        new = list(set(chain.from_iterable(p for p in pieces if p)) - self.known.keys())
-        if len(self.known) + len(new) > CACHE_WORDS:
+        cut = [[] if not text else None if "<|" in text or ODD_SPACE.search(text) else self.cut(text) for text in texts]
+        every = set(chain.from_iterable(p for p in cut if p))
+        if len(self.known) + len(every) > CACHE_PIECES:
             self.known.clear()
-            new = list(set(chain.from_iterable(p for p in pieces if p)))
-        for word, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.known[word] = e.ids
-        find = self.known.__getitem__
-        out, sizes = [], np.empty(len(texts), np.int64)
-        for i, p in enumerate(pieces):
-            ids = self.tokenizer.encode(texts[i], add_special_tokens=False).ids if p is None else list(chain.from_iterable(map(find, p)))
-            ids.append(END_ID)
-            sizes[i] = len(ids)
-            out.append(np.array(ids, np.uint16))
-        return np.concatenate(out) if out else np.zeros(0, np.uint16), sizes
+        self.learn(list(every - self.known.keys()))
+        find, end = self.known.__getitem__, np.array([END_ID], "<u2").tobytes()
+        out = [(self.plain(text) if p is None else b"".join(map(find, p))) + end for text, p in zip(texts, cut)]
+        return np.frombuffer(b"".join(out), "<u2"), np.array([len(x) // 2 for x in out], np.int64)
 
 
 def cuts(ids: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
@@ -105,7 +127,7 @@ def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Per document: doc_id, n_tokens, digests, chunks (the ids as bytes)."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder(vocabulary)
+        encode = PieceEncoder(vocabulary)
         for batch in batches:
             ids, sizes = encode(batch.column(1).to_pylist())
             digests, chunks, begin = [], [], 0

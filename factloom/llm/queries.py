@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from factloom.llm.decontaminate import contamination
 from factloom.llm.html import extract_text
 from factloom.llm.jaccard import jaccard_components
+from factloom.llm.language_model import score_documents
 from factloom.llm.licenses import COPYRIGHT_LINE, NOTICES, SPELLINGS, scan_licenses
 from factloom.llm.mixing import mix_sizes
 from factloom.llm.quality import quality
@@ -40,6 +41,10 @@ def op4_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_table(spark, sf_dir, "pages"))
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
 
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix": op2_mix,
     "op3_jaccard": op3_jaccard,
     "op4_extract_html": op4_extract_html,
+    "op5_language_model": op5_language_model,
     "op6_quality_rules": op6_quality_rules,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_token_store": op8_token_store,

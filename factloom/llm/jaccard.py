@@ -183,8 +183,31 @@ def shared_tokens(parts: DataFrame) -> DataFrame:
     return parts.mapInArrow(part, "token long, grp long, sid long, n long")
 
 
+def sketch(h: np.ndarray) -> bytes:
+    """Counts of a set's hashes by their leading bits, up to 3 in 2 bits each, and how many more there are.
+
+    A byte says how many bits lead (2 ** bits is the set's size or a bit more), four bytes hold the excess.
+    """
+    bits = max(3, int(len(h) - 1).bit_length())
+    count = np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    low = np.minimum(count, 3)
+    packed = (low.reshape(-1, 4) << np.array([0, 2, 4, 6])).sum(1).astype(np.uint8)
+    return bytes([bits]) + int((count - low).sum()).to_bytes(4, "little") + packed.tobytes()
+
+
+def most_common(x: bytes, y: bytes) -> int:
+    """At least as many as two sets share, from their sketches."""
+    counts = []
+    for z in (x, y):
+        counts.append(((np.frombuffer(z, np.uint8, offset=5)[:, None] >> np.array([0, 2, 4, 6])) & 3).ravel())
+    a, b = counts
+    n = min(len(a), len(b))
+    a, b = a.reshape(n, -1).sum(1), b.reshape(n, -1).sum(1)
+    return int(np.minimum(a, b).sum()) + int.from_bytes(x[1:5], "little") + int.from_bytes(y[1:5], "little")
+
+
 def candidate_sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
-    """(sid, n, members) of each wanted set: its hashes as bytes. wanted: doc_id, text_hash, sid, a row for each set."""
+    """(sid, size, sketch, members) of each wanted set: its hashes as bytes. wanted: doc_id, text_hash, sid, a row for each set."""
     few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     hint = F.broadcast if few else (lambda x: x)
     d = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
@@ -195,30 +218,44 @@ def candidate_sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             for s in K.slices(batch.column(1)):
                 h, offsets = K.shingle_sets(s, width)
-                sets = [h[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
-                yield pa.record_batch([batch.column(0)[s.first : s.first + len(sets)], pa.array(sets, pa.binary())], names=["sid", "members"])
+                sets = [h[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+                columns = [pa.array(np.diff(offsets)), pa.array([sketch(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())]
+                yield pa.record_batch([batch.column(0)[s.first : s.first + len(sets)], *columns], names=["sid", "size", "sketch", "members"])
 
-    return chosen.mapInArrow(part, "sid long, members binary").dropDuplicates(["sid"])
+    return chosen.mapInArrow(part, "sid long, size long, sketch binary, members binary")
+
+
+def _paired(pairs: DataFrame, sets: DataFrame, value: str) -> DataFrame:
+    left = sets.select(F.col("sid").alias("a"), F.col("size").alias("m"), F.col(value).alias("x"))
+    right = sets.select(F.col("sid").alias("b"), F.col("size").alias("n"), F.col(value).alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "m", "n", "x", "y")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of sets whose similarity is high enough, on whole sets."""
-    left = sets.select(F.col("sid").alias("a"), F.col("members").alias("x"))
-    right = sets.select(F.col("sid").alias("b"), F.col("members").alias("y"))
-    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    """Those of the pairs (a, b) of sets whose similarity is high enough: by what sketches leave possible, then on whole sets."""
 
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            on = []
+            for m, n, x, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6))):
+                common = min(most_common(x, y), m, n)
+                on.append(100 * common >= percent * (m + n - common))
+            yield pa.record_batch(batch.columns[:2], names=["a", "b"]).filter(pa.array(on, pa.bool_()))
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             on = []
-            for x, y in zip(batch.column(2), batch.column(3)):
+            for x, y in zip(batch.column(4), batch.column(5)):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
                 on.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(on, pa.bool_()))
+            yield pa.record_batch(batch.columns[:2], names=["a", "b"]).filter(pa.array(on, pa.bool_()))
 
-    return rows.mapInArrow(part, "a long, b long")
+    # Rows that repeat a document repeat its set, so its pairs, too.
+    left = _paired(pairs, sets, "sketch").mapInArrow(possible, "a long, b long").distinct()
+    return _paired(left, sets, "members").mapInArrow(exact, "a long, b long").distinct()
 
 
 def _fits(a: str, b: str, percent: int):

@@ -46,6 +46,7 @@ BITMAP_BITS = 27
 RANGE_ENTRIES = 600_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 U64 = np.uint64
+PLACE = np.dtype([("a", "<i8"), ("b", "<i4")])
 ENTRY = np.dtype([("h", "<u8"), ("a", "<i8"), ("b", "<i4")])
 
 
@@ -273,19 +274,33 @@ def held_by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list
         yield held.popitem()
 
 
-def packed_places(a: np.ndarray, b: np.ndarray, key: str) -> pa.RecordBatch:
-    """Rows (key, places): the places of each key as bytes."""
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order].astype("<i4")
-    edge = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1], [True]])) if len(a) else np.zeros(1, np.int64)
-    return pa.record_batch([pa.array(a[edge[:-1]]), pa.array([b[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:])], pa.binary())], names=[key, "places"])
+def packed_pairs(a: np.ndarray, b: np.ndarray, buckets: int) -> tuple[pa.Array, pa.Array]:
+    """Places of keys, packed by a bucket of the key: one row for each bucket, however many keys there are."""
+    pairs = np.empty(len(a), PLACE)
+    pairs["a"], pairs["b"] = a, b
+    bucket = (K.mix(a.view(U64)) % U64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    pairs, full = pairs[order], np.flatnonzero(np.diff(edge))
+    return pa.array(full.astype(np.int32)), pa.array([pairs[edge[k] : edge[k + 1]].tobytes() for k in full], pa.binary())
+
+
+def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, pairs) to a row (key, places) for each key."""
+    for _, blobs in held_by_range(batches):
+        pairs = np.frombuffer(b"".join(blobs), PLACE)
+        pairs = pairs[np.lexsort((pairs["b"], pairs["a"]))]
+        a, b = pairs["a"], np.ascontiguousarray(pairs["b"])
+        edge = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1], [True]]))
+        yield pa.record_batch([pa.array(np.ascontiguousarray(a[edge[:-1]])), pa.array([b[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:])], pa.binary())], names=["key", "places"])
 
 
 def answered(source: DataFrame, entries: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], ranges: int) -> DataFrame:
-    """(key, places): entries whose name is at two places, and of whose name some entry has b's lowest bit set (it asks).
+    """(key, places), a row for each key: entries whose name is at two places, and of whose name some entry asks (b's lowest bit).
 
     A place is b >> 1. Entries of one name that meet within a task are answered there, and one of them speaks for all.
     """
+    names = ["range", "entries", "bucket", "pairs"]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> Iterator[pa.RecordBatch]:
@@ -297,14 +312,13 @@ def answered(source: DataFrame, entries: Callable[[Iterator[pa.RecordBatch]], It
             np.logical_or.at(asks, group, e["b"] & 1 == 1)
             settled = twice & asks[group]
             # A name that meets here and asks is answered; others may yet meet or be asked for elsewhere.
-            out = packed_places(e["a"][settled], e["b"][settled] >> 1, "key")
-            nothing = pa.nulls(out.num_rows, pa.int32()), pa.nulls(out.num_rows, pa.binary())
-            yield pa.record_batch([*nothing, *out.columns], names=["range", "entries", "key", "places"])
+            bucket, pairs = packed_pairs(np.ascontiguousarray(e["a"][settled]), e["b"][settled] >> 1, ranges)
+            yield pa.record_batch([pa.nulls(len(bucket), pa.int32()), pa.nulls(len(bucket), pa.binary()), bucket, pairs], names=names)
             speaker = e[settled & first].copy()
             speaker["b"] = -1  # lowest bit set: it asks, and stands for two places
             full, blobs = dealt(np.concatenate([e[~settled], speaker]), ranges)
             k = len(blobs)
-            yield pa.record_batch([pa.array(full.astype(np.int32)), pa.array(blobs, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], names=["range", "entries", "key", "places"])
+            yield pa.record_batch([pa.array(full.astype(np.int32)), pa.array(blobs, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
 
         held, size = [], 0
         for e in entries(batches):
@@ -321,8 +335,7 @@ def answered(source: DataFrame, entries: Callable[[Iterator[pa.RecordBatch]], It
             for batch in batches:
                 done = pa.compute.is_valid(batch.column(2))
                 if pa.compute.any(done).as_py():
-                    rows = batch.filter(done)
-                    through.append(pa.record_batch(rows.columns[2:], names=["key", "places"]))
+                    through.append(pa.record_batch(batch.filter(done).columns[2:], names=names[2:]))
                 yield batch.filter(pa.compute.invert(done)).select([0, 1])
 
         through: list[pa.RecordBatch] = []
@@ -336,11 +349,11 @@ def answered(source: DataFrame, entries: Callable[[Iterator[pa.RecordBatch]], It
             np.logical_or.at(stands, group, e["b"] == -1)
             on = (twice | stands[group]) & asks[group] & (e["b"] != -1)
             if on.any():
-                yield packed_places(e["a"][on], e["b"][on] >> 1, "key")
+                yield pa.record_batch(list(packed_pairs(np.ascontiguousarray(e["a"][on]), e["b"][on] >> 1, ranges)), names=names[2:])
         yield from through
 
-    where = F.coalesce("range", F.pmod("key", F.lit(ranges)).cast("int"))
-    return source.mapInArrow(send, "range int, entries binary, key long, places binary").repartition(ranges, where).mapInArrow(meet, "key long, places binary")
+    met = source.mapInArrow(send, "range int, entries binary, bucket int, pairs binary").repartition(ranges, F.coalesce("range", "bucket"))
+    return met.mapInArrow(meet, "bucket int, pairs binary").repartition(ranges, "bucket").mapInArrow(by_key, "key long, places binary")
 
 
 def sampled(n: int) -> np.ndarray:
@@ -440,7 +453,7 @@ def repeated_starts(docs: DataFrame, size: int) -> DataFrame:
                 ask = count[np.minimum(p + 1, n)] > count[np.minimum(np.maximum(p - v + 1, 0), n)]
                 yield entries_of(Rolling(buf).at(p, name), np.full(len(p), ids[i]), (p << 1) | ask)
 
-    named = answered(pieces.select("id", "piece", "unsettled"), samples, ranges).groupBy("key").agg(F.collect_list("places").alias("places"))
+    named = answered(pieces.select("id", "piece", "unsettled"), samples, ranges)
     open_pieces = pieces.join(named.withColumnRenamed("key", "id"), "id").select("id", "key", "first", "piece", "unsettled", "places")
 
     def remaining(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -449,7 +462,7 @@ def repeated_starts(docs: DataFrame, size: int) -> DataFrame:
             for i, piece in enumerate(batch.column(3)):
                 buf = np.frombuffer(piece.as_buffer(), np.uint8)
                 n = len(buf) - size + 1
-                p = np.frombuffer(b"".join(places[i]), "<i4").astype(np.int64)
+                p = np.frombuffer(places[i], "<i4").astype(np.int64)
                 p = p[p - v + 1 < n]
                 at = np.flatnonzero(filled(np.maximum(p - v + 1, 0), np.minimum(p, n - 1), n))
                 ask = questions(batch, 4, n, i)[at]

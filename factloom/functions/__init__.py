@@ -1 +1 @@
-"""Functions of the fact engine."""
+"""Scalar functions on columns, all JVM-side, and helpers that build patterns on the driver."""

@@ -1 +1 @@
-"""Plans of the fact engine."""
+"""Plans: durable intermediate tables, the query catalogue and its SQL."""

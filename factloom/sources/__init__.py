@@ -1 +1 @@
-"""Sources of the fact engine."""
+"""Sources: repositories, driver tables as facts, and JSON lines."""

@@ -21,7 +21,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,69 +36,115 @@ CHUNK = {"least": 64, "mask_bits": 9, "most": 4096}
 BLOCK = 1024
 #: White space, to some tokenizers, besides the six ASCII kinds at which a text may be cut into independent pieces.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-CACHE_PIECES = 600_000
+CACHE_PIECES = 800_000
 GEAR = K.stream(21, 1 << 16)
 
 
-#: Text of plain letters, digits, signs and space: ASCII and the precomposed Latin letters, all their own NFC.
-SIMPLE = re.compile("[\t-\r -~À-ÖØ-öø-įı-ſ]*")
-#: The vocabulary's own pattern, on simple text in lower case.
-PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ſ]+|[0-9]|[^\t-\r a-z0-9à-öø-ſ]+")
+#: Text of plain letters, digits, signs and space: ASCII and the precomposed Latin letters, all their own NFC. There, a
+#: byte from 0x80 is always of a letter. An apostrophe may begin a contraction, so text with one isn't plain.
+PLAIN = re.compile("[\t-\r -&(-~À-ÖØ-öø-įı-ſ]*")
 SPACES = re.compile("[ \t-\r]+")
+SPACE, LETTER, DIGIT, SIGN = 0, 1, 2, 3
+KIND = np.full(256, SIGN, np.uint8)
+KIND[K.SPACE] = SPACE
+KIND[ord("a") : ord("z") + 1] = LETTER
+KIND[0x80:] = LETTER
+KIND[ord("0") : ord("9") + 1] = DIGIT
 
 
 class PieceEncoder:
     """Encodes texts by the vocabulary's pieces, each distinct piece once; `word_bpe_49k` never merges across pieces.
 
-    Simple text is cut into its pieces here, and those not seen before are encoded in one call. Other text is cut at
-    white space, and its words encoded as they are; text with odd white space or special tokens is encoded whole. At most
-    CACHE_PIECES pieces are kept, as bytes of 16-bit ids.
+    Plain text is folded and cut here: letters in a row, single digits, other signs in a row; pieces not seen before are
+    encoded in one call. Other text is cut at white space into words, or, with odd white space or special tokens, not at
+    all, and encoded as it is. About CACHE_PIECES pieces are kept, by 64-bit hash, as bytes of 16-bit ids.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def plain(self, text: str) -> bytes:
+        #: The same vocabulary for pieces that are already folded and cut.
+        self.cut_tokenizer = Tokenizer.from_file(path)
+        self.cut_tokenizer.normalizer = None
+        self.cut_tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.known: dict[int, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def as_it_is(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def cut(self, text: str) -> list[str]:
-        """Pieces in lower case, or, of text that isn't simple, words as they are; each has its own ids."""
-        if SIMPLE.fullmatch(text):
-            return PIECES.findall(text.lower())
-        out = []
-        for word in SPACES.split(text):
-            if SIMPLE.fullmatch(word):
-                out += PIECES.findall(word.lower())
-            else:
-                out.append(word)
-        return out
-
-    def learn(self, new: list[str]) -> None:
-        simple = [w for w in new if SIMPLE.fullmatch(w)]
-        self.known.update((w, self.plain(w)) for w in new if not SIMPLE.fullmatch(w))
-        for i in range(0, len(simple), 2000):
-            part = simple[i : i + 2000]
-            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            edge = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(part) + 1)).tolist()
+    def other(self, text: str) -> bytes:
+        """Ids of a text that isn't plain."""
+        if "<|" in text or ODD_SPACE.search(text):
+            return self.as_it_is(text)
+        words = SPACES.split(text)
+        if len(self.words) > CACHE_PIECES // 4:
+            self.words.clear()
+        for w in set(words) - self.words.keys():
+            self.words[w] = self.as_it_is(w) if w else b""
+        return b"".join(map(self.words.__getitem__, words))
+
+    def learn(self, keys: list[int], pieces: list[str]) -> None:
+        for i in range(0, len(pieces), 2000):
+            part = pieces[i : i + 2000]
+            e = self.cut_tokenizer.encode(" ".join(part), add_special_tokens=False)
+            owner = np.array(e.word_ids, np.int64)
+            if owner[-1] + 1 != len(part):
+                raise ValueError("a piece was cut again")
+            edge = np.searchsorted(owner, np.arange(len(part) + 1)).tolist()
             raw = np.array(e.ids, "<u2").tobytes()
-            self.known.update((w, raw[2 * a : 2 * b]) for w, a, b in zip(part, edge, edge[1:]))
+            self.known.update((k, raw[2 * a : 2 * b]) for k, a, b in zip(keys[i : i + 2000], edge, edge[1:]))
+
+    def plain(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of plain texts in lower case."""
+        for s in K.slices(pa.array(texts, pa.string())):
+            kind = KIND[s.buf]
+            n = len(s.offsets) - 1
+            edge = np.zeros(len(kind) + 1, bool)
+            edge[s.offsets] = True
+            inside = kind != SPACE
+            turn = np.concatenate([[True], kind[1:] != kind[:-1]]) | edge[:-1] | (kind == DIGIT) if len(kind) else np.zeros(0, bool)
+            start = np.flatnonzero(turn & inside)
+            stop = np.concatenate([turn[1:], [True]]) | ~inside if len(kind) else turn
+            end = np.flatnonzero(stop & inside) + 1
+            if not len(start):
+                yield from [b""] * n
+                continue
+            h, first, inverse = np.unique(K.span_hash(s.buf, inside, start, end, False), return_index=True, return_inverse=True)
+            keys = h.tolist()
+            new = [i for i, k in enumerate(keys) if k not in self.known]
+            if len(self.known) + len(new) > CACHE_PIECES:
+                self.known = {k: self.known[k] for k in keys if k in self.known}
+            raw = s.buf.tobytes()
+            at, to = start[first].tolist(), end[first].tolist()
+            self.learn([keys[i] for i in new], [raw[at[i] : to[i]].decode() for i in new])
+            ids = [self.known[k] for k in keys]
+            size = np.array([len(x) // 2 for x in ids])
+            begin = np.cumsum(size) - size
+            each = size[inverse]
+            ahead = np.cumsum(each) - each
+            flat = np.frombuffer(b"".join(ids), "<u2")[np.repeat(begin[inverse] - ahead, each) + np.arange(int(each.sum()))].tobytes()
+            total = np.concatenate([[0], np.cumsum(each)])
+            cut = 2 * total[np.searchsorted(start, s.offsets)]
+            yield from (flat[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()))
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, each with the end id, and the number of each."""
-        cut = [[] if not text else None if "<|" in text or ODD_SPACE.search(text) else self.cut(text) for text in texts]
-        every = set(chain.from_iterable(p for p in cut if p))
-        if len(self.known) + len(every) > CACHE_PIECES:
-            self.known.clear()
-        self.learn(list(every - self.known.keys()))
-        find, end = self.known.__getitem__, np.array([END_ID], "<u2").tobytes()
-        out = [(self.plain(text) if p is None else b"".join(map(find, p))) + end for text, p in zip(texts, cut)]
+        plain = [text is None or "<|" not in text and PLAIN.fullmatch(text) is not None for text in texts]
+        done = self.plain([text.lower() if text else "" for text, p in zip(texts, plain) if p])
+        end = np.array([END_ID], "<u2").tobytes()
+        out = [(next(done) if p else self.other(text)) + end for text, p in zip(texts, plain)]
         return np.frombuffer(b"".join(out), "<u2"), np.array([len(x) // 2 for x in out], np.int64)
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> PieceEncoder:
+    """One for each worker, kept from task to task."""
+    return PieceEncoder(path)
+
+
 def cuts(ids: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
     """Ends of the chunks of each document, within the document: a gear hash of the last 16 ids picks them."""
     with np.errstate(over="ignore"):
@@ -127,7 +173,7 @@ def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Per document: doc_id, n_tokens, digests, chunks (the ids as bytes)."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = PieceEncoder(vocabulary)
+        encode = encoder(vocabulary)
         for batch in batches:
             ids, sizes = encode(batch.column(1).to_pylist())
             digests, chunks, begin = [], [], 0

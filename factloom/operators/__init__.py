@@ -1 +1 @@
-"""Operators of the fact engine."""
+"""Operators on the generic tables: nodes, edges, files, hashes, diagnostics and records."""

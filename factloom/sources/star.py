@@ -6,6 +6,8 @@ n-th order: it is what the fact graph is defined over, not a shortcut of a query
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 SAMPLE = 20
@@ -54,17 +56,20 @@ NEEDS = {
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view, or a driver table, as a DataFrame."""
+    """A view, or a driver table, as a DataFrame; nothing is registered in the session's catalogue."""
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    parts = {n: view(spark, sf_dir, n) for n in NEEDS[name]}
-    sql = VIEWS[name]
-    for n in parts:
-        sql = _named(sql, n)
-    return spark.sql(sql, **parts)
-
+    sql = VIEWS[name].replace("{", "{{").replace("}", "}}")
+    for n in NEEDS[name]:
+        sql = re.sub(rf"\b(FROM|JOIN) {n}\b", rf"\1 {{{n}}}", sql)
+    return spark.sql(sql, **{n: view(spark, sf_dir, n) for n in NEEDS[name]})
 
-def _named(sql: str, table: str) -> str:
-    import re
 
-    return re.sub(rf"\b(FROM|JOIN) {table}\b", rf"\1 {{{table}}}", sql.replace("{", "{{").replace("}", "}}")) if "{" + table + "}" not in sql else sql
+def oracle_views() -> str:
+    """The views as a WITH clause for DuckDB, without the word WITH."""
+    out = []
+    for name, sql in VIEWS.items():
+        sql = sql.replace("CAST(NULL AS STRING)", "CAST(NULL AS VARCHAR)")
+        sql = re.sub(r"sha2\((concat\([^()]*\)|\w+), 256\)", r"sha256(\1)", sql)
+        out.append(f"{name} AS ({sql})")
+    return ",\n".join(out)

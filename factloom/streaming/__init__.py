@@ -1 +1 @@
-"""Streaming of the fact engine."""
+"""Streams: latency records by window, and snapshots kept up to date."""

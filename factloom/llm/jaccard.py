@@ -7,8 +7,10 @@ prefixes meet as groups, in ranges of the hash, so that a shingle of one group a
 filtered by size, then expanded to members and verified exactly on whole sets.
 
 Links between documents that are already connected aren't needed for components. So each shingle first links its
-groups to one of them, and each group its members to one of them, which is linear; what is left is every pair of groups
-with a common shingle and different components. Nothing is capped: a pair that could link two components is verified.
+groups to two of them, and each group its members to one of them, which is linear; then members outside a shingle's
+largest component probe some of its members, for a few turns, which is linear, too. What is left is every pair of
+members with a common shingle and different components. Nothing is capped: a pair that could link two components is
+verified, first by sketches that never lose a link, then on whole sets.
 
 Shingle and set hashes have 64 bits; two of a million different texts meet by chance about once in 40 million corpora.
 
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import kernel as K
@@ -32,12 +34,17 @@ from factloom.llm.components import components
 from factloom.llm.shared import plain_columns, small_arrow_batches, written
 
 #: Shingles that come last in the order: found as repeated within a task, and then this often overall.
-OFTEN, OFTEN_IN_TASK, OFTEN_MOST = 64, 3, 400_000
+OFTEN, OFTEN_IN_TASK, OFTEN_MOST = 32, 2, 400_000
 #: Shingles looked at together for that; bounds a worker's memory.
 TASK_SHINGLES = 2_000_000
 #: Prefix entries in a range of the hash; one task works on a few ranges.
 RANGE_ENTRIES = 600_000
 BROADCAST_IDS = 1_000_000
+PARITY_LONGS = 4
+PARITY = [f"parity{i}" for i in range(PARITY_LONGS)]
+ENTRY = np.dtype([("token", "<u8"), ("grp", "<u8"), ("pos", "<u4")])
+#: Turns of probing before all that is left is compared.
+PROBES = 2
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
@@ -53,7 +60,10 @@ def set_ids(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def document_sets(docs: DataFrame, width: int) -> DataFrame:
-    """Rows (doc_id, text_hash, sid, n) of documents, and rows (token, times) of shingles that repeat within a task."""
+    """Rows (doc_id, text_hash, sid, n, sketch) of documents, and rows (token, times) of shingles that repeat within a task.
+
+    Only the first copy of a set in a task has its sketch.
+    """
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen = [], 0, set()
@@ -63,19 +73,19 @@ def document_sets(docs: DataFrame, width: int) -> DataFrame:
             token, times = np.unique(np.concatenate(held), return_counts=True)
             on = times >= OFTEN_IN_TASK
             n = int(on.sum())
-            return pa.record_batch([null(n, id_type), null(n, pa.int64()), null(n, pa.int64()), null(n, pa.int64()), pa.array(token[on].view(np.int64)), pa.array(times[on].astype(np.int64))], names=names)
+            return pa.record_batch([null(n, id_type), null(n, pa.int64()), null(n, pa.int64()), null(n, pa.int64()), null(n, pa.binary()), *[null(n, pa.int64())] * PARITY_LONGS, pa.array(token[on].view(np.int64)), pa.array(times[on].astype(np.int64))], names=names)
 
-        names = ["doc_id", "text_hash", "sid", "n", "token", "times"]
+        names = ["doc_id", "text_hash", "sid", "n", "sketch", *PARITY, "token", "times"]
         for batch in batches:
             id_type = batch.column(0).type
             for s in K.slices(batch.column(2)):
                 h, offsets = K.shingle_sets(s, width)
                 sid, n = set_ids(h, offsets), np.diff(offsets)
                 rows = slice(s.first, s.first + len(n))
-                yield pa.record_batch([batch.column(0)[rows], batch.column(1)[rows], pa.array(sid.view(np.int64)), pa.array(n), null(len(n), pa.int64()), null(len(n), pa.int64())], names=names)
                 # Copies of one set count once here: they are one document of the join.
-                new = np.array([x not in seen for x in sid.tolist()], bool)
-                seen.update(sid.tolist())
+                new = np.array([x not in seen and seen.add(x) is None for x in sid.tolist()], bool)
+                sketches = pa.array([sketch(h[a:b]) if x and b > a else None for x, a, b in zip(new, offsets[:-1], offsets[1:])], pa.binary())
+                yield pa.record_batch([batch.column(0)[rows], batch.column(1)[rows], pa.array(sid.view(np.int64)), pa.array(n), sketches, *map(pa.array, parity(h, offsets).T), null(len(n), pa.int64()), null(len(n), pa.int64())], names=names)
                 held.append(h[np.repeat(new, n)])
                 size += len(held[-1])
                 if size > TASK_SHINGLES:
@@ -85,7 +95,18 @@ def document_sets(docs: DataFrame, width: int) -> DataFrame:
             yield often()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(part, f"doc_id {kind}, text_hash long, sid long, n long, token long, times long")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(part, f"doc_id {kind}, text_hash long, sid long, n long, sketch binary, {', '.join(f'{p} long' for p in PARITY)}, token long, times long")
+
+
+def parity(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Per set, 256 bits as longs: whether the number of its hashes in each of 256 classes is odd.
+
+    Each hash that only one of two sets has turns one bit, so the bits that differ are never more than those hashes.
+    """
+    n, bits = len(offsets) - 1, 64 * PARITY_LONGS
+    doc = np.repeat(np.arange(n), np.diff(offsets))
+    odd = np.bincount(doc * bits + ((h >> np.uint64(20)) % np.uint64(bits)).astype(np.int64), minlength=n * bits) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n, bits), axis=1).view(np.int64) if n else np.zeros((0, PARITY_LONGS), np.int64)
 
 
 def often_tokens(sets: DataFrame) -> np.ndarray:
@@ -99,14 +120,14 @@ def often_tokens(sets: DataFrame) -> np.ndarray:
 
 
 def prefix_parts(docs: DataFrame, width: int, percent: int, last: np.ndarray, ranges: int) -> DataFrame:
-    """Rows (range, entries): prefix entries (token, group) packed as bytes; and rows (group, sid) with range -1."""
+    """Rows (range, entries): prefix entries (token, group, place in the order) packed as bytes; and rows (group, sid, n) with range -1."""
     spread = docs.sparkSession.sparkContext.broadcast(last)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, seen, groups = spread.value, set(), set()
         names = ["range", "entries", "grp", "sid", "n"]
         for batch in batches:
-            tokens, owners, members = [], [], []
+            found, members = [np.zeros(0, ENTRY)], []
             for s in K.slices(batch.column(0)):
                 h, offsets = K.shingle_sets(s, width)
                 n = np.diff(offsets)
@@ -133,13 +154,14 @@ def prefix_parts(docs: DataFrame, width: int, percent: int, last: np.ndarray, ra
                 if len(seen) > 1_000_000:
                     seen, groups = set(), set()
                 on = first & np.repeat(keep, n)
-                tokens.append(h[on])
-                owners.append(np.repeat(group, n)[on])
-            token, owner = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (tokens, owners))
-            where = ((token >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+                e = np.empty(int(on.sum()), ENTRY)
+                e["token"], e["grp"], e["pos"] = h[on], np.repeat(group, n)[on], place[on]
+                found.append(e)
+            both = np.concatenate(found)
+            where = ((both["token"] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(where, kind="stable")
             edge = np.searchsorted(where[order], np.arange(ranges + 1))
-            both = np.stack([token[order], owner[order]], 1)
+            both = both[order]
             full = np.flatnonzero(np.diff(edge))
             blobs = [both[edge[r] : edge[r + 1]].tobytes() for r in full]
             k, m = len(blobs), len(members)
@@ -153,34 +175,34 @@ def prefix_parts(docs: DataFrame, width: int, percent: int, last: np.ndarray, ra
 
 
 def shared_tokens(parts: DataFrame) -> DataFrame:
-    """Entries (token, grp) whose token is in the prefix of two groups or more; rows (grp, sid, n) of members go through."""
+    """Entries (token, grp, pos) whose token is in the prefix of two groups or more; rows (grp, sid, n) of members go through."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["token", "grp", "sid", "n"]
+        names = ["token", "grp", "pos", "sid", "n"]
         held: dict[int, list[bytes]] = {}
         for batch in batches:
             member = pa.compute.is_valid(batch.column(3))
             if pa.compute.any(member).as_py():
                 rows = batch.filter(member)
-                yield pa.record_batch([pa.nulls(rows.num_rows, pa.int64()), *rows.columns[2:]], names=names)
+                yield pa.record_batch([pa.nulls(rows.num_rows, pa.int64()), rows.column(2), pa.nulls(rows.num_rows, pa.int64()), *rows.columns[3:]], names=names)
             rows = batch.filter(pa.compute.invert(member))
             for r, x in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
                 held.setdefault(r, []).append(x)
         while held:
-            both = np.frombuffer(b"".join(held.popitem()[1]), np.uint64).reshape(-1, 2)
-            both = both[np.lexsort((both[:, 1], both[:, 0]))]
-            new = np.ones(len(both), bool)
-            new[1:] = (both[1:] != both[:-1]).any(1)
-            both = both[new]
-            same = both[1:, 0] == both[:-1, 0]
-            on = np.zeros(len(both), bool)
+            e = np.frombuffer(b"".join(held.popitem()[1]), ENTRY)
+            e = e[np.lexsort((e["grp"], e["token"]))]
+            new = np.ones(len(e), bool)
+            new[1:] = e[1:] != e[:-1]
+            e = e[new]
+            same = e["token"][1:] == e["token"][:-1]
+            on = np.zeros(len(e), bool)
             on[1:] |= same
             on[:-1] |= same
-            out = np.ascontiguousarray(both[on]).view(np.int64)
-            null = pa.nulls(len(out), pa.int64())
-            yield pa.record_batch([pa.array(out[:, 0]), pa.array(out[:, 1]), null, null], names=names)
+            out = [pa.array(np.ascontiguousarray(e[k][on]).astype(np.uint64).view(np.int64)) for k in ("token", "grp", "pos")]
+            null = pa.nulls(int(on.sum()), pa.int64())
+            yield pa.record_batch([*out, null, null], names=names)
 
-    return parts.mapInArrow(part, "token long, grp long, sid long, n long")
+    return parts.mapInArrow(part, "token long, grp long, pos long, sid long, n long")
 
 
 def sketch(h: np.ndarray) -> bytes:
@@ -206,8 +228,8 @@ def most_common(x: bytes, y: bytes) -> int:
     return int(np.minimum(a, b).sum()) + int.from_bytes(x[1:5], "little") + int.from_bytes(y[1:5], "little")
 
 
-def candidate_sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
-    """(sid, size, sketch, members) of each wanted set: its hashes as bytes. wanted: doc_id, text_hash, sid, a row for each set."""
+def whole_sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
+    """(sid, members): hashes as bytes of wanted sets. wanted: doc_id, text_hash, sid, a row for each set."""
     few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     hint = F.broadcast if few else (lambda x: x)
     d = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
@@ -218,48 +240,65 @@ def candidate_sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             for s in K.slices(batch.column(1)):
                 h, offsets = K.shingle_sets(s, width)
-                sets = [h[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
-                columns = [pa.array(np.diff(offsets)), pa.array([sketch(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())]
-                yield pa.record_batch([batch.column(0)[s.first : s.first + len(sets)], *columns], names=["sid", "size", "sketch", "members"])
+                sets = [h[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
+                yield pa.record_batch([batch.column(0)[s.first : s.first + len(sets)], pa.array(sets, pa.binary())], names=["sid", "members"])
 
-    return chosen.mapInArrow(part, "sid long, size long, sketch binary, members binary")
+    return chosen.mapInArrow(part, "sid long, members binary")
 
 
-def _paired(pairs: DataFrame, sets: DataFrame, value: str) -> DataFrame:
-    left = sets.select(F.col("sid").alias("a"), F.col("size").alias("m"), F.col(value).alias("x"))
-    right = sets.select(F.col("sid").alias("b"), F.col("size").alias("n"), F.col(value).alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "m", "n", "x", "y")
+def _paired(pairs: DataFrame, sets: DataFrame, *values: str) -> DataFrame:
+    left = sets.select(F.col("sid").alias("a"), *(F.col(v).alias(f"{v}_a") for v in values))
+    right = sets.select(F.col("sid").alias("b"), *(F.col(v).alias(f"{v}_b") for v in values))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", *(f"{v}_{k}" for v in values for k in "ab"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of sets whose similarity is high enough: by what sketches leave possible, then on whole sets."""
+class Verifier:
+    """Tells which pairs of sets link: by what sketches leave possible, then on the whole sets of those that are left."""
 
-    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            on = []
-            for m, n, x, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6))):
-                common = min(most_common(x, y), m, n)
-                on.append(100 * common >= percent * (m + n - common))
-            yield pa.record_batch(batch.columns[:2], names=["a", "b"]).filter(pa.array(on, pa.bool_()))
+    def __init__(self, docs: DataFrame, own: DataFrame, width: int, percent: int):
+        self.docs, self.width, self.percent = docs, width, percent
+        self.rows = own.groupBy("sid").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("n").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch"), *(F.first(p).alias(p) for p in PARITY))
+        self.rows = written(self.rows.select("sid", "row.doc_id", "row.text_hash", "n", "sketch", *PARITY), "sketches")
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            on = []
-            for x, y in zip(batch.column(4), batch.column(5)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                on.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.record_batch(batch.columns[:2], names=["a", "b"]).filter(pa.array(on, pa.bool_()))
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) whose similarity is high enough."""
+        percent = self.percent
+
+        def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                on = []
+                for m, n, x, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6))):
+                    common = min(most_common(x, y), m, n)
+                    on.append(100 * common >= percent * (m + n - common))
+                yield pa.record_batch(batch.columns[:2], names=["a", "b"]).filter(pa.array(on, pa.bool_()))
 
-    # Rows that repeat a document repeat its set, so its pairs, too.
-    left = _paired(pairs, sets, "sketch").mapInArrow(possible, "a long, b long").distinct()
-    return _paired(left, sets, "members").mapInArrow(exact, "a long, b long").distinct()
+        def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                on = []
+                for x, y in zip(batch.column(2), batch.column(3)):
+                    x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                    both = np.concatenate([x, y])
+                    both.sort(kind="stable")
+                    common = int((both[1:] == both[:-1]).sum())
+                    on.append(100 * common >= percent * (len(x) + len(y) - common))
+                yield pa.record_batch(batch.columns[:2], names=["a", "b"]).filter(pa.array(on, pa.bool_()))
 
+        left = written(_paired(pairs, self.rows, "n", "sketch").mapInArrow(possible, "a long, b long"), "possible")
+        ids = left.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+        sets = whole_sets(self.docs, self.width, self.rows.join(ids, "sid").select("doc_id", "text_hash", "sid"))
+        # Rows that repeat a document repeat its set, so its pairs, too.
+        return written(_paired(left, written(sets, "sets"), "members").mapInArrow(exact, "a long, b long").distinct(), "links")
 
-def _fits(a: str, b: str, percent: int):
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+def _fits(x: str, y: str, percent: int) -> Column:
+    """Bounds by size and place: `x` and `y` prefix columns n and pos, where `{}` stands for the name.
+
+    A pair of sizes m and n shares at least percent / (100 + percent) of m + n, so its first common shingle comes early in
+    both sets; that holds for one of the shingles that bring the pair here, if it links.
+    """
+    (m, i), (n, j) = ((F.col(c.format("n")), F.col(c.format("pos"))) for c in (x, y))
+    need = F.ceil(percent * (m + n) / (100 + percent))
+    return (100 * F.least(m, n) >= percent * F.greatest(m, n)) & (i + need <= m) & (j + need <= n)
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -277,32 +316,58 @@ def set_links(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> Dat
     prefixes = written(shared_tokens(dealt), "prefixes")
     members = written(prefixes.where("sid IS NOT NULL").select("grp", "sid", "n").distinct(), "members")
     groups = members.groupBy("grp").agg(F.min("sid").alias("head"), F.first("n").alias("n"), F.count("*").alias("size"))
-    entries = prefixes.where("token IS NOT NULL").select("token", "grp").join(groups, "grp")
+    entries = prefixes.where("token IS NOT NULL").select("token", "grp", "pos").join(groups, "grp")
 
+    verify = Verifier(docs, own, width, percent)
     # One group for each shingle, and one member for each group: linear in the entries.
-    ends = entries.groupBy("token").agg(F.min(F.struct("head", "n")).alias("lo"), F.max(F.struct("head", "n")).alias("hi"))
-    near = entries.join(ends, "token").select("head", "n", F.explode(F.array("lo", "hi")).alias("to")).where(_fits("n", "to.n", percent))
+    ends = entries.groupBy("token").agg(F.min(F.struct("head", "n", "pos")).alias("lo"), F.max(F.struct("head", "n", "pos")).alias("hi"))
+    near = entries.join(ends, "token").select("head", "n", "pos", F.explode(F.array("lo", "hi")).alias("to")).where(_fits("{}", "to.{}", percent))
     star = near.select(F.col("head").alias("a"), F.col("to.head").alias("b"))
     star = star.unionByName(members.join(groups.where("size > 1").select("grp", "head"), "grp").select(F.col("sid").alias("a"), F.col("head").alias("b")))
-    star = written(_ordered(star), "star")
-
-    wanted = members.join(entries.select("grp").unionByName(groups.where("size > 1").select("grp")).distinct(), "grp", "left_semi").select("sid").distinct()
-    rows = own.groupBy("sid").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"))
-    wanted = wanted.join(rows, "sid").select("row.doc_id", "row.text_hash", "sid")
-    whole = written(candidate_sets(docs, width, written(wanted, "wanted")), "sets")
-    links = written(verified(star, whole, percent), "links")
+    tried = written(_ordered(star), "star")
+    links = verify.links(tried)
     labels = components(links)
 
-    # What may still join two components: pairs of members that share a shingle of their prefixes, or all of them.
-    each = entries.select("token", "grp").unionByName(groups.where("size > 1").select(F.col("grp").alias("token"), "grp"))
-    each = each.join(members, "grp").join(labels, F.col("sid") == F.col("node"), "left").select("token", "sid", "n", F.coalesce("label", "sid").alias("label")).distinct()
-    open_tokens = each.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
-    left = written(each.join(open_tokens, "token"), "open")
-    x, y = (left.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("sid", "n", "label"))) for k in "xy")
-    pairs = x.join(y, "token").where((F.col("label_x") < F.col("label_y")) & _fits("n_x", "n_y", percent))
-    rest = written(_ordered(pairs.select(F.col("sid_x").alias("a"), F.col("sid_y").alias("b"))).join(star, ["a", "b"], "left_anti"), "rest")
-    more = written(verified(rest, whole, percent), "links")
-    return components(links.unionByName(more)) if more.limit(1).count() else labels
+    # What may still join two components: members that share a shingle of their prefixes, or all of them.
+    each = entries.select("token", "grp", "pos").unionByName(groups.where("size > 1").select(F.col("grp").alias("token"), "grp", F.lit(0).cast("long").alias("pos")))
+    left = each.join(members, "grp").select("token", "sid", "n", "pos").distinct()
+    for turn in range(PROBES):
+        left = _open(left, labels)
+        probes = written(_ordered(_probes(left, turn, percent)).join(tried, ["a", "b"], "left_anti"), "probes")
+        more = verify.links(probes)
+        if more.isEmpty():
+            break
+        tried, links = tried.unionByName(probes), links.unionByName(more)
+        labels = components(links)
+    left = _open(left, labels).join(verify.rows.select("sid", *PARITY), "sid")
+    x, y = (left.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("sid", "n", "pos", "label", *PARITY))) for k in "xy")
+    differ = sum((F.bit_count(F.col(f"{p}_x").bitwiseXOR(F.col(f"{p}_y"))) for p in PARITY), F.lit(0))
+    sizes = F.col("n_x") + F.col("n_y")
+    near_enough = differ <= sizes - 2 * F.ceil(percent * sizes / (100 + percent))
+    pairs = x.join(y, "token").where((F.col("label_x") < F.col("label_y")) & _fits("{}_x", "{}_y", percent) & near_enough)
+    rest = written(_ordered(pairs.select(F.col("sid_x").alias("a"), F.col("sid_y").alias("b"))).join(tried, ["a", "b"], "left_anti"), "rest")
+    more = verify.links(rest)
+    return labels if more.isEmpty() else components(links.unionByName(more))
+
+
+def _open(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """Entries (token, sid, n, pos, label) of shingles whose members aren't all in one component yet."""
+    e = entries.select("token", "sid", "n", "pos").join(labels, F.col("sid") == F.col("node"), "left").select("token", "sid", "n", "pos", F.coalesce("label", "sid").alias("label"))
+    ends = e.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
+    return written(e.join(ends, "token"), "open")
+
+
+def _probes(left: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs (a, b): members with members of the component that most of their shingle's members have.
+
+    Each shingle names one of those, another one each turn; a member tries two shingles for each such component.
+    """
+    sizes = left.groupBy("token", "label").agg(F.count("*").alias("size"), F.min_by(F.struct("sid", "n", "pos"), F.xxhash64("sid", "token", F.lit(turn))).alias("one"))
+    hub = sizes.groupBy("token").agg(F.max(F.struct("size", "label", "one")).alias("hub")).select("token", F.col("hub.label").alias("to"), F.col("hub.one").alias("one"))
+    asks = left.join(hub, "token").where((F.col("label") != F.col("to")) & _fits("{}", "one.{}", percent))
+    by = F.xxhash64("token", "sid", F.lit(turn))
+    two = asks.groupBy("sid", "to").agg(F.min_by("one.sid", by).alias("first"), F.max_by("one.sid", by).alias("last"))
+    return two.select(F.col("sid").alias("a"), F.explode(F.array("first", "last")).alias("b"))
 
 
 def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:

@@ -43,7 +43,7 @@ FLUSH = 500_000
 SET_LIMIT = 4_000_000
 FLAG_BYTES = 32 << 20
 BITMAP_BITS = 27
-RANGE_ENTRIES = 600_000
+RANGE_ENTRIES = 1_500_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 U64 = np.uint64
 PLACE = np.dtype([("a", "<i8"), ("b", "<i4")])
@@ -275,20 +275,30 @@ def held_by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list
 
 
 def packed_pairs(a: np.ndarray, b: np.ndarray, buckets: int) -> tuple[pa.Array, pa.Array]:
-    """Places of keys, packed by a bucket of the key: one row for each bucket, however many keys there are."""
-    pairs = np.empty(len(a), PLACE)
-    pairs["a"], pairs["b"] = a, b
+    """Places of keys by a bucket of the key, one row for each bucket: how many keys, the keys, their numbers, the places."""
     bucket = (K.mix(a.view(U64)) % U64(buckets)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    pairs, full = pairs[order], np.flatnonzero(np.diff(edge))
-    return pa.array(full.astype(np.int32)), pa.array([pairs[edge[k] : edge[k + 1]].tobytes() for k in full], pa.binary())
+    order = np.lexsort((b, a, bucket))
+    a, b, bucket = a[order], b[order].astype("<i4"), bucket[order]
+    edge = np.searchsorted(bucket, np.arange(buckets + 1))
+    full, rows = np.flatnonzero(np.diff(edge)), []
+    for k in full:
+        keys, counts = np.unique(a[edge[k] : edge[k + 1]], return_counts=True)
+        rows.append(np.int64(len(keys)).tobytes() + keys.astype("<i8").tobytes() + counts.astype("<i4").tobytes() + b[edge[k] : edge[k + 1]].tobytes())
+    return pa.array(full.astype(np.int32)), pa.array(rows, pa.binary())
+
+
+def unpacked(row: bytes) -> np.ndarray:
+    n = int(np.frombuffer(row, "<i8", 1)[0])
+    keys, counts = np.frombuffer(row, "<i8", n, 8), np.frombuffer(row, "<i4", n, 8 + 8 * n)
+    out = np.empty(int(counts.sum()), PLACE)
+    out["a"], out["b"] = np.repeat(keys, counts), np.frombuffer(row, "<i4", offset=8 + 12 * n)
+    return out
 
 
 def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, pairs) to a row (key, places) for each key."""
-    for _, blobs in held_by_range(batches):
-        pairs = np.frombuffer(b"".join(blobs), PLACE)
+    for _, rows in held_by_range(batches):
+        pairs = np.concatenate([unpacked(x) for x in rows])
         pairs = pairs[np.lexsort((pairs["b"], pairs["a"]))]
         a, b = pairs["a"], np.ascontiguousarray(pairs["b"])
         edge = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1], [True]]))

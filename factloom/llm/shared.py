@@ -29,7 +29,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_arrow_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+def small_arrow_batches(spark: SparkSession, rows: int = 500, size: int = 4 << 20) -> None:
     """Bound what one Arrow batch sends to a Python worker, so that long documents can't pile up in one."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))

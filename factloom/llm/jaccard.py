@@ -36,9 +36,9 @@ from factloom.llm.shared import plain_columns, small_arrow_batches, written
 #: Shingles that come last in the order: found as repeated within a task, and then this often overall.
 OFTEN, OFTEN_IN_TASK, OFTEN_MOST = 32, 2, 400_000
 #: Shingles looked at together for that; bounds a worker's memory.
-TASK_SHINGLES = 2_000_000
+TASK_SHINGLES = 1_000_000
 #: Prefix entries in a range of the hash; one task works on a few ranges.
-RANGE_ENTRIES = 600_000
+RANGE_ENTRIES = 300_000
 BROADCAST_IDS = 1_000_000
 PARITY_LONGS = 4
 PARITY = [f"parity{i}" for i in range(PARITY_LONGS)]

@@ -37,6 +37,10 @@ def _tokens(column: str) -> Column:
     return F.array_remove(F.split(F.lower(column), " "), "")
 
 
+def _is(word: str):
+    return lambda x: x == F.lit(word)
+
+
 def matches(docs: DataFrame, query: str) -> DataFrame:
     """Documents that hold all the query's words, in any column. A query without words matches nothing."""
     words = query_tokens(query)
@@ -57,7 +61,7 @@ def bm25(docs: DataFrame, query: str) -> DataFrame:
     stats = docs.agg(F.count("*").alias("n"), F.avg(length).alias("mean"), *(F.sum(h).alias(f"df{i}") for i, h in enumerate(has)))
     score = F.lit(0.0)
     for i, w in enumerate(words):
-        tf = sum((F.size(F.filter(_tokens(c), lambda x, w=w: x == w)) * F.lit(weight) for c, weight in WEIGHTS.items()), F.lit(0.0))
+        tf = sum((F.size(F.filter(_tokens(c), _is(w))) * F.lit(weight) for c, weight in WEIGHTS.items()), F.lit(0.0))
         idf = F.greatest(F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)), F.lit(1e-6))
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.col("mean")))
     return matches(docs, query).join(F.broadcast(stats)).select("node_id", score.alias("bm25"))

@@ -7,6 +7,7 @@ lost executor costs a level at most and plans don't grow. With a limit, admissio
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -146,21 +147,25 @@ def reachable_symbols(nodes: DataFrame, edges: DataFrame, entry_files: DataFrame
 
 def shortest_path(nodes: DataFrame, edges: DataFrame, source: str, target: str, kinds: Sequence[str], max_depth: int = 64) -> DataFrame:
     """(step, id, edge_kind) of a shortest path; among equal ones the parent with the smallest edge key. Empty if none."""
-    steps = _steps(nodes, edges, kinds, True)
+    steps = written(_steps(nodes, edges, kinds, True), "steps")
     front = written(nodes.where(F.col("id") == source).select("id", F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("kind"), F.lit(0).alias("step")), "path")
-    seen, depth = front, 0
-    while depth < max_depth and seen.where(F.col("id") == target).isEmpty() and not front.isEmpty():
+    levels, depth = [front], 0
+    while depth < max_depth and not front.isEmpty() and front.where(F.col("id") == target).isEmpty():
         depth += 1
-        new = front.join(steps, F.col("id") == F.col("a")).groupBy("b").agg(F.min("edge").alias("edge"))
-        front = written(new.select(F.col("b").alias("id"), F.col("edge.src").alias("parent"), F.col("edge.kind").alias("kind")).join(seen.select("id"), "id", "left_anti").withColumn("step", F.lit(depth)), "path")
-        seen = seen.unionByName(front)
-    # Back along parents: one row a step.
-    path = seen.where(F.col("id") == target)
-    out = path
-    for _ in range(depth):
-        path = seen.join(path.select(F.col("parent").alias("id")), "id", "left_semi")
-        out = out.unionByName(path)
-    return written(out.select("step", "id", F.col("kind").alias("edge_kind")), "path")
+        seen = reduce(DataFrame.unionByName, (x.select("id") for x in levels))
+        new = front.select("id").join(steps, F.col("id") == F.col("a")).groupBy("b").agg(F.min("edge").alias("edge"))
+        new = new.select(F.col("b").alias("id"), F.col("edge.src").alias("parent"), F.col("edge.kind").alias("kind")).join(seen, "id", "left_anti")
+        front = written(new.withColumn("step", F.lit(depth)), "path")
+        levels.append(front)
+    # Back along parents: one row a level.
+    rows, at = [], target
+    for level in reversed(levels):
+        row = level.where(F.col("id") == at).first()
+        if row is None:
+            break
+        rows.append((row["step"], row["id"], row["kind"]))
+        at = row["parent"]
+    return nodes.sparkSession.createDataFrame(rows, "step int, id string, edge_kind string")
 
 
 def cyclic_core(edges: DataFrame) -> DataFrame:

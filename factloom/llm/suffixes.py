@@ -295,19 +295,28 @@ def unpacked(row: bytes) -> np.ndarray:
     return out
 
 
-def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, pairs) to a row (key, places) for each key."""
-    for _, rows in held_by_range(batches):
-        pairs = np.concatenate([unpacked(x) for x in rows])
-        pairs = pairs[np.lexsort((pairs["b"], pairs["a"]))]
-        a, b = pairs["a"], np.ascontiguousarray(pairs["b"])
-        edge = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1], [True]]))
-        yield pa.record_batch([pa.array(np.ascontiguousarray(a[edge[:-1]])), pa.array([b[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:])], pa.binary())], names=["key", "places"])
+def by_key(as_runs: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (bucket, pairs) to a row (key, places) for each key; as runs, first and last of places in a row."""
 
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in held_by_range(batches):
+            pairs = np.concatenate([unpacked(x) for x in rows])
+            pairs = pairs[np.lexsort((pairs["b"], pairs["a"]))]
+            a, b = np.ascontiguousarray(pairs["a"]), np.ascontiguousarray(pairs["b"])
+            if as_runs:
+                cut = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] > b[:-1] + 1), [True]]))
+                a, b = a[cut[:-1]], np.stack([b[cut[:-1]], b[cut[1:] - 1]], 1)
+            edge = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1], [True]]))
+            yield pa.record_batch([pa.array(np.ascontiguousarray(a[edge[:-1]])), pa.array([b[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:])], pa.binary())], names=["key", "places"])
+
+    return part
 
-def answered(source: DataFrame, entries: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], ranges: int) -> DataFrame:
+
+def answered(source: DataFrame, entries: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], ranges: int, askers_as_runs: bool = False) -> DataFrame:
     """(key, places), a row for each key: entries whose name is at two places, and of whose name some entry asks (b's lowest bit).
 
+    With `askers_as_runs`, only the entries that ask themselves, as runs of places.
+
     A place is b >> 1. Entries of one name that meet within a task are answered there, and one of them speaks for all.
     """
     names = ["range", "entries", "bucket", "pairs"]
@@ -322,7 +331,8 @@ def answered(source: DataFrame, entries: Callable[[Iterator[pa.RecordBatch]], It
             np.logical_or.at(asks, group, e["b"] & 1 == 1)
             settled = twice & asks[group]
             # A name that meets here and asks is answered; others may yet meet or be asked for elsewhere.
-            bucket, pairs = packed_pairs(np.ascontiguousarray(e["a"][settled]), e["b"][settled] >> 1, ranges)
+            own = settled & (e["b"] & 1 == 1) if askers_as_runs else settled
+            bucket, pairs = packed_pairs(np.ascontiguousarray(e["a"][own]), e["b"][own] >> 1, ranges)
             yield pa.record_batch([pa.nulls(len(bucket), pa.int32()), pa.nulls(len(bucket), pa.binary()), bucket, pairs], names=names)
             speaker = e[settled & first].copy()
             speaker["b"] = -1  # lowest bit set: it asks, and stands for two places
@@ -358,12 +368,14 @@ def answered(source: DataFrame, entries: Callable[[Iterator[pa.RecordBatch]], It
             np.logical_or.at(asks, group, e["b"] & 1 == 1)
             np.logical_or.at(stands, group, e["b"] == -1)
             on = (twice | stands[group]) & asks[group] & (e["b"] != -1)
+            if askers_as_runs:
+                on &= e["b"] & 1 == 1
             if on.any():
                 yield pa.record_batch(list(packed_pairs(np.ascontiguousarray(e["a"][on]), e["b"][on] >> 1, ranges)), names=names[2:])
         yield from through
 
     met = source.mapInArrow(send, "range int, entries binary, bucket int, pairs binary").repartition(ranges, F.coalesce("range", "bucket"))
-    return met.mapInArrow(meet, "bucket int, pairs binary").repartition(ranges, "bucket").mapInArrow(by_key, "key long, places binary")
+    return met.mapInArrow(meet, "bucket int, pairs binary").repartition(ranges, "bucket").mapInArrow(by_key(askers_as_runs), "key long, places binary")
 
 
 def sampled(n: int) -> np.ndarray:
@@ -373,7 +385,7 @@ def sampled(n: int) -> np.ndarray:
 
 
 def repeated_starts(docs: DataFrame, size: int) -> DataFrame:
-    """(key, settled, places): of each text with repeats, starts by runs (settled: first, last, ... as bytes) and one by one."""
+    """(key, settled, places): of each text with repeats, runs of starts, as first and last; places has them as bytes."""
     spark = docs.sparkSession
     texts = docs.where(F.octet_length("text") >= size).select("key", "text")
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -478,7 +490,7 @@ def repeated_starts(docs: DataFrame, size: int) -> DataFrame:
                 ask = questions(batch, 4, n, i)[at]
                 yield entries_of(Rolling(buf).at(at, size), np.full(len(at), keys[i]), ((at + first[i]) << 1) | ask)
 
-    starts = answered(open_pieces, remaining, ranges)
+    starts = answered(open_pieces, remaining, ranges, askers_as_runs=True)
     one = starts.select("key", F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"), "places")
     both = settled.select("key", "first", "last", F.lit(None).cast("binary").alias("places")).unionByName(one)
     return both.groupBy("key").agg(F.collect_list(F.when(F.col("first").isNotNull(), F.struct("first", "last"))).alias("settled"), F.collect_list("places").alias("places"))
@@ -508,8 +520,8 @@ def remove_repeats(docs: DataFrame, *, size: int = 400) -> DataFrame:
                 else:
                     lo = np.array([x["first"] for x in settled[i] or []], np.int64)
                     hi = np.array([x["last"] for x in settled[i] or []], np.int64)
-                    one = np.frombuffer(b"".join(places[i] or []), "<i4").astype(np.int64)
-                    gone = filled(np.concatenate([lo, one]), np.concatenate([hi, one]) + size - 1, n)
+                    more = np.frombuffer(b"".join(places[i] or []), "<i4").astype(np.int64).reshape(-1, 2)
+                    gone = filled(np.concatenate([lo, more[:, 0]]), np.concatenate([hi, more[:, 1]]) + size - 1, n)
                 out.append((n, int(gone.sum()), len(runs(gone)[0]), hashlib.sha256(raw[~gone].tobytes()).hexdigest()))
             a, b, c, d = zip(*out) if out else ([], [], [], [])
             yield pa.record_batch([batch.column(0), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])

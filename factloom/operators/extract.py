@@ -264,13 +264,16 @@ def link(facts: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, Data
     pair = to.select(F.explode(F.array(F.lit("IMPORTS_FROM"), F.lit("DEPENDS_ON"))).alias("kind"), F.concat(F.lit("file:"), "path").alias("src"), F.concat(F.lit("file:"), "to").alias("dst"))
     # Names that a file can use: its own, and those it imports from files that declare them.
     own = decl.select("path", F.col("name").alias("symbol"), "id", F.lit(0).alias("rank"))
-    bound = imports.join(to, [imports[c].eqNullSafe(to[c]) for c in ("path", "target", "name")]).select(imports["path"], "local", imports["name"], "to")
+    t = to.select(*(F.col(c).alias(f"t_{c}") for c in ("path", "target", "name")), "to").withColumn("t_any", F.col("t_name").isNull())
+    same = (F.col("path") == F.col("t_path")) & (F.col("target") == F.col("t_target")) & (F.col("t_any") | F.col("name").eqNullSafe(F.col("t_name")))
+    bound = imports.select("path", "target", "name", "local").join(t, same).select("path", "local", "name", "to")
     by_path = decl.select(F.col("path").alias("to"), F.col("name").alias("member"), "id")
     alias = bound.join(by_path, "to").where("local IS NOT NULL")
     named = alias.where("member = name OR (name = 'default' AND member = local)").select("path", F.col("local").alias("symbol"), "id", F.lit(1).alias("rank"))
     dotted = alias.select("path", F.concat_ws(".", "local", "member").alias("symbol"), "id", F.lit(1).alias("rank"))
     names = own.unionByName(named).unionByName(dotted).groupBy("path", "symbol").agg(F.min(F.struct("rank", "id")).alias("m")).select("path", "symbol", F.col("m.id").alias("dst"))
-    used = facts.where("fact IN ('call', 'heritage')").join(names, (facts["path"] == names["path"]) & (facts["target"] == names["symbol"]))
+    named_here = names.select(F.col("path").alias("used_in"), F.col("symbol").alias("used_name"), "dst")
+    used = facts.where("fact IN ('call', 'heritage')").join(named_here, (F.col("path") == F.col("used_in")) & (F.col("target") == F.col("used_name")))
     called = used.where("fact = 'call'")
     tests = decl.where("is_test").select(F.col("id").alias("owner"), F.lit(True).alias("in_test"))
     calls = called.select(F.lit("CALLS").alias("kind"), F.col("owner").alias("src"), "dst")

@@ -151,7 +151,7 @@ def cuts(ids: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
         h = np.zeros(len(ids), np.uint64)
         g = GEAR[ids]
         for k in range(16):
-            h[k:] += g[: len(g) - k] << np.uint64(4 * k)
+            h[k:] += g[: max(len(g) - k, 0)] << np.uint64(4 * k)
     likely = np.flatnonzero((K.mix(h) >> np.uint64(64 - CHUNK["mask_bits"])) == 0) + 1
     out, begin = [], 0
     for size in sizes.tolist():

@@ -69,6 +69,9 @@ class PieceEncoder:
         self.cut_tokenizer = Tokenizer.from_file(path)
         self.cut_tokenizer.normalizer = None
         self.cut_tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        #: Ids that end a piece: the vocabulary marks them.
+        self.ends_piece = np.zeros(1 << 16, bool)
+        self.ends_piece[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.known: dict[int, bytes] = {}
         self.words: dict[str, bytes] = {}
 
@@ -89,17 +92,17 @@ class PieceEncoder:
     def learn(self, keys: list[int], pieces: list[str]) -> None:
         for i in range(0, len(pieces), 2000):
             part = pieces[i : i + 2000]
-            e = self.cut_tokenizer.encode(" ".join(part), add_special_tokens=False)
-            owner = np.array(e.word_ids, np.int64)
-            if owner[-1] + 1 != len(part):
+            e = self.cut_tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0]
+            ids = np.array(e.ids, "<u2")
+            edge = [0, *(np.flatnonzero(self.ends_piece[ids]) + 1).tolist()]
+            if len(edge) != len(part) + 1:
                 raise ValueError("a piece was cut again")
-            edge = np.searchsorted(owner, np.arange(len(part) + 1)).tolist()
-            raw = np.array(e.ids, "<u2").tobytes()
+            raw = ids.tobytes()
             self.known.update((k, raw[2 * a : 2 * b]) for k, a, b in zip(keys[i : i + 2000], edge, edge[1:]))
 
     def plain(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of plain texts in lower case."""
-        for s in K.slices(pa.array(texts, pa.string())):
+        for s in K.slices(pa.array(texts, pa.string()), 2 << 20):
             kind = KIND[s.buf]
             n = len(s.offsets) - 1
             edge = np.zeros(len(kind) + 1, bool)
@@ -210,7 +213,7 @@ def merkle(recipes: DataFrame) -> DataFrame:
 def write_store(docs: DataFrame, vocabulary: str, path: str) -> None:
     """Encode all documents into the store at `path`."""
     spark = docs.sparkSession
-    small_arrow_batches(spark)
+    small_arrow_batches(spark, 1000, 8 << 20)
     zipped = {"compression": "zstd"}
     encoded(plain_columns(docs, "doc_id", "text"), vocabulary).write.options(**zipped).parquet(f"{path}/encoded")
     staged = spark.read.parquet(f"{path}/encoded")
@@ -291,7 +294,8 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     recipes = spark.read.parquet(f"{path}/recipes")
     again = merkle(recipes.withColumn("root", F.sha2(F.array_join(F.transform("digests", F.hex), ""), 256)))
     stored = spark.read.parquet(f"{path}/manifest")
-    if again.exceptAll(stored).union(stored.exceptAll(again)).limit(1).count():
+    both = again.withColumn("of", F.lit(1)).unionByName(stored.withColumn("of", F.lit(-1)))
+    if not both.groupBy("level", "shard", "block", "root").agg(F.sum("of").alias("of")).where("of <> 0").isEmpty():
         raise ValueError("recipes don't match the manifest")
     lines = recipes.withColumn("row", F.monotonically_increasing_id()).select("shard", "doc_id", "root", "row", F.posexplode("digests").alias("pos", "digest"))
     found = lines.join(_checked_chunks(spark.read.parquet(f"{path}/chunks")), "digest", "left")

@@ -1,32 +1,12 @@
-"""Tables written to the folder that the driver and all executors share, and rows in a global order."""
+"""What the operators share: durable tables, bounded Arrow batches, and only the columns that are asked for."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import lru_cache
+from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from factloom.plans.durable import shared_dir, written
 
-
-@lru_cache(maxsize=1)
-def _own_dir() -> str:
-    return tempfile.mkdtemp(prefix="factloom-")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return named or _own_dir()
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` written once to the shared folder and read back: lineage is cut, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/factloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["plain_columns", "shared_dir", "small_arrow_batches", "written"]
 
 
 def small_arrow_batches(spark: SparkSession, rows: int = 500, size: int = 4 << 20) -> None:
@@ -41,22 +21,3 @@ def plain_columns(df: DataFrame, *names: str) -> DataFrame:
     if missing:
         raise ValueError(f"missing columns {missing}; have {df.columns}")
     return df.select(*names)
-
-
-def sum_before(df: DataFrame, group: list[Column], bucket: Column, order: list[Column], value: Column, out: str) -> DataFrame:
-    """Adds `out`: in each group, the sum of `value` over the rows that come earlier.
-
-    `bucket` cuts a group into ordered ranges of its rows, and must be a function of the row that does not decrease in
-    `order`. So a group that holds most rows is summed by many tasks: sums of buckets first, then sums within them.
-    """
-    names = [f"__g{i}" for i in range(len(group))]
-    keyed = df.withColumns({n: c for n, c in zip(names, group)} | {"__bucket": bucket, "__value": value})
-    totals = keyed.groupBy(*names, "__bucket").agg(F.sum("__value").alias("__total"))
-    ahead = Window.partitionBy(*names).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("__ahead", F.coalesce(F.sum("__total").over(ahead), F.lit(0))).drop("__total")
-    t = totals.select(*(F.col(n).alias(f"t{n}") for n in (*names, "__bucket", "__ahead")))
-    on = [F.col(n).eqNullSafe(F.col(f"t{n}")) for n in (*names, "__bucket")]
-    within = Window.partitionBy(*names, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = keyed.join(t, on).drop(*(f"t{n}" for n in (*names, "__bucket")))
-    summed = joined.withColumn(out, F.col("t__ahead") + F.coalesce(F.sum("__value").over(within), F.lit(0)))
-    return summed.drop("t__ahead", "__bucket", "__value", *names)

@@ -96,7 +96,9 @@ def mix(docs: DataFrame, **params) -> DataFrame:
 
     A document without words has nothing to take and stays out; the copy cut at a target keeps its first words.
     """
-    plan = mix_plan(docs, **params).withColumn("__copy", F.explode("copies"))
+    others = [c for c in docs.columns if c != "text"]
+    base = docs.select("doc_id", "source", "text", F.struct(*others).alias("__row"))  # so that no column of theirs meets one of ours
+    plan = mix_plan(base, **params).withColumn("__copy", F.explode("copies"))
     text = F.when(F.col("__copy.words") < F.col("size"), first_words(F.col("text"), F.col("__copy.words").cast("int"))).otherwise(F.col("text"))
     rows = plan.withColumn("text", text).orderBy("__copy.position", "doc_id")
-    return rows.select(*docs.columns)
+    return rows.select(*(F.col("text") if c == "text" else F.col("__row")[c].alias(c) for c in docs.columns))

@@ -64,7 +64,7 @@ def test_mixing(docs):
     assert all(abs(t - n) <= 1 for t, n in by_source.values())
     assert mix_sizes(docs.limit(0)).count() == 0
     mixed = mix(docs)
-    assert mixed.columns == docs.columns
+    assert mixed.columns == docs.columns and {(r["size"], r["key"]) for r in rows(mixed)} == {(-1, 7)}
     words = lambda t: len((t or "").split())
     assert sum(words(r["text"]) for r in rows(mixed)) == sum(r["taken"] for r in found)
 

@@ -40,7 +40,7 @@ TASK_SHINGLES = 1_000_000
 #: Prefix entries in a range of the hash; one task works on a few ranges.
 RANGE_ENTRIES = 300_000
 BROADCAST_IDS = 1_000_000
-PARITY_LONGS = 4
+PARITY_LONGS = 8
 PARITY = [f"parity{i}" for i in range(PARITY_LONGS)]
 ENTRY = np.dtype([("token", "<u8"), ("grp", "<u8"), ("pos", "<u4")])
 #: Turns of probing before all that is left is compared.
@@ -99,7 +99,7 @@ def document_sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def parity(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Per set, 256 bits as longs: whether the number of its hashes in each of 256 classes is odd.
+    """Per set, 512 bits as longs: whether the number of its hashes in each of 512 classes is odd.
 
     Each hash that only one of two sets has turns one bit, so the bits that differ are never more than those hashes.
     """

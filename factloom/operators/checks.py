@@ -174,3 +174,28 @@ def dead_rust_files(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id): Rust files that nothing imports and that are no crate root or test."""
     roots = r"(^|/)(lib|main|mod|build)\.rs$|(^|/)tests/"
     return orphans(nodes.where(F.col("path").endswith(".rs") & ~F.col("path").rlike(roots)), edges)
+
+
+#: Lints that may not be switched off as a whole, and source composition in Rust: fixed values.
+RUST_BROAD_LINTS = ("warnings", "clippy::all", "clippy::restriction")
+RUST_HYGIENE = {"RUST_SOURCE_INCLUDE_MACRO": r"\binclude!\s*\(", "RUST_SOURCE_RUSTFMT_SKIP": r"#\s*\[\s*rustfmt::skip\s*\]"}
+
+
+def rust_hygiene(files: DataFrame, lints: tuple[str, ...] = RUST_BROAD_LINTS) -> DataFrame:
+    """(path, code, hits): `.inc` sources, include macros, rustfmt skips, and broad lints allowed in attributes."""
+    f = files.select("path", "content")
+    named = [f.select("path", F.lit(code).alias("code"), F.size(F.regexp_extract_all("content", F.lit(p), 0)).cast("long").alias("hits")) for code, p in RUST_HYGIENE.items()]
+    inc = f.where(F.col("path").endswith(".inc")).select("path", F.lit("RUST_SOURCE_INC_FILE").alias("code"), F.lit(1).cast("long").alias("hits"))
+    attributes = f.select("path", F.explode(F.regexp_extract_all("content", F.lit(r"#\s*!?\s*\[[^\]]*\]"), 0)).alias("attribute"))
+    listed = attributes.select("path", F.explode(F.regexp_extract_all("attribute", F.lit(r"\b(?:allow|expect)\s*\(([^)]*)\)"), 1)).alias("listed"))
+    broad = listed.select("path", F.explode(F.transform(F.split("listed", ","), F.trim)).alias("lint")).where(F.col("lint").isin(*lints))
+    allowed = broad.groupBy("path").agg(F.count("*").alias("hits")).select("path", F.lit("RUST_SOURCE_LINT_SUPPRESSION").alias("code"), "hits")
+    out = named[0].unionByName(named[1]).unionByName(inc).unionByName(allowed)
+    return out.where("hits > 0")
+
+
+def function_metrics(metrics: DataFrame, *, most_lines: int = 80, most_complexity: int = 10, most_params: int = 4) -> DataFrame:
+    """(path, name, code, amount) of functions (path, name, lines, complexity, params) above a threshold."""
+    limits = {"FUNCTION_LINES": ("lines", most_lines), "FUNCTION_COMPLEXITY": ("complexity", most_complexity), "FUNCTION_PARAMS": ("params", most_params)}
+    hits = F.array(*(F.when(F.col(c) > most, F.struct(F.lit(code).alias("code"), F.col(c).cast("long").alias("amount"))) for code, (c, most) in limits.items()))
+    return metrics.select("path", "name", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("h")).select("path", "name", "h.code", "h.amount")

@@ -202,6 +202,74 @@ def parse(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(part, ROW)
 
 
+BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.comprehension, ast.BoolOp, ast.match_case)
+
+
+def python_function_metrics(files: DataFrame) -> DataFrame:
+    """(path, name, lines, complexity, params) of every function in Python files that parse."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("path", pa.string()), ("name", pa.string()), ("lines", pa.int64()), ("complexity", pa.int64()), ("params", pa.int64())])
+        for batch in batches:
+            rows = []
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    tree = ast.parse(text or "")
+                except (SyntaxError, ValueError):
+                    continue
+                for n in ast.walk(tree):
+                    if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                        branches = sum(len(x.values) - 1 if isinstance(x, ast.BoolOp) else 1 for x in ast.walk(n) if isinstance(x, BRANCHES))
+                        a = n.args
+                        params = len(a.posonlyargs) + len(a.args) + len(a.kwonlyargs) + (a.vararg is not None) + (a.kwarg is not None)
+                        rows.append({"path": path, "name": n.name, "lines": n.end_lineno - n.lineno + 1, "complexity": 1 + branches, "params": params})
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return files.where(F.col("path").rlike(r"\.pyi?$")).select("path", "content").mapInArrow(part, "path string, name string, lines long, complexity long, params long")
+
+
+def alias_targets(target: str, aliases: list[tuple[str, list[str]]]) -> list[str]:
+    """What an import specifier may mean by aliases, in order: a pattern has at most one `*`, whose text goes to the target's `*`."""
+    out = []
+    for pattern, targets in aliases:
+        head, star, tail = pattern.partition("*")
+        if star and target.startswith(head) and target.endswith(tail) and len(target) >= len(head) + len(tail):
+            held = target[len(head) : len(target) - len(tail)]
+        elif target == pattern:
+            held = ""
+        else:
+            continue
+        out += [t.replace("*", held, 1) for t in targets]
+    return out
+
+
+def with_aliases(imports: DataFrame, aliases: list[tuple[str, list[str]]]) -> DataFrame:
+    """Imports whose specifier an alias matches, once for each meaning, as a path from the importing file; others as they are.
+
+    Aliases are a project's few patterns and become one expression.
+    """
+    meanings = []
+    for pattern, targets in aliases:
+        head, star, tail = pattern.partition("*")
+        on = (F.col("target") == pattern) if not star else F.col("target").startswith(head) & F.col("target").endswith(tail) & (F.length("target") >= len(head) + len(tail))
+        held = F.expr(f"substring(target, {len(head) + 1}, length(target) - {len(head) + len(tail)})") if star else F.lit("")
+        for t in targets:
+            a, s, b = t.partition("*")
+            meanings.append(F.when(on, F.concat(F.lit(a), held, F.lit(b)) if s else F.lit(a)))
+    if not meanings:
+        return imports
+    up = F.repeat(F.lit("../"), F.size(F.split("path", "/")) - 1)
+    found = F.transform(F.filter(F.array(*meanings), lambda x: x.isNotNull()), lambda x: F.concat(F.lit("./"), up, x))
+    return imports.withColumn("target", F.explode(F.when(F.size(found) > 0, found).otherwise(F.array("target"))))
+
+
+def unresolved_prefixes(imports: DataFrame, resolved: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, target): Python imports that resolve to nothing though their first part is a top-level folder or module here."""
+    top = files.where(F.col("path").rlike(r"\.pyi?$")).select(F.regexp_replace(F.element_at(F.split("path", "/"), 1), r"\.pyi?$", "").alias("first")).distinct()
+    i = imports.where(F.col("path").rlike(r"\.pyi?$")).select("path", "target").distinct().join(resolved.select("path", "target"), ["path", "target"], "left_anti")
+    return i.withColumn("first", F.substring_index("target", ".", 1)).join(top, "first", "left_semi").select("path", "target")
+
+
 def _candidates(imports: DataFrame) -> DataFrame:
     """(path, target, candidate, at): the paths an import may mean, in order of preference."""
     folder = F.regexp_replace("path", r"/?[^/]+$", "")

@@ -40,7 +40,7 @@ TASK_SHINGLES = 1_000_000
 #: Prefix entries in a range of the hash; one task works on a few ranges.
 RANGE_ENTRIES = 300_000
 BROADCAST_IDS = 1_000_000
-PARITY_LONGS = 8
+PARITY_LONGS = 32
 PARITY = [f"parity{i}" for i in range(PARITY_LONGS)]
 ENTRY = np.dtype([("token", "<u8"), ("grp", "<u8"), ("pos", "<u4")])
 #: Turns of probing before all that is left is compared.
@@ -99,14 +99,19 @@ def document_sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def parity(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Per set, 512 bits as longs: whether the number of its hashes in each of 512 classes is odd.
+    """Per set, 2,048 bits as longs: whether the number of its hashes in each of 2,048 classes is odd.
 
     Each hash that only one of two sets has turns one bit, so the bits that differ are never more than those hashes.
     """
     n, bits = len(offsets) - 1, 64 * PARITY_LONGS
+    out = np.zeros((n, PARITY_LONGS), np.int64)
     doc = np.repeat(np.arange(n), np.diff(offsets))
-    odd = np.bincount(doc * bits + ((h >> np.uint64(20)) % np.uint64(bits)).astype(np.int64), minlength=n * bits) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(n, bits), axis=1).view(np.int64) if n else np.zeros((0, PARITY_LONGS), np.int64)
+    for lo in range(0, n, 64):  # some documents at a time, to bound the counts
+        a, b = offsets[lo], offsets[min(lo + 64, n)]
+        place = (doc[a:b] - lo) * bits + ((h[a:b] >> np.uint64(20)) % np.uint64(bits)).astype(np.int64)
+        odd = np.bincount(place, minlength=(min(lo + 64, n) - lo) * bits) & 1
+        out[lo : lo + 64] = np.packbits(odd.astype(np.uint8).reshape(-1, bits), axis=1).view(np.int64)
+    return out
 
 
 def often_tokens(sets: DataFrame) -> np.ndarray:

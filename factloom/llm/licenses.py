@@ -67,13 +67,20 @@ def canonical(text: str) -> str:
     return t.strip(" ")
 
 
-def canonical_column(text: Column) -> Column:
+def canonical_column(text: Column, longest: int | None = None) -> Column:
+    """The canonical form; null where it must be longer than `longest`, if given.
+
+    Of the spellings only a few shorten a text, each by one of six characters or more, which bounds the form's length
+    before they are applied.
+    """
     t = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     t = F.regexp_replace(t, "(?d)" + COPYRIGHT_LINE, " ")
-    t = F.concat(F.lit(" "), F.btrim(F.regexp_replace(t, r"[^a-z0-9\x{80}-\x{10FFFF}]+", " "), F.lit(" ")), F.lit(" "))
+    base = F.concat(F.lit(" "), F.btrim(F.regexp_replace(t, r"[^a-z0-9\x{80}-\x{10FFFF}]+", " "), F.lit(" ")), F.lit(" "))
+    t = base
     for old, new in SPELLINGS:
         t = F.replace(t, F.lit(f" {old} "), F.lit(f" {new} "))
-    return F.btrim(t, F.lit(" "))
+    out = F.btrim(t, F.lit(" "))
+    return out if longest is None else F.when(5 * F.length(base) <= 6 * (longest + 2), out)
 
 
 def known_digests(spark: SparkSession) -> DataFrame:
@@ -91,9 +98,10 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     own = known is None
     known = known_digests(docs.sparkSession) if own else known.select("digest", "licence")
     hint = F.broadcast if own else (lambda x: x)
+    longest = max(len(canonical(text)) for _, text in NOTICES) if own else None
     units = docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("key"), "text")
     lines = units.select("key", F.posexplode(F.concat(F.array("text"), F.split("text", "\n"))).alias("pos", "unit"))
-    blank = lines.select("key", "pos", F.sha2(canonical_column(F.col("unit")), 256).alias("digest"))
+    blank = lines.select("key", "pos", F.sha2(canonical_column(F.col("unit"), longest), 256).alias("digest"))
     found = blank.join(hint(known), "digest")
     marks = found.select("key", "pos", "licence")
     # A row of each document, so that those without a match stay.

@@ -117,14 +117,17 @@ class PieceEncoder:
                 continue
             h, first, inverse = np.unique(K.span_hash(s.buf, inside, start, end, False), return_index=True, return_inverse=True)
             keys = h.tolist()
-            new = [i for i, k in enumerate(keys) if k not in self.known]
-            if len(self.known) + len(new) > CACHE_PIECES:
-                self.known = {k: self.known[k] for k in keys if k in self.known}
-            raw = s.buf.tobytes()
-            at, to = start[first].tolist(), end[first].tolist()
-            self.learn([keys[i] for i in new], [raw[at[i] : to[i]].decode() for i in new])
-            ids = [self.known[k] for k in keys]
-            size = np.array([len(x) // 2 for x in ids])
+            ids = list(map(self.known.get, keys))
+            new = [i for i, x in enumerate(ids) if x is None]
+            if new:
+                if len(self.known) + len(new) > CACHE_PIECES:
+                    self.known = {k: x for k, x in zip(keys, ids) if x is not None}
+                raw = s.buf.tobytes()
+                at, to = start[first].tolist(), end[first].tolist()
+                self.learn([keys[i] for i in new], [raw[at[i] : to[i]].decode() for i in new])
+                for i in new:
+                    ids[i] = self.known[keys[i]]
+            size = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
             begin = np.cumsum(size) - size
             each = size[inverse]
             ahead = np.cumsum(each) - each

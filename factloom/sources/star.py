@@ -1,7 +1,7 @@
 """The driver's tables as facts: nodes, edges, files and records.
 
-Everything is a projection or one window per order, so filters and columns reach the Parquet scan. `sample` takes each
-n-th order: it is what the fact graph is defined over, not a shortcut of a query.
+Everything is a projection or one window per order, so filters and columns reach the Parquet scan. The fact graph is over
+all orders and line items.
 """
 
 from __future__ import annotations
@@ -10,13 +10,11 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-SAMPLE = 20
-
 #: Views by name; each is SQL that Spark and DuckDB both run over the driver's tables.
 VIEWS = {
-    "seq": f"""SELECT o, n, p, s, f, lead(p) OVER (PARTITION BY o ORDER BY n, p, s) AS np, lead(s) OVER (PARTITION BY o ORDER BY n, p, s) AS ns
-      FROM (SELECT l_orderkey AS o, l_linenumber AS n, l_partkey AS p, l_suppkey AS s, l_returnflag AS f FROM lineitem WHERE l_orderkey % {SAMPLE} = 0) x""",
-    "edges0": f"""SELECT DISTINCT 'IMPORTS_FROM' AS kind, concat('file:part/', p) AS src, concat('file:part/', np) AS dst FROM seq WHERE np IS NOT NULL AND p <> np
+    "seq": """SELECT o, n, p, s, f, lead(p) OVER (PARTITION BY o ORDER BY n, p, s) AS np, lead(s) OVER (PARTITION BY o ORDER BY n, p, s) AS ns
+      FROM (SELECT l_orderkey AS o, l_linenumber AS n, l_partkey AS p, l_suppkey AS s, l_returnflag AS f FROM lineitem) x""",
+    "edges0": """SELECT DISTINCT 'IMPORTS_FROM' AS kind, concat('file:part/', p) AS src, concat('file:part/', np) AS dst FROM seq WHERE np IS NOT NULL AND p <> np
       UNION ALL SELECT DISTINCT 'DEPENDS_ON', concat('file:part/', p), concat('file:part/', np) FROM seq WHERE np IS NOT NULL AND p <> np
       UNION ALL SELECT DISTINCT 'CONTAINS', concat('file:part/', p), concat('function:part/', p, '#', s) FROM seq
       UNION ALL SELECT DISTINCT 'CALLS', concat('function:part/', p, '#', s), concat('function:part/', np, '#', ns) FROM seq WHERE np IS NOT NULL AND (p <> np OR s <> ns)
@@ -24,7 +22,7 @@ VIEWS = {
       UNION ALL SELECT DISTINCT 'CONTAINS', concat('file:order/', o), concat('test:order/', o, '#returns') FROM seq WHERE f = 'R'
       UNION ALL SELECT 'CONTAINS', concat('module:region/', n_regionkey), concat('module:nation/', n_nationkey) FROM nation
       UNION ALL SELECT 'CONTAINS', concat('module:nation/', c_nationkey), concat('module:customer/', c_custkey) FROM customer
-      UNION ALL SELECT 'CONTAINS', concat('module:customer/', o_custkey), concat('file:order/', o_orderkey) FROM orders WHERE o_orderkey % {SAMPLE} = 0
+      UNION ALL SELECT 'CONTAINS', concat('module:customer/', o_custkey), concat('file:order/', o_orderkey) FROM orders
       UNION ALL SELECT 'CONTAINS', concat('file:part/', p_partkey), concat('class:part/', p_partkey, '#Part') FROM part
       UNION ALL SELECT 'INHERITS', concat('class:part/', p_partkey, '#Part'), concat('class:brand/', p_brand, '#Brand') FROM part
       UNION ALL SELECT 'INHERITS', concat('class:brand/', p_brand, '#Brand'), concat('class:type/', min(p_type), '#Type') FROM part GROUP BY p_brand""",
@@ -34,7 +32,7 @@ VIEWS = {
       UNION ALL SELECT DISTINCT concat('class:brand/', p_brand, '#Brand'), 'Class', concat('brand/', p_brand), p_brand, '{{"exported":true}}' FROM part
       UNION ALL SELECT concat('class:type/', t, '#Type'), 'Class', concat('type/', t), t, '{{"exported":true}}' FROM (SELECT DISTINCT min(p_type) AS t FROM part GROUP BY p_brand) y
       UNION ALL SELECT concat('function:part/', p, '#', s), 'Function', concat('part/', p), concat('supply', s), concat('{{"exported":', CASE WHEN p_size % 2 = 0 THEN 'true' ELSE 'false' END, '}}') FROM (SELECT DISTINCT p, s FROM seq) z JOIN part ON p_partkey = p
-      UNION ALL SELECT concat('file:order/', o_orderkey), 'File', concat('order/', o_orderkey), CAST(NULL AS STRING), CAST(NULL AS STRING) FROM orders WHERE o_orderkey % {SAMPLE} = 0
+      UNION ALL SELECT concat('file:order/', o_orderkey), 'File', concat('order/', o_orderkey), CAST(NULL AS STRING), CAST(NULL AS STRING) FROM orders
       UNION ALL SELECT DISTINCT concat('test:order/', o, '#returns'), 'Test', concat('order/', o), 'returns', '{{"isTest":true}}' FROM seq WHERE f = 'R'
       UNION ALL SELECT concat('module:region/', r_regionkey), 'Module', concat('region/', r_regionkey), r_name, CAST(NULL AS STRING) FROM region
       UNION ALL SELECT concat('module:nation/', n_nationkey), 'Module', concat('nation/', n_nationkey), n_name, CAST(NULL AS STRING) FROM nation

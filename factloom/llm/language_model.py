@@ -6,9 +6,11 @@ by rank; every other word has one of TAIL classes by its spelling. The model giv
 class, P(word | class, state); in a tail class P(word | class) is by counts, smoothed as in the base. The state runs
 through a whole document, carried from window to window, and starts anew with each document.
 
-The weights are fitted by truncated back-propagation on a bounded sample, the `sample_docs` training documents that come
-first in hash order, at most `sample_tokens` of their tokens; counts and scores cover everything. Words counted often
-enough to be among the `frequent` ones are sent to every task; counts of rarer ones meet their tokens in a shuffle.
+The weights are fitted by truncated back-propagation on all training documents. They are dealt by hash to shards, more
+of them as the corpus grows; each shard goes on from the same first weights over all its tokens, and the weights of the
+shards are averaged, by tokens. The first weights come from a bounded sample. Long documents train in pieces of at most
+`piece` tokens, each from a new state. Words counted often enough to be among the `frequent` ones are sent to every task;
+counts of rarer ones meet their tokens in a shuffle.
 
 Defined results. A null or empty text is the end alone. A null doc_id is the text '' (held out). Without training rows N
 and V are 0 and scores come from an untrained model over tail classes. Rows that repeat are scored each. Words and ends
@@ -54,6 +56,11 @@ class Settings(NamedTuple):
     epochs: int = 2
     sample_docs: int = 2000
     sample_tokens: int = 800_000
+    piece: int = 2048
+    shard_bytes: int = 8 << 20
+    shard_batch: int = 256
+    shard_rate: float = 0.003
+    block_tokens: int = 1_500_000
     frequent: int = 1_000_000
     seed: int = 5
 
@@ -300,9 +307,12 @@ def token_logs(net: Net, lay: Layout, states: np.ndarray, ids: np.ndarray) -> np
     return out
 
 
-def fit(ids: np.ndarray, sizes: np.ndarray, lay: Layout, settings: Settings) -> Net:
-    """Truncated back-propagation through time with Adam; windows follow each other, so the state is carried, not the gradient."""
-    net = new_net(lay, settings)
+def fit(ids: np.ndarray, sizes: np.ndarray, lay: Layout, settings: Settings, net: Net | None = None) -> Net:
+    """Truncated back-propagation through time with Adam; windows follow each other, so the state is carried, not the gradient.
+
+    Goes on from `net`, if given, and leaves that as it is.
+    """
+    net = new_net(lay, settings) if net is None else Net(*(p.copy() for p in net))
     if not len(ids):
         return net
     start, n = lay.n_head + TAIL, settings.hidden
@@ -342,7 +352,7 @@ def fit(ids: np.ndarray, sizes: np.ndarray, lay: Layout, settings: Settings) ->
             dstates = np.zeros((states.size // n, n), np.float32)
             dstates[live] = dflat
             dstates = dstates.reshape(states.shape)
-            dtable, dh = np.zeros_like(table), np.zeros_like(h)
+            dh, dins = np.zeros_like(h), np.empty((*xs.shape, 3 * n), np.float32)
             for t in range(len(xs) - 1, -1, -1):
                 before, gates, inner, cand = saved[t]
                 dh = dh + dstates[t]
@@ -350,12 +360,15 @@ def fit(ids: np.ndarray, sizes: np.ndarray, lay: Layout, settings: Settings) ->
                 dcand = dh * (1 - z) * (1 - cand * cand)
                 dz = dh * (before - cand) * z * (1 - z)
                 dr = dcand * inner * r * (1 - r)
-                da = np.concatenate([dr, dz, dcand], 1)
+                dins[t, :, :n], dins[t, :, n : 2 * n], dins[t, :, 2 * n :] = dr, dz, dcand
                 drec = np.concatenate([dr, dz, dcand * r], 1)
-                np.add.at(dtable, xs[t], da)
                 grads[2] += before.T @ drec
                 grads[4] += drec[:, 2 * n :].sum(0)
                 dh = np.where(fs[t][:, None], np.float32(0), dh * z + drec @ net.wh.T)
+            order = np.argsort(xs, axis=None, kind="stable")
+            seen, first = np.unique(xs.ravel()[order], return_index=True)
+            dtable = np.zeros_like(table)
+            dtable[seen] = np.add.reduceat(dins.reshape(-1, 3 * n)[order], first)
             grads[0], grads[1], grads[3] = dtable @ net.wx.T, net.embed.T @ dtable, dtable.sum(0)
             step += 1
             rate = settings.rate * (1 - 0.9 * step / windows)
@@ -380,12 +393,29 @@ def head_rank(counts: Counts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sample_texts(docs: DataFrame, settings: Settings) -> pa.Array:
-    """The sample's texts: a bounded number of rows, first in hash order."""
+    """Texts for the first weights: a bounded number of rows, first in hash order."""
     rows = docs.where("NOT held_out").select("text", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("g")).orderBy("h", "g").limit(settings.sample_docs).collect()
     return pa.array([r["text"] for r in rows], pa.string())
 
 
-def train(docs: DataFrame, counts: Counts, settings: Settings) -> tuple[Net, Layout]:
+def pieces(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents cut into pieces of at most `most` tokens: the size of each piece, and its place in its document."""
+    n = -(-sizes // most)
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.minimum(np.repeat(sizes, n) - place * most, most), place
+
+
+def sample_pieces(ids: np.ndarray, sizes: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """At most `sample_tokens` of a sample: the first piece of each document, then the second of each, and so on."""
+    sizes, place = pieces(sizes, settings.piece)
+    order = np.argsort(place, kind="stable")
+    kept = np.zeros(len(sizes), bool)
+    kept[order[np.cumsum(sizes[order]) <= settings.sample_tokens]] = True
+    return ids[np.repeat(kept, sizes)], sizes[kept]
+
+
+def first_net(docs: DataFrame, counts: Counts, settings: Settings) -> tuple[Net, Layout]:
+    """The weights that all shards go on from."""
     lay, rank = layout(len(counts.head), settings), head_rank(counts)
     ids, sizes = [], []
     for s in K.slices(sample_texts(docs, settings)):
@@ -393,9 +423,71 @@ def train(docs: DataFrame, counts: Counts, settings: Settings) -> tuple[Net, Lay
         ids.append(ids_of(t, counts, rank))
         sizes.append(t.size)
     ids, sizes = np.concatenate([np.zeros(0, np.int64), *ids]), np.concatenate([np.zeros(0, np.int64), *sizes])
-    fit_docs = int(np.searchsorted(np.cumsum(sizes), settings.sample_tokens, "right"))
-    sizes = sizes[: max(fit_docs, min(1, len(sizes)))]
-    return fit(ids[: sizes.sum()], sizes, lay, settings), lay
+    return fit(*sample_pieces(ids, sizes, settings), lay, settings), lay
+
+
+def shard_nets(docs: DataFrame, net: Net, lay: Layout, counts: Counts, shards: int, settings: Settings) -> DataFrame:
+    """Rows (shard, n, weights): the weights after all tokens of a shard, and how many they are."""
+    own = settings._replace(epochs=1, batch=settings.shard_batch, rate=settings.shard_rate)
+    start = docs.sparkSession.sparkContext.broadcast((net, counts._replace(words=np.zeros(0, COUNT))))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, counts = start.value
+        rank, n, ids, sizes, waiting = head_rank(counts), 0, [], [], 0
+
+        def block() -> Net:
+            return fit(np.concatenate(ids), np.concatenate(sizes), lay, own, net)
+
+        for batch in batches:
+            for s in K.slices(batch.column(0)):
+                t = tokens(s)
+                at, size = ids_of(t, counts, rank), pieces(t.size, own.piece)[0]
+                edge = np.concatenate([[0], np.cumsum(size)])
+                i = 0
+                while i < len(size):
+                    j = max(i + 1, int(np.searchsorted(edge, edge[i] + own.block_tokens - waiting, "right")) - 1)
+                    ids.append(at[edge[i] : edge[j]])
+                    sizes.append(size[i:j])
+                    waiting += int(edge[j] - edge[i])
+                    i = j
+                    if waiting >= own.block_tokens - own.piece:
+                        net, n, ids, sizes, waiting = block(), n + waiting, [], [], 0
+        if ids:
+            net, n = block(), n + waiting
+        if n:
+            weights = np.concatenate([p.ravel() for p in net]).astype(np.float32)
+            yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64()), pa.array([weights.tobytes()], pa.binary())], names=["shard", "n", "weights"])
+
+    rows = docs.where("NOT held_out").select("text", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("g"))
+    return rows.repartition(shards, "h", "g").sortWithinPartitions("h", "g").select("text").mapInArrow(learn, "shard int, n long, weights binary")
+
+
+def averaged(nets: DataFrame, net: Net, shards: int) -> Net:
+    """The mean of the shards' weights, by tokens, added in order of shards, 64 of them in a task; `net` if there are none."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for shard, n, x in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                total = held.setdefault(shard // 64, [0, 0.0])
+                total[0] += n
+                total[1] = total[1] + n * np.frombuffer(x, np.float32).astype(np.float64)
+        for group in sorted(held):
+            n, x = held[group]
+            yield pa.record_batch([pa.array([group], pa.int32()), pa.array([n], pa.int64()), pa.array([x.tobytes()], pa.binary())], names=["group", "n", "total"])
+
+    dealt = nets.repartition(shards // 64 + 1, F.floor(F.col("shard") / 64)).sortWithinPartitions("shard")
+    rows = sorted(dealt.mapInArrow(add, "group int, n long, total binary").collect(), key=lambda r: r["group"])
+    if not rows:
+        return net
+    mean = sum(np.frombuffer(r["total"], np.float64) for r in rows) / sum(r["n"] for r in rows)
+    parts = np.split(mean.astype(np.float32), np.cumsum([p.size for p in net])[:-1])
+    return Net(*(x.reshape(p.shape) for x, p in zip(parts, net)))
+
+
+def train(docs: DataFrame, counts: Counts, shards: int, settings: Settings) -> tuple[Net, Layout]:
+    net, lay = first_net(docs, counts, settings)
+    return averaged(shard_nets(docs, net, lay, counts, shards, settings), net, shards), lay
 
 
 class Scorer:
@@ -448,7 +540,7 @@ def score_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     ranges = max(12, int(size / 12) // RANGE_WORDS + 1)
     table = written(word_counts(docs, ranges), "words")
     counts = gathered(table, settings)
-    model = spark.sparkContext.broadcast((*train(docs, counts, settings), counts))
+    model = spark.sparkContext.broadcast((*train(docs, counts, size // settings.shard_bytes + 1, settings), counts))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*model.value)

@@ -13,6 +13,7 @@ sorted. Only doc_id and text are read.
 from __future__ import annotations
 
 import hashlib
+import pkgutil
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,8 +29,8 @@ SPELLINGS = (
 )
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
 
-#: Known notices and licence texts, as published.
-NOTICES = (
+#: Known notices and short licence texts, as published.
+SHORT = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\")."),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
@@ -56,6 +57,30 @@ NOTICES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
+#: Files of full texts, as published: names, and how many spellings or layouts of each.
+FILES = {"Apache-2.0": 2, "GPL-2.0": 3, "GPL-3.0": 3, "MPL-2.0": 2, "BSD-2-Clause": 3, "BSD-3-Clause": 2, "Unlicense": 1}
+#: Title lines of texts that are published with and without one.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", "BSD License", "The BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", "BSD License", "The BSD License"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+}
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """Each known full text with and without its title, in its lines and with each paragraph as one line."""
+    texts = [(name, pkgutil.get_data(__package__, f"license_texts/{name}.{i}.txt").decode()) for name, n in FILES.items() for i in range(1, n + 1)]
+    texts += [x for x in SHORT if len(x[1]) > 400]
+    out = []
+    for name, text in texts:
+        forms = [text] + [f"{title}\n\n{text}" for title in TITLES.get(name, ())]
+        if name not in TITLES:
+            forms.append(text.split("\n\n", 1)[1])  # the first paragraph is the title
+        out += [(name, x) for form in forms for x in (form, re.sub(r"(?<!\n)\n(?!\n)[ \t]*", " ", form))]
+    return out
+
 
 def canonical(text: str) -> str:
     """The canonical form, in Python: the same steps as `canonical_column`."""
@@ -67,20 +92,34 @@ def canonical(text: str) -> str:
     return t.strip(" ")
 
 
+#: All that is known, each canonical form once.
+NOTICES = tuple({(name, canonical(text)): (name, text) for name, text in (*SHORT, *full_texts())}.values())
+#: So many characters begin a known text, and so many of a text, before spellings, settle them.
+HEAD, SETTLES = 12, 80
+
+
 def canonical_column(text: Column, longest: int | None = None) -> Column:
     """The canonical form; null where it must be longer than `longest`, if given.
 
     Of the spellings only a few shorten a text, each by one of six characters or more, which bounds the form's length
     before they are applied.
     """
+    base = unspelled(text)
+    out = spelled(base)
+    return out if longest is None else F.when(5 * F.length(base) <= 6 * (longest + 2), out)
+
+
+def unspelled(text: Column) -> Column:
+    """The canonical form before spellings are made one, with a space at both ends."""
     t = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     t = F.regexp_replace(t, "(?d)" + COPYRIGHT_LINE, " ")
-    base = F.concat(F.lit(" "), F.btrim(F.regexp_replace(t, r"[^a-z0-9\x{80}-\x{10FFFF}]+", " "), F.lit(" ")), F.lit(" "))
-    t = base
+    return F.concat(F.lit(" "), F.btrim(F.regexp_replace(t, r"[^a-z0-9\x{80}-\x{10FFFF}]+", " "), F.lit(" ")), F.lit(" "))
+
+
+def spelled(t: Column) -> Column:
     for old, new in SPELLINGS:
         t = F.replace(t, F.lit(f" {old} "), F.lit(f" {new} "))
-    out = F.btrim(t, F.lit(" "))
-    return out if longest is None else F.when(5 * F.length(base) <= 6 * (longest + 2), out)
+    return F.btrim(t, F.lit(" "))
 
 
 def known_digests(spark: SparkSession) -> DataFrame:
@@ -101,6 +140,9 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     longest = max(len(canonical(text)) for _, text in NOTICES) if own else None
     units = docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("key"), "text")
     lines = units.select("key", F.posexplode(F.concat(F.array("text"), F.split("text", "\n"))).alias("pos", "unit"))
+    if own:  # a spelling changes a text in place, so that a text's first characters settle those of its canonical form
+        heads = sorted({canonical(text)[:HEAD] for _, text in NOTICES})
+        lines = lines.where(F.left(spelled(F.left(unspelled(F.col("unit")), F.lit(SETTLES))), F.lit(HEAD)).isin(heads))
     blank = lines.select("key", "pos", F.sha2(canonical_column(F.col("unit"), longest), 256).alias("digest"))
     found = blank.join(hint(known), "digest")
     marks = found.select("key", "pos", "licence")

@@ -1,8 +1,12 @@
 """Operators do the whole job: nothing is left out by a sample, a gate or a short list."""
 
+import pkgutil
+import re
+
 import numpy as np
 
 from factloom.llm import language_model as lm
+from factloom.llm import licenses
 
 
 def test_all_training_rows_train(spark):
@@ -20,3 +24,26 @@ def test_a_long_document_does_not_end_the_sample():
     got, sizes = lm.sample_pieces(ids, np.array([1000, 5, 25]), settings)
     assert (got == 1).sum() == 5 and (got == 2).sum() == 25 and 60 <= (got == 0).sum() <= 70
     assert sizes.sum() == len(got) <= 100 and sizes.max() <= 10
+
+
+def test_full_licence_texts(spark):
+    texts = {}
+    for name in licenses.FILES:
+        texts[name] = pkgutil.get_data("factloom.llm", f"license_texts/{name}.1.txt").decode()
+    mit = next(text for name, text in licenses.SHORT if name == "MIT" and len(text) > 400)
+    texts["MIT"] = "MIT License\n\nCopyright (c) 2020 Someone\n\n" + mit.replace("software and", "software\nand")
+    texts["ISC"] = "ISC License\n\nCopyright 2020, Someone\n\n" + next(text for name, text in licenses.SHORT if name == "ISC")
+    docs = spark.createDataFrame(list(texts.items()) + [("none", "x" + texts["MIT"])], "doc_id string, text string")
+    found = {r["doc_id"]: r["license"] for r in licenses.scan_licenses(docs).collect()}
+    assert found == {**{name: name for name in texts}, "none": None}
+
+
+def test_first_characters_settle_the_first_of_the_canonical_form():
+    for _, text in licenses.NOTICES:
+        for text in (text, "Licence v2 v2 per cent whilst favour non commercial " * 5 + text):
+            base = f" {re.sub('[^a-z0-9\u0080-\U0010ffff]+', ' ', re.sub(licenses.COPYRIGHT_LINE, ' ', text.lower())).strip()} "
+            short = base[: licenses.SETTLES]
+            for old, new in licenses.SPELLINGS:
+                short = short.replace(f" {old} ", f" {new} ")
+            assert short.strip(" ")[: licenses.HEAD] == licenses.canonical(text)[: licenses.HEAD]
+    assert min(len(licenses.canonical(text)) for _, text in licenses.NOTICES) >= licenses.HEAD

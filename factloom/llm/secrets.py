@@ -14,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -39,7 +39,18 @@ COMMON_WORDS = (
     "hello freedom whatever qazwsx michael jordan hunter summer winter spring autumn charlie thomas george computer internet default "
     "changeme example sample test demo user guest root placeholder your here none null true false value token key dummy public private "
     "love happy money orange banana apple cookie pepper ginger flower silver golden purple yellow green black white blue house horse "
-    "the and that with this from have not you are for was but all can had her his one our out day get has him how man new now old see two way who"
+    "the and that with this from have not you are for was but all can had her his one our out day get has him how man new now old see two way who "
+    # Words of prose, so that a plain word after a credential's name is cheap.
+    "something nothing everything anything someone everyone required optional missing invalid expired disabled enabled unknown undefined changed protected "
+    "encrypted encryption authentication authorization configuration application information description management development environment production "
+    "generated provided returned received rejected accepted response request service session account address document parameter argument variable function "
+    "variables parameters requirements settings security identity identifier username passphrase passwords reminder recovery recommended strength strongly "
+    "characters character alphabet numbers letters special minimum maximum between another because before after through without within should would could "
+    "important different available following necessary possible impossible sometimes always usually probably certainly together yesterday tomorrow morning "
+    "evening question answer problem solution reading writing keeping sharing storage database connection connected transport protocol platform provider "
+    "customer employee company business government university president community education research technology experience knowledge understanding "
+    "confidential restricted personal individual standard previous original temporary permanent automatic automatically manually separately immediately "
+    "repository operating system network website software hardware password1 reference documentation specification implementation"
 ).split()
 WORD_RANK = {w: i + 1 for i, w in enumerate(dict.fromkeys(COMMON_WORDS))}
 LONGEST_WORD = max(map(len, WORD_RANK))
@@ -52,19 +63,58 @@ BRUTE = 1.0  # a power of ten for each character
 SEGMENT = 0.3  # and for each further segment
 
 
+class Run:
+    """The cheapest segment of a run that ends at each place: `cost`, and log10 of how many units of `unit` characters.
+
+    Of two starts in a run, the later one is dropped once it is dearer, since it stays so, and the earlier one if it is
+    never cheaper. Few stay, so that the time is in proportion to the length.
+    """
+
+    def __init__(self, unit: int, least: int, cost: float, n: int, alike: Callable[[int, int], bool]):
+        self.unit, self.least, self.cost = unit, least * unit, cost
+        self.reach = [min(i + unit, n) for i in range(n + 1)]  # the end of the longest run from each place
+        for i in range(n - unit - 1, -1, -1):
+            if alike(i, i + unit):
+                self.reach[i] = self.reach[i + 1]
+        self.live: list[list[tuple[float, int]]] = [[] for _ in range(unit)]  # cost up to the segment's units, start
+
+    def cheapest(self, end: int, best: list[float]) -> float:
+        live, i = self.live[end % self.unit], end - self.least
+        if i >= 0 and self.reach[i] >= end:
+            c = best[i] + (SEGMENT if i else 0.0) + self.cost
+            while live and live[-1][0] >= c:
+                live.pop()
+            live.append((c, i))
+        if not live:
+            return math.inf
+        kept, lowest = [], math.inf
+        for c, i in live:
+            if self.reach[i] >= end:
+                f = c + math.log10((end - i) // self.unit)
+                older = kept and self.reach[kept[-1][1]] == self.reach[i]
+                if not older or f < lowest:
+                    kept.append((c, i))
+                    lowest = f
+        out = min((c + math.log10((end - i) // self.unit) for c, i in kept), default=math.inf)
+        self.live[end % self.unit] = kept
+        return out
+
+
 def guess_cost(value: str) -> float:
     """log10 of the guesses that the cheapest segmentation of `value` needs."""
     n = len(value)
     low = value.lower()
     plain = low.translate(LEET)
     best = [0.0] + [math.inf] * n
-    # Runs that start at each place: repeats and keyboard walks give a segment of every length up to the run's.
-    repeat, walk = [1] * (n + 1), [1] * (n + 1)
-    for i in range(n - 2, -1, -1):
-        repeat[i] = repeat[i + 1] + 1 if value[i] == value[i + 1] else 1
-        steps = low[i + 1] in BESIDE.get(low[i], ()) or abs(ord(low[i + 1]) - ord(low[i])) == 1 and low[i].isalnum() and low[i + 1].isalnum()
-        walk[i] = walk[i + 1] + 1 if steps else 1
-    for i in range(n):
+    # Runs: repeats of a character, walks on the keyboard, and blocks said again; a segment may be any length of a run, from `least` units on.
+    same = lambda a, b: value[a] == value[b]
+    steps = lambda a, b: low[b] in BESIDE.get(low[a], ()) or abs(ord(low[b]) - ord(low[a])) == 1 and low[a].isalnum() and low[b].isalnum()
+    runs = [Run(1, 3, BRUTE, n, same), Run(1, 3, 2.0, n, steps), *(Run(size, 2, size * BRUTE, n, same) for size in range(2, 9))]
+    for i in range(n + 1):
+        for run in runs:
+            best[i] = min(best[i], run.cheapest(i, best))
+        if i == n:
+            break
         here = best[i] + (SEGMENT if i else 0.0)
         best[i + 1] = min(best[i + 1], best[i] + BRUTE)
         for size in range(3, min(LONGEST_WORD, n - i) + 1):
@@ -75,28 +125,12 @@ def guess_cost(value: str) -> float:
         m = DATE.match(value, i)
         if m:
             best[m.end()] = min(best[m.end()], here + (4.0 if m.end() - i > 4 else 2.0))
-        if repeat[i] > 2:
-            end = i + repeat[i]
-            best[end] = min(best[end], here + BRUTE + math.log10(repeat[i]))
-        if walk[i] > 2:
-            end = i + walk[i]
-            best[end] = min(best[end], here + 1.5 + math.log10(walk[i]) + 0.5)
-        # A block said again: the second time costs its count only.
-        for size in range(2, 9):
-            k = 1
-            while value[i : i + size] == value[i + k * size : i + (k + 1) * size] and i + (k + 1) * size <= n and k < n:
-                k += 1
-            if k > 1:
-                end = i + k * size
-                best[end] = min(best[end], here + size * BRUTE + math.log10(k))
-                break
     return best[n]
 
 
 def is_secret_value(value: str, limit: float) -> bool:
-    """Guess cost at or above the limit, and more than one kind of character: one plain word in prose is no credential."""
-    kinds = sum(bool(re.search(p, value)) for p in (r"[a-z]", r"[A-Z]", r"[0-9]", r"[^A-Za-z0-9]"))
-    return kinds >= 2 and bool(re.search(r"[0-9]|[^A-Za-z0-9.,;:!?)\]-]", value.rstrip(".,;:!?)]"))) and guess_cost(value) >= limit
+    """Guess cost at or above the limit; plain words are cheap by their ranks."""
+    return guess_cost(value) >= limit
 
 
 class Found(NamedTuple):

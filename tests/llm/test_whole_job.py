@@ -1,12 +1,15 @@
 """Operators do the whole job: nothing is left out by a sample, a gate or a short list."""
 
+import math
 import pkgutil
+import random
 import re
+import time
 
 import numpy as np
 
 from factloom.llm import language_model as lm
-from factloom.llm import licenses
+from factloom.llm import licenses, secrets
 
 
 def test_all_training_rows_train(spark):
@@ -47,3 +50,51 @@ def test_first_characters_settle_the_first_of_the_canonical_form():
                 short = short.replace(f" {old} ", f" {new} ")
             assert short.strip(" ")[: licenses.HEAD] == licenses.canonical(text)[: licenses.HEAD]
     assert min(len(licenses.canonical(text)) for _, text in licenses.NOTICES) >= licenses.HEAD
+
+
+def test_guess_cost_decides():
+    for text, value in (
+        ("pwd: QxZvTkLmWpRnBsHcJd", "QxZvTkLmWpRnBsHcJd"),
+        ("passphrase = correct-horse-battery-staple", "correct-horse-battery-staple"),
+        ("client_key: 8391027465019283", "8391027465019283"),
+    ):
+        a = text.index(value)
+        assert f"guess:{a}:{len(text)}" in secrets.joined(secrets.scan_text(text, 8.0).spans)
+    for text in ("pwd: aaaaaaaaaaaaaaaa", "passphrase: authentication", "credentials: something", "pwd: 12345678901234"):
+        assert "guess" not in secrets.joined(secrets.scan_text(text, 8.0).spans)
+
+
+def least_cost(value: str) -> float:
+    """guess_cost over all segments, each taken from the definition."""
+    n, low, plain = len(value), value.lower(), value.lower().translate(secrets.LEET)
+    best = [0.0] + [math.inf] * n
+    for i in range(n):
+        here = best[i] + (secrets.SEGMENT if i else 0.0)
+        for j in range(i + 1, n + 1):
+            v, size = value[i:j], j - i
+            costs = [here + math.log10(size) + 2.0] if size > 2 and all(low[k + 1] in secrets.BESIDE.get(low[k], ()) or abs(ord(low[k + 1]) - ord(low[k])) == 1 and low[k : k + 2].isalnum() and low[k].isalnum() for k in range(i, j - 1)) else []
+            costs += [best[i] + 1.0] if size == 1 else []
+            costs += [here + 1 + math.log10(size)] if size > 2 and v == v[0] * size else []
+            costs += [here + p + math.log10(size // p) for p in range(2, 9) if size % p == 0 and size >= 2 * p and v == v[:p] * (size // p)]
+            if plain[i:j] in secrets.WORD_RANK and size > 2:
+                costs.append(here + math.log10(secrets.WORD_RANK[plain[i:j]] + 1) + 0.5 * ((low[i:j] != v) + (plain[i:j] != low[i:j])))
+            m = secrets.DATE.match(value, i)
+            if m and m.end() == j:
+                costs.append(here + (4.0 if size > 4 else 2.0))
+            best[j] = min([best[j], *costs])
+    return best[n]
+
+
+def test_every_length_of_a_run():
+    rng = random.Random(3)
+    values = ["asdfghunter", "aaaapple", "ababababc", "1234567dragon", "aabaabaabaab"]
+    values += ["".join(rng.choice(["a", "b", "s", "d", "1", "2", "3", "the", "summer", "qwerty", "ab", "aaa", "2020"]) for _ in range(rng.randint(1, 14))) for _ in range(300)]
+    for v in values:
+        assert abs(secrets.guess_cost(v) - least_cost(v)) < 1e-9, v
+
+
+def test_long_values_take_time_in_proportion():
+    for v in ("a", "ab", "qwerty", "abcabd", "asdfghunter"):
+        began = time.process_time()
+        secrets.guess_cost(v * (60_000 // len(v)))
+        assert time.process_time() - began < 20

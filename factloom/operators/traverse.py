@@ -6,9 +6,11 @@ lost executor costs a level at most and plans don't grow. With a limit, admissio
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -247,20 +249,83 @@ def cycles_of(adjacency: dict[str, list[str]], *, rotate: bool = True, dedupe: b
     return found
 
 
-def component_cycles(edges: DataFrame, components: DataFrame, most: int = 100_000) -> DataFrame:
-    """(component, cycle): cycles in each strong component, as ` -> ` paths. A component must fit one task: `most` edges."""
+def component_cycles(edges: DataFrame, components: DataFrame) -> DataFrame:
+    """(component, cycle): cycles in each strong component, as ` -> ` paths.
+
+    The order of a depth-first search is one task's work for each component. It holds the component's edges as numbers,
+    and gives its cycles as it finds them, so they needn't fit in memory.
+    """
     e = edges.select("src", "dst").distinct().join(components.select(F.col("id").alias("src"), F.col("component")), "src")
     e = e.join(components.select(F.col("id").alias("dst"), F.col("component").alias("other")), "dst").where("component = other")
-    if not e.groupBy("component").count().where(F.col("count") > most).isEmpty():
-        raise ValueError(f"a strong component has more than {most} edges; list its members instead")
 
-    def one(group):
-        import pandas as pd
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for name, near in _adjacencies(batches):
+            for cycle in distinct_cycles(*near):
+                rows.append((name, " -> ".join(cycle)))
+                size += len(rows[-1][1])
+                if size > 4 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows)], ["component", "cycle"])
+                    rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows)], ["component", "cycle"])
+
+    own = e.select("component", "src", "dst").repartition("component").sortWithinPartitions("component", "src", "dst")
+    return own.mapInArrow(search, "component string, cycle string")
+
 
-        near: dict[str, list[str]] = {}
-        for a, b in zip(group["src"], group["dst"]):
-            near.setdefault(a, []).append(b)
-        rows = [" -> ".join([*c, c[0]]) for c in cycles_of(near)]
-        return pd.DataFrame({"component": [group["component"].iloc[0]] * len(rows), "cycle": rows})
+def _adjacencies(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, tuple[list[str], np.ndarray, np.ndarray]]]:
+    """Each component of rows in order of (component, src, dst): its name, and the nodes, edges' first places and targets.
 
-    return e.select("component", "src", "dst").groupBy("component").applyInPandas(one, "component string, cycle string")
+    In a strong component each node is a source, so sources in order are all nodes, and a node's number is its rank.
+    """
+    name, nodes, first, ends, n = None, [], [], [], 0
+
+    def done() -> tuple[str, tuple[list[str], np.ndarray, np.ndarray]]:
+        rank = {x: i for i, x in enumerate(nodes)}
+        return name, (nodes, np.array([*first, n]), np.array([rank[x] for x in ends], np.int32))
+
+    for batch in batches:
+        for c, a, b in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            if c != name:
+                if name is not None:
+                    yield done()
+                name, nodes, first, ends, n = c, [], [], [], 0
+            if not nodes or nodes[-1] != a:
+                nodes.append(a)
+                first.append(n)
+            ends.append(b)
+            n += 1
+    if name is not None:
+        yield done()
+
+
+def distinct_cycles(nodes: list[str], first: np.ndarray, targets: np.ndarray) -> Iterator[list[str]]:
+    """The cycles of `cycles_of`, each closed by its first node again, found over sorted numbers of nodes.
+
+    Each back edge of a search closes one cycle, and no other has that edge as its only one outside the tree, so that none
+    is found twice.
+    """
+    place = np.full(len(nodes), -1, np.int64)  # on the path, or -2: done
+    at = first[:-1].copy()
+    for root in range(len(nodes)):
+        if place[root] != -1:
+            continue
+        path, names = [root], [nodes[root]]
+        place[root] = 0
+        while path:
+            last = path[-1]
+            if at[last] == first[last + 1]:
+                place[path.pop()] = -2
+                names.pop()
+                continue
+            nxt = int(targets[at[last]])
+            at[last] += 1
+            if place[nxt] >= 0:
+                cycle = path[place[nxt] :]
+                least = place[nxt] + cycle.index(min(cycle))
+                yield [*names[least:], *names[place[nxt] : least + 1]]
+            elif place[nxt] == -1:
+                place[nxt] = len(path)
+                path.append(nxt)
+                names.append(nodes[nxt])

@@ -119,3 +119,25 @@ def test_renames(spark):
     now = spark.createDataFrame([("x", "1"), ("y", "1"), ("c", "9")], "path string, sha256 string")
     rows = {(r["path"], r["status"], r["old_path"]) for r in impact.detect_changes(stored, now).collect()}
     assert rows == {("x", "changed", None), ("y", "changed", None), ("c", "changed", None), ("y", "renamed", "a"), ("y", "renamed", "b"), ("d", "deleted", None)}
+
+
+def test_cycles_of_large_and_dense_components(spark):
+    import random
+
+    rng = random.Random(1)
+    dense = {(f"n{rng.randrange(40):02}", f"n{rng.randrange(40):02}") for _ in range(300)}
+    ring = {(f"r{i:06}", f"r{(i + 1) % 110_000:06}") for i in range(110_000)}  # above 100,000 edges
+    edges = spark.createDataFrame(sorted((a, b) for a, b in dense | ring if a != b), "src string, dst string")
+    near: dict[str, list[str]] = {}
+    for a, b in sorted(dense):
+        if a != b:
+            near.setdefault(a, []).append(b)
+    parts = traverse.strong_components(edges.where("src < 'r'"))
+    members = {r["id"]: r["component"] for r in parts.collect()}
+    inside = {a: [b for b in bs if members.get(b) == members[a]] for a, bs in near.items() if a in members}
+    expected = sorted(" -> ".join([*c, c[0]]) for c in traverse.cycles_of(inside))
+    both = parts.unionByName(edges.where("src >= 'r'").selectExpr("src AS id", "'r000000' AS component"))
+    found = sorted(r["cycle"] for r in traverse.component_cycles(edges, both).where("component < 'r'").collect())
+    assert found == expected and len(expected) > 20
+    large = traverse.component_cycles(edges, both).where("component = 'r000000'").collect()
+    assert [(r["cycle"][:18], r["cycle"].count(" -> ")) for r in large] == [("r000000 -> r000001", 110_000)]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.paths import basename, first_segment, path_from_id, percent_match
 from factloom.functions.text import json_flag, line_count, lines, paragraphs
+from factloom.operators.select import broadcast_few
 from factloom.operators.traverse import IMPORTS, reach
 
 
@@ -50,11 +51,11 @@ def missing_edges(expected: DataFrame, edges: DataFrame, kind: str = "IMPORTS_FR
 
 
 def layer_violations(edges: DataFrame, rules: DataFrame) -> DataFrame:
-    """(name, src, dst): imports that a rule (name, from_pat, to_pat, from_not) forbids. Rules are policy: few rows, broadcast."""
+    """(name, src, dst): imports that a rule (name, from_pat, to_pat, from_not) forbids. Rules are policy: broadcast if few."""
     imports = edges.where("kind = 'IMPORTS_FROM'").select("src", "dst", path_from_id(F.col("src")).alias("f"), path_from_id(F.col("dst")).alias("t"))
     hit = percent_match(F.col("f"), F.col("from_pat")) & percent_match(F.col("t"), F.col("to_pat"))
     spared = F.exists("from_not", lambda p: percent_match(F.col("f"), p))
-    return imports.join(F.broadcast(rules.limit(1000)), hit & ~spared).select("name", "src", "dst")
+    return imports.join(broadcast_few(rules, 1000), hit & ~spared).select("name", "src", "dst")
 
 
 def relevant_tests(nodes: DataFrame, edges: DataFrame) -> DataFrame:

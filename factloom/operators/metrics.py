@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.paths import extension, path_from_id
+from factloom.operators.select import broadcast_few
 
 #: Signals by id: what of a diagnostic must hold. Codes end in % for a prefix; ext is a path's extensions. Fixed values.
 TS = ("ts", "tsx", "js", "jsx", "mts", "cts")
@@ -100,11 +101,11 @@ def latency_observations(records: DataFrame, budgets: DataFrame) -> DataFrame:
 
     records: record_id, command, state, bucket, recorded_at, duration_ms, phases (phase, duration_ms). budgets: command,
     scope, bucket, budget_ms, phase_budgets (phase, budget_ms); a budget's command is a prefix of words. Budgets are
-    policy, at most 200. A record without a budget is one total.
+    policy, broadcast if few. A record without a budget is one total.
     """
-    b = budgets.limit(200).select(F.col("command").alias("b_command"), F.col("scope").alias("b_scope"), F.col("bucket").alias("b_bucket"), "budget_ms", "phase_budgets")
+    b = budgets.select(F.col("command").alias("b_command"), F.col("scope").alias("b_scope"), F.col("bucket").alias("b_bucket"), "budget_ms", "phase_budgets")
     prefix = (F.col("command") == F.col("b_command")) | F.col("command").startswith(F.concat("b_command", F.lit(" ")))
-    both = records.join(F.broadcast(b), (F.col("state") == F.col("b_scope")) & (F.col("bucket") == F.col("b_bucket")) & prefix, "left")
+    both = records.join(broadcast_few(b, 200), (F.col("state") == F.col("b_scope")) & (F.col("bucket") == F.col("b_bucket")) & prefix, "left")
     name = F.coalesce("b_command", "command").alias("command")
     keep = [name, "state", "bucket"]
     total = both.select(*keep, F.lit("total").alias("phase"), "recorded_at", "record_id", "duration_ms", "budget_ms")

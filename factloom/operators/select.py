@@ -122,3 +122,8 @@ def with_edge_files(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     s = nodes.select(F.col("id").alias("src"), F.col("path").alias("__src_path"))
     d = nodes.select(F.col("id").alias("dst"), F.col("path").alias("__dst_path"))
     return edges.join(s, "src", "left").join(d, "dst", "left").withColumn("file_path", F.coalesce("__src_path", "__dst_path")).drop("__src_path", "__dst_path")
+
+
+def broadcast_few(policy: DataFrame, most: int) -> DataFrame:
+    """A policy table with a broadcast hint if it has at most `most` rows; a larger one is whole, and the planner's choice."""
+    return F.broadcast(policy) if policy.limit(most + 1).count() <= most else policy

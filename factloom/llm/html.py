@@ -2,9 +2,10 @@
 
 A page becomes a line of events: words and tags. Words score positive and tags negative, each class by a weight learnt
 from labelled pages: how much more often it comes inside the main text than outside, in logarithms. One linear scan
-finds the contiguous run of events with the highest sum. The run then grows to the element that holds it (an article or
-main element around it, else the closest one below the body), so that a short first or last paragraph stays; elements
-that are no article text (menus, notices, forms, comments and so on) count as one tag and give no text.
+finds the contiguous run of events with the highest sum. The run then grows to the elements that hold it (all article or
+main elements that it meets, else the closest one below the body), so that a short first or last paragraph stays; elements
+that are no article text (menus, notices, forms, comments and so on) count as one tag and give no text. In an article or
+main element, those whose class or id may as well name a part of the article stay, unless their scores are against them.
 
 Defined results. A null or empty page, or one without words outside such elements, gives an empty string. White space
 inside a block, line breaks included, turns into one space; blocks come in page order. Broken markup is read leniently:
@@ -48,6 +49,8 @@ NOT_CLASS = frozenset(
     "comment comments commentlist respond reply replies disqus discussion share sharing social related recommended recommendations widget toolbar pagination "
     "pager skip banner copyright disclaimer".split()
 )
+#: Of these words, those that an article's own parts have too: in an article or main element the scores decide.
+IN_DOUBT = frozenset("header footer masthead banner notice notification alert discussion share sharing social related recommended recommendations widget overlay copyright disclaimer".split())
 HOLDERS = frozenset(("article", "main"))
 INLINE_LINK, LIST, SECTION, TEXT_BLOCK, OTHER, LEFT_OUT = "link", "list", "section", "text", "other", "left out"
 CLASS_OF = (
@@ -71,14 +74,15 @@ class Page(NamedTuple):
     names: list[str]  # of a tag event, with / for a close tag
     elements: list[Element]
     skipped: list[bool]  # inside an element that gives no text
+    doubtful: list[Element]  # in an article or main element, and named by a word in doubt
 
 
-def attributes_say_no(tag: str) -> bool:
+def attributes_say_no(tag: str, words: frozenset[str] = NOT_CLASS) -> bool:
     for key, value in ATTRIBUTE.findall(tag[len(NAME.match(tag)[0]) :]):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in NOT_ROLE:
             return True
-        if key in ("class", "id") and any(w in NOT_CLASS for w in re.split(r"[\s_-]+|(?<=[a-z])(?=\d)", value)):
+        if key in ("class", "id") and any(w in words for w in re.split(r"[\s_-]+|(?<=[a-z])(?=\d)", value)):
             return True
     return False
 
@@ -88,6 +92,7 @@ def parse(page: str) -> Page:
     kinds, texts, names = [], [], []
     elements: list[list] = []
     out: list[int] = []  # elements that may give no text
+    doubt: list[int] = []
     stack: list[int] = []
 
     def close(upto: int) -> None:
@@ -133,7 +138,8 @@ def parse(page: str) -> Page:
         elements.append([name, len(kinds) - 1, -1, stack[-1] if stack else -1])
         inside = any(elements[e][0] in HOLDERS for e in stack)
         if name in NOT_TEXT and not (name == "header" and inside) or name not in ("html", "body", *HOLDERS) and attributes_say_no(token):
-            out.append(index)
+            sure = name in NOT_TEXT and name != "header" or not inside or attributes_say_no(token, NOT_CLASS - IN_DOUBT)
+            (out if sure else doubt).append(index)
         elif name == "article" and any(e in out for e in stack):
             pass
         stack.append(index)
@@ -146,19 +152,34 @@ def parse(page: str) -> Page:
             continue  # a wrapper of the article, whatever it is called
         for k in range(first, last):
             skipped[k] = True
-    return Page(kinds, texts, names, [Element(*e) for e in elements], skipped)
+    return Page(kinds, texts, names, [Element(*e) for e in elements], skipped, [Element(*elements[e]) for e in doubt])
 
 
-def best_run(page: Page, weights: dict[str, float]) -> tuple[int, int] | None:
-    """First and last event (exclusive) of the run with the highest sum; None if no words score."""
-    best, found, total, begin, left_out = 0.0, None, 0.0, 0, False
-    for k, kind in enumerate(page.kinds):
+def scores(page: Page, weights: dict[str, float], first: int, last: int) -> Iterator[float]:
+    """The score of each event; of events left out in a row, the first has that of one tag."""
+    left_out = False
+    for k in range(first, last):
         if page.skipped[k]:
-            score = 0.0 if left_out else weights[LEFT_OUT]
+            yield 0.0 if left_out else weights[LEFT_OUT]
             left_out = True
         else:
             left_out = False
-            score = weights["words"] * len(page.texts[k].split()) if kind == "words" else weights[kind]
+            yield weights["words"] * len(page.texts[k].split()) if page.kinds[k] == "words" else weights[page.kinds[k]]
+
+
+def judged(page: Page, weights: dict[str, float]) -> Page:
+    """The page without the elements in doubt whose scores speak against them too, inner ones first."""
+    for e in reversed(page.doubtful):
+        closed = page.names[e.last - 1] == "/" + e.name
+        if sum(scores(page, weights, e.first + 1, e.last - closed)) <= 0:  # of what it holds
+            page.skipped[e.first : e.last] = [True] * (e.last - e.first)
+    return page
+
+
+def best_run(page: Page, weights: dict[str, float]) -> tuple[int, int] | None:
+    """First and last event (exclusive) of the run with the highest sum; None if no words score."""
+    best, found, total, begin = 0.0, None, 0.0, 0
+    for k, score in enumerate(scores(page, weights, 0, len(page.kinds))):
         total += score
         if total > best:
             best, found = total, (begin, k + 1)
@@ -168,12 +189,13 @@ def best_run(page: Page, weights: dict[str, float]) -> tuple[int, int] | None:
 
 
 def grown(page: Page, run: tuple[int, int]) -> tuple[int, int]:
-    """The run, as far as the article or main element around it, else the closest element below the body."""
+    """The run, as far as the article or main elements that it meets, else the closest element around it below the body."""
     around = [e for e in page.elements if e.first <= run[0] and e.last >= run[1] or e.first < run[1] and e.last > run[0] and e.name in HOLDERS]
     holders = [e for e in around if e.name in HOLDERS]
     if holders:
         e = max(holders, key=lambda e: (min(e.last, run[1]) - max(e.first, run[0]), e.first))
-        return e.first, e.last
+        apart = [h for h in holders if h.last <= e.first or h.first >= e.last]
+        return min(h.first for h in (e, *apart)), max(h.last for h in (e, *apart))
     inner = [e for e in around if e.name not in ("html", "body")]
     if inner:
         e = max(inner, key=lambda e: e.first)
@@ -201,7 +223,7 @@ def main_text(source: str | None, weights: dict[str, float]) -> str:
     """The main text of one page."""
     if not source:
         return ""
-    page = parse(source)
+    page = judged(parse(source), weights)
     run = best_run(page, weights)
     return "\n\n".join(block_texts(page, grown(page, run))) if run else ""
 

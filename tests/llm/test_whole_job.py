@@ -9,7 +9,7 @@ import time
 import numpy as np
 
 from factloom.llm import language_model as lm
-from factloom.llm import licenses, secrets
+from factloom.llm import html, licenses, secrets
 
 
 def test_all_training_rows_train(spark):
@@ -98,3 +98,16 @@ def test_long_values_take_time_in_proportion():
         began = time.process_time()
         secrets.guess_cost(v * (60_000 // len(v)))
         assert time.process_time() - began < 20
+
+
+def test_all_articles_of_a_run_and_parts_of_an_article():
+    weights = html.learnt_weights(html.labelled_pages())
+    prose = lambda w, n: f"<p>{' '.join(f'{w}{i}' for i in range(n))}</p>"
+    links = "<ul>" + "<li><a href=x>link</a></li>" * 8 + "</ul>"
+    two = f"<body><nav>{links}</nav><article>{prose('first', 80)}</article><article>{prose('second', 60)}<p>last</p></article><div>{links}</div></body>"
+    found = html.main_text(two, weights)
+    assert "first0" in found and "second59" in found and found.endswith("last") and "link" not in found
+    page = f"<body><article><div class=post-header><h1>A title of seven words for this</h1></div>{prose('body', 80)}<section id=discussion>{prose('discussed', 40)}</section><div class=related>{links}</div><div class=ad>{prose('advert', 9)}</div></article></body>"
+    found = html.main_text(page, weights)
+    assert found.startswith("A title of seven") and "body79" in found and "discussed39" in found
+    assert "link" not in found and "advert" not in found

@@ -344,7 +344,9 @@ def set_links(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> Dat
             break
         tried, links = tried.unionByName(probes), links.unionByName(more)
         labels = components(links)
-    left = _open(left, labels).join(verify.rows.select("sid", *PARITY), "sid")
+    # Never null, as far as Spark can tell: else the code for the condition is too long for the JVM to compile.
+    bits = verify.rows.select("sid", *(F.coalesce(p, F.lit(0).cast("long")).alias(p) for p in PARITY))
+    left = _open(left, labels).join(bits, "sid")
     x, y = (left.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("sid", "n", "pos", "label", *PARITY))) for k in "xy")
     differ = lambda names: sum((F.bit_count(F.col(f"{p}_x").bitwiseXOR(F.col(f"{p}_y"))) for p in names), F.lit(0))
     sizes = F.col("n_x") + F.col("n_y")

@@ -37,3 +37,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+
+
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """`labels` (node, label) after more links (a, b): components of the labels that the links join, which are few."""
+    ends = links.select("a", "b")
+    for end in ("a", "b"):
+        own = labels.select(F.col("node").alias(end), F.col("label").alias(f"to_{end}"))
+        ends = ends.join(own, end, "left").withColumn(f"to_{end}", F.coalesce(f"to_{end}", end))
+    ends = written(ends, "ends")
+    found = components(ends.select(F.col("to_a").alias("a"), F.col("to_b").alias("b")))
+    new = ends.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))
+    old = labels.unionByName(new)
+    to = found.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return written(old.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import kernel as K
-from factloom.llm.components import components
+from factloom.llm.components import components, joined
 from factloom.llm.shared import plain_columns, small_arrow_batches, written
 
 #: Shingles that come last in the order: found as repeated within a task, and then this often overall.
@@ -45,6 +45,8 @@ PARITY = [f"parity{i}" for i in range(PARITY_LONGS)]
 ENTRY = np.dtype([("token", "<u8"), ("grp", "<u8"), ("pos", "<u4")])
 #: Turns of probing before all that is left is compared.
 PROBES = 2
+#: Members of a shingle that are compared within one task.
+BLOCK = 2_000
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
@@ -330,8 +332,7 @@ def set_links(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> Dat
     star = near.select(F.col("head").alias("a"), F.col("to.head").alias("b"))
     star = star.unionByName(members.join(groups.where("size > 1").select("grp", "head"), "grp").select(F.col("sid").alias("a"), F.col("head").alias("b")))
     tried = written(_ordered(star), "star")
-    links = verify.links(tried)
-    labels = components(links)
+    labels = written(components(verify.links(tried)), "labels")
 
     # What may still join two components: members that share a shingle of their prefixes, or all of them.
     each = entries.select("token", "grp", "pos").unionByName(groups.where("size > 1").select(F.col("grp").alias("token"), "grp", F.lit(0).cast("long").alias("pos")))
@@ -342,29 +343,47 @@ def set_links(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> Dat
         more = verify.links(probes)
         if more.isEmpty():
             break
-        tried, links = tried.unionByName(probes), links.unionByName(more)
-        labels = components(links)
+        tried = tried.unionByName(probes)
+        labels = joined(labels, more)
     # Never null, as far as Spark can tell: else the code for the condition is too long for the JVM to compile.
     bits = verify.rows.select("sid", *(F.coalesce(p, F.lit(0).cast("long")).alias(p) for p in PARITY))
     left = _open(left, labels).join(bits, "sid")
-    x, y = (left.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("sid", "n", "pos", "label", *PARITY))) for k in "xy")
+    x, y = _blocks(left)
     differ = lambda names: sum((F.bit_count(F.col(f"{p}_x").bitwiseXOR(F.col(f"{p}_y"))) for p in names), F.lit(0))
     sizes = F.col("n_x") + F.col("n_y")
     most = sizes - 2 * F.ceil(percent * sizes / (100 + percent))
     near_enough = (differ(PARITY[:6]) <= most) & (differ(PARITY) <= most)  # a few bits tell most pairs apart
-    pairs = x.join(y, "token").where((F.col("label_x") < F.col("label_y")) & _fits("{}_x", "{}_y", percent) & near_enough)
+    apart = (F.col("label_x") < F.col("label_y")) | (F.col("one") < F.col("two")) & (F.col("label_x") != F.col("label_y"))
+    pairs = x.join(y, ["token", "one", "two"]).where(apart & _fits("{}_x", "{}_y", percent) & near_enough)
     rest = written(_ordered(pairs.select(F.col("sid_x").alias("a"), F.col("sid_y").alias("b"))).join(tried, ["a", "b"], "left_anti"), "rest")
     more = verify.links(rest)
-    return labels if more.isEmpty() else components(links.unionByName(more))
+    return labels if more.isEmpty() else joined(labels, more)
 
 
 def _open(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    """Entries (token, sid, n, pos, label) of shingles whose members aren't all in one component yet."""
+    """Entries (token, sid, n, pos, label, members) of shingles whose members aren't all in one component yet; members: how many."""
     e = entries.select("token", "sid", "n", "pos").join(labels, F.col("sid") == F.col("node"), "left").select("token", "sid", "n", "pos", F.coalesce("label", "sid").alias("label"))
-    ends = e.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
+    ends = e.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("token", "members")
     return written(e.join(ends, "token"), "open")
 
 
+def _blocks(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two sides whose join on (token, one, two) has every pair of a token's members once, in any order where one < two, in both if they are equal.
+
+    Members are cut into blocks by a hash, and a pair meets under the numbers of its blocks: many tasks share a hot token.
+    """
+    names = ("sid", "n", "pos", "label", *PARITY)
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    own = left.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    few, many = own.where("blocks = 1"), own.where("blocks > 1")
+    sides = []
+    for k, one, two in (("x", F.col("own"), F.explode(F.expr("sequence(own, blocks - 1)"))), ("y", F.explode(F.expr("sequence(0, own)")), F.col("own"))):
+        values = [F.col(c).alias(f"{c}_{k}") for c in names]
+        alone = few.select("token", F.lit(0).alias("one"), F.lit(0).alias("two"), *values)
+        sides.append(alone.unionByName(many.select("token", one.alias("one"), two.alias("two"), *values)))
+    return sides[0], sides[1]
+
+
 def _probes(left: DataFrame, turn: int, percent: int) -> DataFrame:
     """Pairs (a, b): members with members of the component that most of their shingle's members have.
 
@@ -386,8 +405,9 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80) ->
     labels = set_links(docs, sets, width, percent)
     rows = sets.where("sid IS NOT NULL").select("doc_id", "text_hash", "sid", "n")
     full = rows.where("n > 0").join(labels, F.col("sid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "sid")).drop("node", "sid")
-    least = full.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    full = full.join(least, "label")
+    # A component may hold most rows: minima are combined before the shuffle, and written, so that its rows needn't meet in one task.
+    least = written(full.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
+    full = full.join(F.broadcast(least) if least.count() <= BROADCAST_IDS else least, "label")
     empty = rows.where("n = 0").select("doc_id", "text_hash", "n", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("label"))
     return full.unionByName(empty, allowMissingColumns=True).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "text_hash", "label")
 

@@ -38,9 +38,13 @@ TAIL = 24
 LANES = 512
 FLUSH_TOKENS = 3_000_000
 RANGE_WORDS = 800_000
-COUNT = np.dtype([("h", "<u8"), ("c", "<u4"), ("k", "u1")])
+COUNT = np.dtype([("h", "<u8"), ("c", "<u8"), ("k", "u1")])
 ASK = np.dtype([("h", "<u8"), ("ref", "<i8")])
 SMOOTH = 0.1
+#: Counts are below 2 ** COUNT_BITS.
+COUNT_BITS = 62
+#: Weights that one task adds up.
+NETS_IN_TASK = 64
 
 
 class Settings(NamedTuple):
@@ -55,6 +59,7 @@ class Settings(NamedTuple):
     rate: float = 0.01
     epochs: int = 2
     sample_docs: int = 2000
+    sample_bytes: int = 32_768
     sample_tokens: int = 800_000
     piece: int = 2048
     shard_bytes: int = 8 << 20
@@ -111,7 +116,7 @@ def summed(entries: np.ndarray) -> np.ndarray:
     first = np.flatnonzero(np.concatenate([[True], entries["h"][1:] != entries["h"][:-1]])) if len(entries) else np.zeros(0, np.int64)
     out = entries[first].copy()
     if len(first):
-        out["c"] = np.minimum(np.add.reduceat(entries["c"].astype(np.int64), first), 0xFFFFFFFF)
+        out["c"] = np.add.reduceat(entries["c"], first)
     return out
 
 
@@ -170,13 +175,13 @@ def gathered(table: DataFrame, settings: Settings) -> Counts:
             for x in batch.column(0).to_pylist():
                 e = np.frombuffer(x, COUNT)
                 c = e["c"].astype(np.int64)
-                above = [int((c >= 1 << k).sum()) for k in range(33)]
+                above = [int((c >= 1 << k).sum()) for k in range(COUNT_BITS)]
                 by_class = [np.bincount(e["k"], minlength=TAIL).tolist(), np.bincount(e["k"], weights=c, minlength=TAIL).astype(np.int64).tolist()]
                 yield pa.record_batch([pa.array([v], pa.list_(pa.int64())) for v in ([int(c.sum()), len(c)], above, *by_class)], names=["n", "above", "kinds", "total"])
 
     looked = table.select("words").mapInArrow(look, "n array<long>, above array<long>, kinds array<long>, total array<long>").toPandas()
     add = lambda name, n: np.sum(np.array(looked[name].tolist(), np.int64).reshape(-1, n), axis=0)
-    (total, kinds), above = add("n", 2), add("above", 33)
+    (total, kinds), above = add("n", 2), add("above", COUNT_BITS)
     k = int(np.flatnonzero(above <= settings.frequent)[0])
 
     def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,9 +246,16 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return np.float32(0.5) * np.tanh(np.float32(0.5) * x) + np.float32(0.5)
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def softmax(x: np.ndarray) -> np.ndarray:
+    x = np.exp(x - x.max(1, keepdims=True))
+    x /= (x @ np.ones(x.shape[1], np.float32))[:, None]
+    return x
+
+
+def log_total(x: np.ndarray) -> np.ndarray:
+    """Logarithm of each row's sum of exponentials."""
+    top = x.max(1)
+    return top + np.log(np.exp(x - top[:, None]) @ np.ones(x.shape[1], np.float32))
 
 
 def lanes(sizes: np.ndarray, width: int) -> list[list[int]]:
@@ -275,35 +287,45 @@ def in_lanes(ids: np.ndarray, sizes: np.ndarray, width: int, start: int) -> tupl
     return x, place, fresh
 
 
-def forward(net: Net, table: np.ndarray, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
+class Steps(NamedTuple):
+    """What back-propagation needs of each step of a window."""
+
+    before: np.ndarray  # the state it began with
+    gates: np.ndarray
+    inner: np.ndarray
+    cand: np.ndarray
+
+
+def forward(net: Net, table: np.ndarray, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, Steps | None]:
     """States after each step of a window; `table` is the inputs' part of the gates."""
-    n, out, saved = net.wh.shape[0], np.empty((len(x), len(h), net.wh.shape[0]), np.float32), []
+    n, out, any_fresh = net.wh.shape[0], np.empty((len(x), len(h), net.wh.shape[0]), np.float32), fresh.any(1)
+    saved = Steps(*(np.empty((len(x), len(h), k * n), np.float32) for k in (1, 2, 1, 1))) if keep else None
     for t in range(len(x)):
-        if fresh[t].any():
+        if any_fresh[t]:
             h = np.where(fresh[t][:, None], np.float32(0), h)
         a, r = table[x[t]], h @ net.wh
         gates = sigmoid(a[:, : 2 * n] + r[:, : 2 * n])
         inner = r[:, 2 * n :] + net.bn
         cand = np.tanh(a[:, 2 * n :] + gates[:, :n] * inner)
-        new = cand + gates[:, n:] * (h - cand)
         if keep:
-            saved.append((h, gates, inner, cand))
-        h = out[t] = new
+            saved.before[t], saved.gates[t], saved.inner[t], saved.cand[t] = h, gates, inner, cand
+        h = out[t] = cand + gates[:, n:] * (h - cand)
     return out, saved
 
 
 def token_logs(net: Net, lay: Layout, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """log P(class) + log P(word | class), natural, of flat states and ids; of a tail id the class alone."""
     cls = lay.classes(ids)
-    out = log_softmax(states @ net.wc + net.bc)[np.arange(len(ids)), cls]
-    order = np.argsort(cls, kind="stable")
+    x = states @ net.wc + net.bc
+    out = x[np.arange(len(ids)), cls] - log_total(x)
+    order = np.argsort(cls.astype(np.int16), kind="stable")
     edge = np.searchsorted(cls[order], np.arange(len(lay.edge)))
     for c in range(len(lay.edge) - 1):
         rows = order[edge[c] : edge[c + 1]]
         if len(rows):
             lo, hi = lay.edge[c], lay.edge[c + 1]
-            inside = log_softmax(states[rows] @ net.wo[lo:hi].T + net.bo[lo:hi])
-            out[rows] += inside[np.arange(len(rows)), ids[rows] - lo]
+            x = states[rows] @ net.wo[lo:hi].T + net.bo[lo:hi]
+            out[rows] += x[np.arange(len(rows)), ids[rows] - lo] - log_total(x)
     return out
 
 
@@ -333,18 +355,18 @@ def fit(ids: np.ndarray, sizes: np.ndarray, lay: Layout, settings: Settings, net
             grads = [np.zeros_like(p) for p in net]
             scale = np.float32(1 / live.sum())
             cls = lay.classes(y)
-            dc = np.exp(log_softmax(flat @ net.wc + net.bc))
+            dc = softmax(flat @ net.wc + net.bc)
             dc[np.arange(len(y)), cls] -= 1
             dc *= scale
             grads[5], grads[6] = flat.T @ dc, dc.sum(0)
             dflat = dc @ net.wc.T
-            order = np.argsort(cls, kind="stable")
+            order = np.argsort(cls.astype(np.int16), kind="stable")
             edge = np.searchsorted(cls[order], np.arange(len(lay.edge)))
             for c in range(len(lay.edge) - 1):
                 rows = order[edge[c] : edge[c + 1]]
                 if len(rows):
                     lo, hi = lay.edge[c], lay.edge[c + 1]
-                    dw = np.exp(log_softmax(flat[rows] @ net.wo[lo:hi].T + net.bo[lo:hi]))
+                    dw = softmax(flat[rows] @ net.wo[lo:hi].T + net.bo[lo:hi])
                     dw[np.arange(len(rows)), y[rows] - lo] -= 1
                     dw *= scale
                     grads[7][lo:hi], grads[8][lo:hi] = dw.T @ flat[rows], dw.sum(0)
@@ -352,20 +374,22 @@ def fit(ids: np.ndarray, sizes: np.ndarray, lay: Layout, settings: Settings, net
             dstates = np.zeros((states.size // n, n), np.float32)
             dstates[live] = dflat
             dstates = dstates.reshape(states.shape)
-            dh, dins = np.zeros_like(h), np.empty((*xs.shape, 3 * n), np.float32)
+            before, gates, inner, cand = saved
+            r, z = gates[..., :n], gates[..., n:]
+            by_cand, by_z, by_r = (1 - z) * (1 - cand * cand), (before - cand) * z * (1 - z), inner * r * (1 - r)
+            dh, dins, drec = np.zeros_like(h), np.empty((*xs.shape, 3 * n), np.float32), np.empty((*xs.shape, 3 * n), np.float32)
+            back, any_fresh = np.ascontiguousarray(net.wh.T), fs.any(1)
             for t in range(len(xs) - 1, -1, -1):
-                before, gates, inner, cand = saved[t]
                 dh = dh + dstates[t]
-                r, z = gates[:, :n], gates[:, n:]
-                dcand = dh * (1 - z) * (1 - cand * cand)
-                dz = dh * (before - cand) * z * (1 - z)
-                dr = dcand * inner * r * (1 - r)
-                dins[t, :, :n], dins[t, :, n : 2 * n], dins[t, :, 2 * n :] = dr, dz, dcand
-                drec = np.concatenate([dr, dz, dcand * r], 1)
-                grads[2] += before.T @ drec
-                grads[4] += drec[:, 2 * n :].sum(0)
-                dh = np.where(fs[t][:, None], np.float32(0), dh * z + drec @ net.wh.T)
-            order = np.argsort(xs, axis=None, kind="stable")
+                dcand = dh * by_cand[t]
+                dins[t, :, :n], dins[t, :, n : 2 * n], dins[t, :, 2 * n :] = dcand * by_r[t], dh * by_z[t], dcand
+                drec[t, :, : 2 * n], drec[t, :, 2 * n :] = dins[t, :, : 2 * n], dcand * r[t]
+                dh = dh * z[t] + drec[t] @ back
+                if any_fresh[t]:
+                    dh = np.where(fs[t][:, None], np.float32(0), dh)
+            grads[2] = before.reshape(-1, n).T @ drec.reshape(-1, 3 * n)
+            grads[4] = drec.reshape(-1, 3 * n)[:, 2 * n :].sum(0)
+            order = np.argsort(xs.ravel().astype(np.int16) if start < 1 << 15 else xs.ravel(), kind="stable")
             seen, first = np.unique(xs.ravel()[order], return_index=True)
             dtable = np.zeros_like(table)
             dtable[seen] = np.add.reduceat(dins.reshape(-1, 3 * n)[order], first)
@@ -393,9 +417,18 @@ def head_rank(counts: Counts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sample_texts(docs: DataFrame, settings: Settings) -> pa.Array:
-    """Texts for the first weights: a bounded number of rows, first in hash order."""
-    rows = docs.where("NOT held_out").select("text", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("g")).orderBy("h", "g").limit(settings.sample_docs).collect()
-    return pa.array([r["text"] for r in rows], pa.string())
+    """Texts for the first weights, in hash order: at most `sample_docs` rows of at most `sample_bytes`, so the driver holds 64 MB of them.
+
+    Rows whose hash is low enough are asked for, not the lowest of all: each task would send as many as that to the driver.
+    """
+    own = docs.where("NOT held_out").where(F.octet_length("text") <= settings.sample_bytes)
+    n = own.count()
+    if not n or not settings.sample_docs:
+        return pa.array([], pa.string())
+    rows = own.select("text", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("g"))
+    low = int(min(1.0, 0.9 * settings.sample_docs / n) * 10**12)
+    rows = rows.where(F.pmod(F.xxhash64("h", "g"), F.lit(10**12)) < low).limit(settings.sample_docs).collect()
+    return pa.array([r["text"] for r in sorted(rows, key=lambda r: (r["h"], r["g"]))], pa.string())
 
 
 def pieces(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -427,7 +460,7 @@ def first_net(docs: DataFrame, counts: Counts, settings: Settings) -> tuple[Net,
 
 
 def shard_nets(docs: DataFrame, net: Net, lay: Layout, counts: Counts, shards: int, settings: Settings) -> DataFrame:
-    """Rows (shard, n, weights): the weights after all tokens of a shard, and how many they are."""
+    """Rows (shard, n, weights): how many tokens a shard has, and the weights after all of them, times that number."""
     own = settings._replace(epochs=1, batch=settings.shard_batch, rate=settings.shard_rate)
     start = docs.sparkSession.sparkContext.broadcast((net, counts._replace(words=np.zeros(0, COUNT))))
 
@@ -455,7 +488,7 @@ def shard_nets(docs: DataFrame, net: Net, lay: Layout, counts: Counts, shards: i
         if ids:
             net, n = block(), n + waiting
         if n:
-            weights = np.concatenate([p.ravel() for p in net]).astype(np.float32)
+            weights = np.concatenate([p.ravel() for p in net]).astype(np.float64) * n
             yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64()), pa.array([weights.tobytes()], pa.binary())], names=["shard", "n", "weights"])
 
     rows = docs.where("NOT held_out").select("text", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("g"))
@@ -463,24 +496,30 @@ def shard_nets(docs: DataFrame, net: Net, lay: Layout, counts: Counts, shards: i
 
 
 def averaged(nets: DataFrame, net: Net, shards: int) -> Net:
-    """The mean of the shards' weights, by tokens, added in order of shards, 64 of them in a task; `net` if there are none."""
+    """The mean of the shards' weights, by tokens, added in order of shards, NETS_IN_TASK in a task, level by level; `net` if there are none."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         for batch in batches:
             for shard, n, x in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                total = held.setdefault(shard // 64, [0, 0.0])
+                total = held.setdefault(shard // NETS_IN_TASK, [0, 0.0])
                 total[0] += n
-                total[1] = total[1] + n * np.frombuffer(x, np.float32).astype(np.float64)
+                total[1] = total[1] + np.frombuffer(x, np.float64)
         for group in sorted(held):
             n, x = held[group]
-            yield pa.record_batch([pa.array([group], pa.int32()), pa.array([n], pa.int64()), pa.array([x.tobytes()], pa.binary())], names=["group", "n", "total"])
-
-    dealt = nets.repartition(shards // 64 + 1, F.floor(F.col("shard") / 64)).sortWithinPartitions("shard")
-    rows = sorted(dealt.mapInArrow(add, "group int, n long, total binary").collect(), key=lambda r: r["group"])
+            yield pa.record_batch([pa.array([group], pa.int32()), pa.array([n], pa.int64()), pa.array([x.tobytes()], pa.binary())], names=["shard", "n", "weights"])
+
+    while True:
+        groups = (shards - 1) // NETS_IN_TASK + 1
+        dealt = nets.repartition(groups, F.floor(F.col("shard") / NETS_IN_TASK)).sortWithinPartitions("shard")
+        sums = dealt.mapInArrow(add, "shard int, n long, weights binary")
+        if groups <= NETS_IN_TASK:
+            break
+        nets, shards = written(sums, "weights"), groups
+    rows = sorted(sums.collect(), key=lambda r: r["shard"])
     if not rows:
         return net
-    mean = sum(np.frombuffer(r["total"], np.float64) for r in rows) / sum(r["n"] for r in rows)
+    mean = sum(np.frombuffer(r["weights"], np.float64) for r in rows) / sum(r["n"] for r in rows)
     parts = np.split(mean.astype(np.float32), np.cumsum([p.size for p in net])[:-1])
     return Net(*(x.reshape(p.shape) for x, p in zip(parts, net)))
 

@@ -242,20 +242,21 @@ def new_net(lay: Layout, settings: Settings) -> Net:
     return Net(make(lay.n_head + TAIL + 1, e), make(e, 3 * h), make(h, 3 * h), zero(3 * h), zero(h), make(h, lay.n_classes), zero(lay.n_classes), make(lay.n_head, h), zero(lay.n_head))
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.float32(0.5) * np.tanh(np.float32(0.5) * x) + np.float32(0.5)
-
-
 def softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(1, keepdims=True))
-    x /= (x @ np.ones(x.shape[1], np.float32))[:, None]
+    """Of each column, in place: numpy reduces long rows much faster than many short ones."""
+    x -= x.max(0)
+    np.exp(x, out=x)
+    x /= x.sum(0)
     return x
 
 
-def log_total(x: np.ndarray) -> np.ndarray:
-    """Logarithm of each row's sum of exponentials."""
-    top = x.max(1)
-    return top + np.log(np.exp(x - top[:, None]) @ np.ones(x.shape[1], np.float32))
+def log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Logarithm of each column's softmax at one row; overwrites `x`."""
+    out = x[at, np.arange(len(at))]
+    top = x.max(0)
+    x -= top
+    np.exp(x, out=x)
+    return out - top - np.log(x.sum(0))
 
 
 def lanes(sizes: np.ndarray, width: int) -> list[list[int]]:
@@ -291,41 +292,72 @@ class Steps(NamedTuple):
     """What back-propagation needs of each step of a window."""
 
     before: np.ndarray  # the state it began with
-    gates: np.ndarray
-    inner: np.ndarray
+    reset: np.ndarray
+    update: np.ndarray
+    inner: np.ndarray  # the candidate's recurrent part
     cand: np.ndarray
 
 
-def forward(net: Net, table: np.ndarray, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, Steps | None]:
-    """States after each step of a window; `table` is the inputs' part of the gates."""
+def steps(window: int, lanes: int, n: int) -> Steps:
+    return Steps(*(np.empty((window, lanes, n), np.float32) for _ in Steps._fields))
+
+
+def gate(x: np.ndarray) -> np.ndarray:
+    """Sigmoid of twice `x`, in place."""
+    np.tanh(x, out=x)
+    x *= np.float32(0.5)
+    x += np.float32(0.5)
+    return x
+
+
+def thirds(x: np.ndarray, n: int) -> list[np.ndarray]:
+    return [np.ascontiguousarray(x[:, k * n : (k + 1) * n]) for k in range(3)]
+
+
+def forward(net: Net, table: np.ndarray, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, saved: Steps | None = None) -> np.ndarray:
+    """States after each step of a window; `table` is the inputs' part of the gates. Fills `saved`, if given."""
     n, out, any_fresh = net.wh.shape[0], np.empty((len(x), len(h), net.wh.shape[0]), np.float32), fresh.any(1)
-    saved = Steps(*(np.empty((len(x), len(h), k * n), np.float32) for k in (1, 2, 1, 1))) if keep else None
+    half = np.float32(0.5)
+    (in_reset, in_update, in_cand), (reset_h, update_h, cand_h) = thirds(table, n), thirds(net.wh, n)
+    for w in (in_reset, in_update, reset_h, update_h):
+        w *= half
     for t in range(len(x)):
         if any_fresh[t]:
             h = np.where(fresh[t][:, None], np.float32(0), h)
-        a, r = table[x[t]], h @ net.wh
-        gates = sigmoid(a[:, : 2 * n] + r[:, : 2 * n])
-        inner = r[:, 2 * n :] + net.bn
-        cand = np.tanh(a[:, 2 * n :] + gates[:, :n] * inner)
-        if keep:
-            saved.before[t], saved.gates[t], saved.inner[t], saved.cand[t] = h, gates, inner, cand
-        h = out[t] = cand + gates[:, n:] * (h - cand)
-    return out, saved
+        reset, update, inner = h @ reset_h, h @ update_h, h @ cand_h
+        reset += in_reset.take(x[t], 0)
+        update += in_update.take(x[t], 0)
+        inner += net.bn
+        gate(reset)
+        gate(update)
+        cand = reset * inner
+        cand += in_cand.take(x[t], 0)
+        np.tanh(cand, out=cand)
+        if saved:
+            saved.before[t], saved.reset[t], saved.update[t], saved.inner[t], saved.cand[t] = h, reset, update, inner, cand
+        new = out[t]
+        np.subtract(h, cand, out=new)
+        new *= update
+        new += cand
+        h = new
+    return out
 
 
 def token_logs(net: Net, lay: Layout, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """log P(class) + log P(word | class), natural, of flat states and ids; of a tail id the class alone."""
     cls = lay.classes(ids)
-    x = states @ net.wc + net.bc
-    out = x[np.arange(len(ids)), cls] - log_total(x)
+    x = net.wc.T @ states.T
+    x += net.bc[:, None]
+    out = log_softmax_at(x, cls)
     order = np.argsort(cls.astype(np.int16), kind="stable")
     edge = np.searchsorted(cls[order], np.arange(len(lay.edge)))
     for c in range(len(lay.edge) - 1):
         rows = order[edge[c] : edge[c + 1]]
         if len(rows):
             lo, hi = lay.edge[c], lay.edge[c + 1]
-            x = states[rows] @ net.wo[lo:hi].T + net.bo[lo:hi]
-            out[rows] += x[np.arange(len(rows)), ids[rows] - lo] - log_total(x)
+            x = net.wo[lo:hi] @ states[rows].T
+            x += net.bo[lo:hi, None]
+            out[rows] += log_softmax_at(x, ids[rows] - lo)
     return out
 
 
@@ -341,12 +373,14 @@ def fit(ids: np.ndarray, sizes: np.ndarray, lay: Layout, settings: Settings, net
     x, place, fresh = in_lanes(ids, sizes, settings.batch, start)
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net]
     step, windows = 0, -(-len(x) // settings.window) * settings.epochs
+    saved, back = steps(settings.window, x.shape[1], n), steps(settings.window, x.shape[1], n)
     for _ in range(settings.epochs):
         h = np.zeros((x.shape[1], n), np.float32)
         for w in range(0, len(x), settings.window):
             xs, fs, ps = x[w : w + settings.window], fresh[w : w + settings.window], place[w : w + settings.window]
             table = net.embed @ net.wx + net.b
-            states, saved = forward(net, table, xs, fs, h, True)
+            now = Steps(*(s[: len(xs)] for s in saved))
+            states = forward(net, table, xs, fs, h, now)
             h = states[-1]
             live = ps.ravel() >= 0
             if not live.any():
@@ -355,44 +389,57 @@ def fit(ids: np.ndarray, sizes: np.ndarray, lay: Layout, settings: Settings, net
             grads = [np.zeros_like(p) for p in net]
             scale = np.float32(1 / live.sum())
             cls = lay.classes(y)
-            dc = softmax(flat @ net.wc + net.bc)
-            dc[np.arange(len(y)), cls] -= 1
+            dc = net.wc.T @ flat.T
+            dc += net.bc[:, None]
+            softmax(dc)
+            dc[cls, np.arange(len(y))] -= 1
             dc *= scale
-            grads[5], grads[6] = flat.T @ dc, dc.sum(0)
-            dflat = dc @ net.wc.T
+            grads[5], grads[6] = (dc @ flat).T, dc.sum(1)
+            dflat = dc.T @ net.wc.T
             order = np.argsort(cls.astype(np.int16), kind="stable")
             edge = np.searchsorted(cls[order], np.arange(len(lay.edge)))
+            head = order[: edge[-1]]
+            by_class, own, dhead = flat[head], y[head], np.empty((len(head), n), np.float32)
             for c in range(len(lay.edge) - 1):
-                rows = order[edge[c] : edge[c + 1]]
-                if len(rows):
+                i, j = edge[c], edge[c + 1]
+                if j > i:
                     lo, hi = lay.edge[c], lay.edge[c + 1]
-                    dw = softmax(flat[rows] @ net.wo[lo:hi].T + net.bo[lo:hi])
-                    dw[np.arange(len(rows)), y[rows] - lo] -= 1
+                    dw = net.wo[lo:hi] @ by_class[i:j].T
+                    dw += net.bo[lo:hi, None]
+                    softmax(dw)
+                    dw[own[i:j] - lo, np.arange(j - i)] -= 1
                     dw *= scale
-                    grads[7][lo:hi], grads[8][lo:hi] = dw.T @ flat[rows], dw.sum(0)
-                    dflat[rows] += dw @ net.wo[lo:hi]
+                    grads[7][lo:hi], grads[8][lo:hi] = dw @ by_class[i:j], dw.sum(1)
+                    dhead[i:j] = dw.T @ net.wo[lo:hi]
+            dflat[head] += dhead
             dstates = np.zeros((states.size // n, n), np.float32)
             dstates[live] = dflat
             dstates = dstates.reshape(states.shape)
-            before, gates, inner, cand = saved
-            r, z = gates[..., :n], gates[..., n:]
-            by_cand, by_z, by_r = (1 - z) * (1 - cand * cand), (before - cand) * z * (1 - z), inner * r * (1 - r)
-            dh, dins, drec = np.zeros_like(h), np.empty((*xs.shape, 3 * n), np.float32), np.empty((*xs.shape, 3 * n), np.float32)
-            back, any_fresh = np.ascontiguousarray(net.wh.T), fs.any(1)
+            d_reset, d_update, d_cand, d_inner = (s[: len(xs)] for s in back[:4])
+            keep = 1 - now.update
+            by_cand, by_update, by_reset = keep * (1 - now.cand * now.cand), (now.before - now.cand) * now.update * keep, now.inner * now.reset * (1 - now.reset)
+            dh, any_fresh = np.zeros_like(h), fs.any(1)
+            to_reset, to_update, to_inner = (np.ascontiguousarray(w.T) for w in thirds(net.wh, n))
             for t in range(len(xs) - 1, -1, -1):
                 dh = dh + dstates[t]
-                dcand = dh * by_cand[t]
-                dins[t, :, :n], dins[t, :, n : 2 * n], dins[t, :, 2 * n :] = dcand * by_r[t], dh * by_z[t], dcand
-                drec[t, :, : 2 * n], drec[t, :, 2 * n :] = dins[t, :, : 2 * n], dcand * r[t]
-                dh = dh * z[t] + drec[t] @ back
+                np.multiply(dh, by_cand[t], out=d_cand[t])
+                np.multiply(dh, by_update[t], out=d_update[t])
+                np.multiply(d_cand[t], by_reset[t], out=d_reset[t])
+                np.multiply(d_cand[t], now.reset[t], out=d_inner[t])
+                dh *= now.update[t]
+                dh += d_reset[t] @ to_reset
+                dh += d_update[t] @ to_update
+                dh += d_inner[t] @ to_inner
                 if any_fresh[t]:
                     dh = np.where(fs[t][:, None], np.float32(0), dh)
-            grads[2] = before.reshape(-1, n).T @ drec.reshape(-1, 3 * n)
-            grads[4] = drec.reshape(-1, 3 * n)[:, 2 * n :].sum(0)
+            first_h = now.before.reshape(-1, n).T
+            grads[2] = np.concatenate([first_h @ d.reshape(-1, n) for d in (d_reset, d_update, d_inner)], 1)
+            grads[4] = d_inner.sum((0, 1))
             order = np.argsort(xs.ravel().astype(np.int16) if start < 1 << 15 else xs.ravel(), kind="stable")
             seen, first = np.unique(xs.ravel()[order], return_index=True)
             dtable = np.zeros_like(table)
-            dtable[seen] = np.add.reduceat(dins.reshape(-1, 3 * n)[order], first)
+            for k, d in enumerate((d_reset, d_update, d_cand)):
+                dtable[seen, k * n : (k + 1) * n] = np.add.reduceat(d.reshape(-1, n)[order], first)
             grads[0], grads[1], grads[3] = dtable @ net.wx.T, net.embed.T @ dtable, dtable.sum(0)
             step += 1
             rate = settings.rate * (1 - 0.9 * step / windows)
@@ -555,7 +602,7 @@ class Scorer:
         x, place, fresh = in_lanes(ids, t.size, LANES, self.lay.n_head + TAIL)
         h = np.zeros((x.shape[1], self.net.wh.shape[0]), np.float32)
         for w in range(0, len(x), 32):
-            states, _ = forward(self.net, self.table, x[w : w + 32], fresh[w : w + 32], h, False)
+            states = forward(self.net, self.table, x[w : w + 32], fresh[w : w + 32], h)
             h = states[-1]
             p = place[w : w + 32].ravel()
             live = p >= 0

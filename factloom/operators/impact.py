@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from factloom.functions.paths import path_from_id
 from factloom.functions.text import json_flag
-from factloom.operators.traverse import IMPORTS, contained, reach
+from factloom.operators.traverse import IMPORTS, contained, reach, reach_limited
+from factloom.plans.durable import written
 
 
 def is_test() -> Column:
@@ -33,6 +34,49 @@ def impact(nodes: DataFrame, edges: DataFrame, paths: DataFrame, max_depth: int
     return every.select("id", role.alias("role"), F.coalesce("path", path_from_id(F.col("id"))).alias("path"))
 
 
+def _descendants(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, id): what CONTAINS edges reach from each root (id)."""
+    steps = edges.where("kind = 'CONTAINS'").select(F.col("src").alias("a"), F.col("dst").alias("b")).join(nodes.select(F.col("id").alias("b")), "b", "left_semi").distinct()
+    front = roots.select(F.col("id").alias("root"), "id")
+    seen = None
+    while True:
+        new = front.join(steps, F.col("id") == F.col("a")).select("root", F.col("b").alias("id")).distinct()
+        front = written(new if seen is None else new.join(seen, ["root", "id"], "left_anti"), "inside")
+        if front.isEmpty():
+            return front if seen is None else seen
+        seen = front if seen is None else seen.unionByName(front)
+
+
+def impact_limited(nodes: DataFrame, edges: DataFrame, paths: DataFrame, max_depth: int, limit: int) -> tuple[DataFrame, bool]:
+    """(id, role, path) of at most `limit` nodes, in the order in which impact admits them; whether any was turned away.
+
+    paths: (path, pos). First come the files, as a queue admits them; then, by file, what each contains, by id; then, by
+    symbol, its tests, each followed by the test's file. At most `limit` rows stay of each phase.
+    """
+    starts = nodes.where("kind = 'File'").join(paths.select("path", "pos"), "path").select("id", "pos")
+    files, truncated = reach_limited(nodes, edges, starts, IMPORTS, False, max_depth, limit)
+    taken = written(files.select("id"), "impact")
+
+    def admit(candidates: DataFrame) -> None:
+        nonlocal taken, truncated
+        room = limit - taken.count()
+        new = candidates.groupBy("id").agg(F.min("key").alias("key")).join(taken, "id", "left_anti")
+        first = written(new.orderBy("key").limit(room + 1).select("id", "key"), "impact")
+        truncated = truncated or first.count() > room
+        taken = written(taken.unionByName(first.orderBy("key").limit(room).select("id")), "impact")
+
+    roots = nodes.where("kind = 'File'").join(taken, "id", "left_semi").select("id")
+    admit(_descendants(nodes, edges, roots).select("id", F.struct("root", "id").alias("key")))
+    symbols = nodes.where((F.col("kind") != "File") & ~is_test()).join(taken, "id", "left_semi").select(F.col("id").alias("src"))
+    tested = edges.where("kind = 'TESTED_BY'").join(symbols, "src", "left_semi").select("src", "dst", F.struct("src", F.struct("kind", "src", "dst", "id")).alias("by"))
+    tested = tested.join(nodes.select(F.col("id").alias("dst"), F.coalesce("path", path_from_id(F.col("id"))).alias("path")), "dst")
+    own = tested.select(F.col("dst").alias("id"), F.struct("by", F.lit(0).alias("nth")).alias("key"))
+    homes = tested.join(nodes.where("kind = 'File'").select("id", "path"), "path").select("id", F.struct("by", F.lit(1).alias("nth")).alias("key"))
+    admit(own.unionByName(homes))
+    role = F.when(F.col("kind") == "File", "file").when(is_test(), "test").otherwise("symbol")
+    return nodes.join(taken, "id", "left_semi").select("id", role.alias("role"), F.coalesce("path", path_from_id(F.col("id"))).alias("path")), truncated
+
+
 def impacted_files(found: DataFrame) -> DataFrame:
     return found.where("role = 'file'").select("path").distinct()
 

@@ -261,7 +261,9 @@ def _(t):
     return traverse.strong_components(written(t.edges.where("kind = 'IMPORTS_FROM'"), "edges"))
 
 
-@query("q_shortest_path")
+@query("q_shortest_path", """, o AS (SELECT min(o_orderkey) AS o FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1),
+  w AS (SELECT o, c_custkey AS c, c_nationkey AS n FROM o JOIN orders ON o_orderkey = o JOIN customer ON o_custkey = c_custkey)
+  SELECT 0 AS step, 'module:region/1' AS id, CAST(NULL AS VARCHAR) AS edge_kind UNION ALL SELECT 1, concat('module:nation/', n), 'CONTAINS' FROM w UNION ALL SELECT 2, concat('module:customer/', c), 'CONTAINS' FROM w UNION ALL SELECT 3, concat('file:order/', o), 'CONTAINS' FROM w""")
 def _(t):
     nodes, edges = written(t.nodes.select("id"), "ids"), written(t.edges, "edges")
     held = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
@@ -726,7 +728,7 @@ def _(t):
 
 # Store and streams
 
-@query("q_incremental_equals_full")
+@query("q_incremental_equals_full", " SELECT 'nodes' AS \"table\", CAST(0 AS BIGINT) AS differences UNION ALL SELECT 'edges', 0 UNION ALL SELECT 'file_hashes', 0")
 def _(t):
     from factloom.operators.store import FactStore
 
@@ -744,7 +746,7 @@ def _(t):
     return t.spark.createDataFrame([(name, count(name)) for name in full], "table string, differences long")
 
 
-@query("q_stream_latency")
+@query("q_stream_latency", ", z AS (SELECT max(recorded_at) - INTERVAL 1 HOUR AS mark FROM latency_records) SELECT date_trunc('day', recorded_at) AS window_start, command, count(*) AS n, avg(duration_ms) AS mean_ms, max(duration_ms) AS max_ms FROM latency_records, z WHERE date_trunc('day', recorded_at) + INTERVAL 1 DAY <= mark GROUP BY 1, 2")
 def _(t):
     from factloom.streaming.latency import latency_windows, run_available
 

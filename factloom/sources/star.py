@@ -44,12 +44,26 @@ VIEWS = {
       UNION ALL SELECT concat('gone/', doc_id, '.md'), sha2(concat(content, 'y'), 256) FROM files WHERE doc_id % 13 = 5""",
     "latency_records": """SELECT event_id AS record_id, event_type AS command, CASE WHEN user_id % 2 = 0 THEN 'warm' ELSE 'cold' END AS state, ts AS recorded_at,
         CASE WHEN user_id * 100 <= 100 THEN 'small' WHEN user_id * 100 <= 5000 THEN 'medium' ELSE 'large' END AS bucket, value AS duration_ms FROM events""",
+    # Source files made from the tables by a rule: a module for each part, supplier and nation, which imports another one.
+    "py_links": "SELECT p_partkey AS k, q FROM part LEFT JOIN (SELECT p AS a, min(np) AS q FROM seq WHERE np IS NOT NULL AND p <> np GROUP BY p) y ON a = p_partkey",
+    "ts_links": "SELECT x.s_suppkey AS k, y.s_suppkey AS q FROM supplier x LEFT JOIN supplier y ON y.s_suppkey = x.s_suppkey + 1 AND x.s_suppkey % 4 <> 0",
+    "rs_links": "SELECT x.n_nationkey AS k, y.n_nationkey AS q FROM nation x LEFT JOIN nation y ON y.n_nationkey = x.n_nationkey + 1 AND x.n_nationkey % 5 < 2",
+    "code_files": """SELECT concat('pkg/m', k, '.py') AS path, concat('import os', chr(10), CASE WHEN q IS NULL THEN concat('class C', k, ':', chr(10), '    def go(self):', chr(10), '        return 1')
+        ELSE concat('from pkg.m', q, ' import f', q, ', C', q, chr(10), chr(10), chr(10), 'class C', k, '(C', q, '):', chr(10), '    def go(self):', chr(10), '        return f', q, '(1)') END, chr(10), chr(10), chr(10),
+        'def f', k, '(x):', chr(10), '    return len(x) if x else 0', chr(10), chr(10), chr(10), 'def _hidden', k, '():', chr(10), '    return f', k, '(2)', chr(10), chr(10), chr(10), 'def test_f', k, '():', chr(10), '    f', k, '(3)', chr(10)) AS content FROM py_links
+      UNION ALL SELECT concat('web/s', k, '.ts'), concat(CASE WHEN q IS NULL THEN '' ELSE concat('import { run', q, ' } from "./s', q, '";', chr(10)) END, 'export interface Shape', k, ' {', chr(10), '  size: number;', chr(10), '}', chr(10),
+        'export interface Loose', k, ' {', chr(10), '}', chr(10), 'export class Box', k, ' implements Shape', k, ' {', chr(10), '}', chr(10), 'export function run', k, '() {', chr(10), '  return ', CASE WHEN q IS NULL THEN '1' ELSE concat('run', q, '()') END, ';', chr(10), '}', chr(10),
+        'test("runs ', k, '", () => {', chr(10), '  run', k, '();', chr(10), '});', chr(10)) FROM ts_links
+      UNION ALL SELECT concat('rs/src/n', k, '.rs'), concat(CASE WHEN k % 2 = 1 THEN concat('#![allow(warnings, dead_code)]', chr(10)) ELSE '' END, CASE WHEN q IS NULL THEN '' ELSE concat('use crate::n', q, '::go', q, ';', chr(10)) END,
+        'pub struct S', k, ';', chr(10), 'pub trait T', k, ' {}', chr(10), 'impl T', k, ' for S', k, ' {}', chr(10), 'pub fn go', k, '() {}', chr(10), CASE WHEN k % 3 = 0 THEN concat('include!("n', k, '.inc");', chr(10)) ELSE '' END) FROM rs_links
+      UNION ALL SELECT concat('go/r', r_regionkey, '.go'), 'package r' FROM region""",
     "history": "SELECT conv_id AS report_id, role AS signal_id, turn AS sequence, CAST(length(text) AS BIGINT) AS amount FROM conversations",
 }
 
 NEEDS = {
     "seq": ("lineitem",), "edges0": ("seq", "nation", "customer", "orders", "part"), "edges": ("edges0",), "nodes": ("seq", "part", "orders", "region", "nation", "customer"),
     "files": ("documents",), "current_hashes": ("files",), "stored_hashes": ("files",), "latency_records": ("events",), "history": ("conversations",),
+    "py_links": ("part", "seq"), "ts_links": ("supplier",), "rs_links": ("nation",), "code_files": ("py_links", "ts_links", "rs_links", "region"),
 }
 
 

@@ -100,9 +100,12 @@ def _dotted(n) -> str | None:
 
 def parse_python(path: str, text: str) -> list[dict]:
     try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError) as e:
+        return _parsed_python(path, ast.parse(text))
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:  # the last two: nested too deeply
         return [_row(path, "diagnostic", kind="error", message=f"syntax: {e}"[:300])]
+
+
+def _parsed_python(path: str, tree: ast.Module) -> list[dict]:
     public = None
     for n in tree.body:
         if isinstance(n, ast.Assign) and any(isinstance(t, ast.Name) and t.id == "__all__" for t in n.targets) and isinstance(n.value, (ast.List, ast.Tuple)):
@@ -115,7 +118,7 @@ def parse_python(path: str, text: str) -> list[dict]:
 
 TS_DECLARE = re.compile(r"^[ \t]*(export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(function\*?|class|interface|type|enum|const|let|var)\s+([A-Za-z_$][\w$]*)(?:<[^>{]*>)?(?:\s+extends\s+([\w$.]+))?(?:\s+implements\s+([\w$., ]+))?", re.MULTILINE)
 TS_IMPORT = re.compile(r"""(?:import|export)\s+(?:type\s+)?(?:([\w$]+)\s*,?\s*)?(?:\{([^}]*)\}|\*(?:\s+as\s+([\w$]+))?)?\s*(?:from\s*)?["']([^"']+)["']|import\(\s*["']([^"']+)["']\s*\)|require\(\s*["']([^"']+)["']\s*\)""")
-TS_CALL = re.compile(r"(?<![\w$.])(?:new\s+)?([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)\s*\(")
+TS_CALL = re.compile(r"(?<![\w$.])(?:new\s+|((?:function|class)\b[*\s]*))?([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)\s*\(")
 TS_TEST = re.compile(r"""(?<![\w$.])(?:test|it)\(\s*["'`]([^"'`]+)["'`]""")
 TS_KIND = {"function": "Function", "function*": "Function", "class": "Class", "interface": "Type", "type": "Type", "enum": "Type"}
 TS_WORDS = frozenset("if for while switch catch return function import require typeof super test it describe expect constructor".split())
@@ -152,9 +155,9 @@ def parse_typescript(path: str, text: str) -> list[dict]:
 
     starts = [a for a, _ in spans]
     for m in TS_CALL.finditer(text):
-        if m[1].split(".")[0] not in TS_WORDS and not text[: m.start()].rstrip().endswith(("function", "class")):
+        if not m[1] and m[2].split(".")[0] not in TS_WORDS:
             owner = spans[bisect_right(starts, m.start()) - 1][1]
-            rows.append(_row(path, "call", owner=owner, target=m[1], pos=pos, is_test=owner.startswith("test:")))
+            rows.append(_row(path, "call", owner=owner, target=m[2], pos=pos, is_test=owner.startswith("test:")))
     return rows
 
 
@@ -165,13 +168,31 @@ RUST_IMPL = re.compile(r"^impl(?:<[^>]*>)?\s+(?:([\w:]+)(?:<[^>]*>)?\s+for\s+)?(
 RUST_KIND = {"fn": "Function", "struct": "Struct", "enum": "Enum", "trait": "Trait", "mod": "Module", "type": "TypeAlias", "const": "Const", "static": "Static", "macro_rules!": "Macro"}
 
 
+RUST_CLOSE = re.compile(r"^\}", re.MULTILINE)
+
+
 def parse_rust(path: str, text: str) -> list[dict]:
+    """Items of one file; a method's id has the type of its impl, so that methods of one name stay apart."""
+    from bisect import bisect_left, bisect_right
+
     rows, pos = [], 0
+    closes = [m.start() for m in RUST_CLOSE.finditer(text)]
+    impls = [(m.start(), m[2].split("::")[-1]) for m in RUST_IMPL.finditer(text)]
+    starts = [a for a, _ in impls]
+
+    def within_impl(at: int) -> str | None:
+        k = bisect_right(starts, at) - 1
+        if k < 0:
+            return None
+        end = bisect_left(closes, starts[k])
+        return impls[k][1] if end == len(closes) or at < closes[end] else None
+
     for m in RUST_DECLARE.finditer(text):
         pos += 1
         test = m[3] == "fn" and "#[test]" in text[max(0, m.start() - 80) : m.start()].rsplit("}", 1)[-1]
         kind = "Test" if test else "Method" if m[3] == "fn" and m[1] else RUST_KIND[m[3]]
-        rows.append(_row(path, "declare", id=f"{kind.lower()}:{path}#{m[4]}", kind=kind, name=m[4], owner=f"file:{path}", exported=m[2] is not None, is_test=test, pos=pos))
+        of = within_impl(m.start()) if kind == "Method" else None
+        rows.append(_row(path, "declare", id=f"{kind.lower()}:{path}#{f'{of}::' if of else ''}{m[4]}", kind=kind, name=m[4], owner=f"file:{path}", exported=m[2] is not None, is_test=test, pos=pos))
     for m in RUST_IMPL.finditer(text):
         if m[1]:
             rows.append(_row(path, "heritage", owner=f"struct:{path}#{m[2]}", target=m[1].split("::")[-1], kind="IMPLEMENTS", pos=pos))
@@ -215,7 +236,7 @@ def python_function_metrics(files: DataFrame) -> DataFrame:
             for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
                     tree = ast.parse(text or "")
-                except (SyntaxError, ValueError):
+                except (SyntaxError, ValueError, RecursionError, MemoryError):
                     continue
                 for n in ast.walk(tree):
                     if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):

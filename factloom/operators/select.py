@@ -95,6 +95,32 @@ def merged_requirements(requests: Iterable[dict]) -> list[dict]:
     return kept
 
 
+def covers(have: dict, want: dict) -> bool:
+    """Whether the result of one selector (kind, text, kinds, ids, limit) holds all rows of another: it is as broad, and not cut by a limit."""
+    wider = lambda k: not have.get(k) or bool(want.get(k)) and set(want[k]) <= set(have[k])
+    said = not have.get("text") or bool(want.get("text")) and have["text"] in want["text"]
+    return have["kind"] == want["kind"] and have.get("limit") is None and said and wider("kinds") and wider("ids")
+
+
+class Covered:
+    """Results of node selectors, kept as tables; a narrower selector is answered by filtering a broader one's result."""
+
+    def __init__(self, nodes: DataFrame):
+        self.nodes, self.held, self.reused = nodes, [], 0
+
+    def nodes_of(self, want: dict) -> DataFrame:
+        for have, rows in self.held:
+            if covers(have, want):
+                self.reused += 1
+                break
+        else:
+            from factloom.plans.durable import written
+
+            rows = written(select_nodes(self.nodes, kinds=want.get("kinds") or (), ids=want.get("ids") or (), text=want.get("text")), "covering")
+            self.held.append(({**want, "limit": None}, rows))
+        return select_nodes(rows, kinds=want.get("kinds") or (), ids=want.get("ids") or (), text=want.get("text"), limit=want.get("limit"))
+
+
 def count_by_kind(facts: DataFrame) -> DataFrame:
     return facts.groupBy("kind").agg(F.count("*").alias("n"))
 

@@ -76,12 +76,25 @@ class FactStore:
         for name, ddl in TABLES.items():
             columns = T.StructType.fromDDL(ddl).names
             tables[name].select(*columns).sortWithinPartitions(columns[0]).write.parquet(f"{self.root}/snapshots/{snapshot}/{name}")
-        kinds = {t: sorted(r["kind"] for r in tables[t].select("kind").distinct().limit(200).collect()) for t in ("nodes", "edges")}
+        kinds = {t: sorted(r["kind"] for r in tables[t].select("kind").distinct().collect()) for t in ("nodes", "edges")}  # kinds are a fixed vocabulary
         meta = {"version": VERSION, "node_kinds": kinds["nodes"], "edge_kinds": kinds["edges"], **(metadata or {})}
-        row = [((now[0] if now else 0) + 1, snapshot, json.dumps(meta))]
-        self.spark.createDataFrame(row, "sequence long, snapshot string, metadata string").coalesce(1).write.mode("append").json(f"{self.root}/CURRENT")
+        self._point({"sequence": (now[0] if now else 0) + 1, "snapshot": snapshot, "metadata": json.dumps(meta)})
         return snapshot
 
+    def _point(self, row: dict) -> None:
+        """The pointer's next row, in a file named by its sequence, that only one writer can create."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        path = hadoop.Path(f"{self.root}/CURRENT/{row['sequence']:012d}.json")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        try:
+            out = fs.create(path, False)
+        except Exception as e:
+            if "AlreadyExists" in str(e) or fs.exists(path):
+                raise StoreError(f"another writer made snapshot {row['sequence']} first") from e
+            raise
+        out.write(bytearray((json.dumps(row) + "\n").encode()))
+        out.close()
+
     def update(self, nodes: DataFrame, edges: DataFrame, hashes: DataFrame, touched: DataFrame, metadata: dict | None = None) -> str:
         """Replace the facts of touched paths (path): their nodes, hashes and the edges that start in them."""
         from factloom.functions.paths import path_from_id

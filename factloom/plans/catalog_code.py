@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.text import json_flag
-from factloom.operators import checks, extract, metrics
+from factloom.operators import checks, extract, inspect, metrics
 from factloom.plans.catalog import Tables, query
 from factloom.plans.durable import written
 from factloom.sources import repo
@@ -184,3 +184,33 @@ def _(t):
 def _(t):
     covered = metrics.coverage(t.code_files, ("py", "ts", "rs"))
     return metrics.unsupported_stack(covered).select("ext", "files")
+
+
+@query("q_rust_methods", " SELECT concat('method:rs/m', n_nationkey, '.rs#', t, '::new') AS id FROM nation, (VALUES ('A'), ('B')) AS v(t)")
+def _(t):
+    text = "concat('struct A;\\nstruct B;\\nimpl A {\\n    pub fn new() -> A { A }\\n}\\nimpl Clone for B {\\n    fn new() -> B { B }\\n}\\n')"
+    files = t.nation.select(F.format_string("rs/m%d.rs", "n_nationkey").alias("path"), F.expr(text).alias("content"))
+    return extract.parse(files).where("kind = 'Method'").select("id")
+
+
+@query("q_inspect_definitions", NODES + " SELECT id, kind FROM xn WHERE name LIKE 'C%.go'")
+def _(t):
+    return inspect.definitions(_linked(t)[0], "go").select("id", "kind")
+
+
+@query("q_inspect_references", EDGES + " SELECT DISTINCT kind, src, dst FROM xe WHERE kind <> 'CONTAINS' AND (dst LIKE 'function:%' OR dst LIKE 'class:%')")
+def _(t):
+    nodes, edges, _ = _linked(t)
+    return inspect.references(edges, nodes.where("kind IN ('Function', 'Class')")).where("kind <> 'TESTED_BY' OR dst LIKE 'function:%'").select("kind", "src", "dst")
+
+
+@query("q_inspect_implementations", EDGES + " SELECT DISTINCT src AS id, dst AS target, CASE kind WHEN 'IMPLEMENTS' THEN 4 ELSE 3 END AS priority FROM xe WHERE kind IN ('IMPLEMENTS', 'INHERITS')")
+def _(t):
+    nodes, edges, _ = _linked(t)
+    return inspect.implementations(nodes, edges, nodes.where("kind IN ('Class', 'Type', 'Trait')"))
+
+
+@query("q_inspect_signatures", f" SELECT {_id('function', PY, "concat('f', k)")} AS id, concat('def f', k, '(x):') AS signature FROM py_links UNION ALL SELECT {_id('class', TS, "concat('Box', k)")}, concat('export class Box', k, ' implements Shape', k, ' {{') FROM ts_links UNION ALL SELECT {_id('struct', RS, "concat('S', k)")}, concat('pub struct S', k, ';') FROM rs_links")
+def _(t):
+    nodes = _linked(t)[0].where("(kind = 'Function' AND name RLIKE '^f[0-9]+$') OR (kind = 'Class' AND path LIKE 'web/%') OR kind = 'Struct'")
+    return inspect.signatures(nodes, t.code_files)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from factloom.functions.paths import normalize_path
-from factloom.operators import clones, framework, impact, metrics, select, store, traverse
+from factloom.operators import clones, framework, impact, inspect, metrics, select, store, traverse
 from factloom.plans.catalog import DIAGNOSTICS, FINDING, IMPORT_KINDS, Tables, _diagnostics, _most, _occurrences, _start, query
 from factloom.plans.durable import shared_dir, written
 from factloom.sources import records, repo
@@ -157,6 +157,28 @@ def _(t):
     return parts[0].unionByName(parts[1])
 
 
+@query("q_covering_reuse", " SELECT 'class' AS asked, count(*) AS n, CAST(1 AS BIGINT) AS reused FROM nodes WHERE kind = 'Class' UNION ALL SELECT 'brand', count(*), 2 FROM nodes WHERE kind = 'Class' AND (contains(id, 'Brand#13') OR contains(coalesce(name, ''), 'Brand#13'))")
+def _(t):
+    have = select.Covered(t.nodes)
+    have.nodes_of({"kind": "nodes", "kinds": ["Class", "Module"]})
+    rows = []
+    for asked, want in (("class", {"kinds": ["Class"]}), ("brand", {"kinds": ["Class"], "text": "Brand#13"})):
+        n = have.nodes_of({"kind": "nodes", **want}).count()
+        rows.append((asked, n, have.reused))
+    return t.spark.createDataFrame(rows, "asked string, n long, reused long")
+
+
+@query("q_request_answers", """, rq AS (SELECT p_partkey AS request_id, CASE p_partkey % 3 WHEN 0 THEN 'importers_of' WHEN 1 THEN 'children_of' ELSE 'none_of' END AS q, CASE WHEN p_partkey % 7 = 0 THEN 'file:none' ELSE concat('file:part/', p_partkey) END AS t FROM part),
+  an AS (SELECT request_id, e.src AS x FROM rq JOIN edges e ON q = 'importers_of' AND e.kind IN ('IMPORTS_FROM', 'DEPENDS_ON') AND e.dst = t UNION SELECT request_id, e.dst FROM rq JOIN edges e ON q = 'children_of' AND e.kind = 'CONTAINS' AND e.src = t),
+  g AS (SELECT request_id, count(*) AS n, min(x) AS first_id FROM an WHERE x IN (SELECT id FROM nodes) GROUP BY request_id)
+  SELECT rq.request_id, CASE WHEN q = 'none_of' THEN 'unknown_query' WHEN t = 'file:none' THEN 'unknown_target' ELSE 'ok' END AS status, coalesce(n, 0) AS n, first_id FROM rq LEFT JOIN g ON g.request_id = rq.request_id""")
+def _(t):
+    k = F.col("p_partkey")
+    name = F.when(k % 3 == 0, "importers_of").when(k % 3 == 1, "children_of").otherwise("none_of")
+    requests = t.part.select(k.alias("request_id"), name.alias("query"), F.when(k % 7 == 0, "file:none").otherwise(F.concat(F.lit("file:part/"), k)).alias("target"))
+    return inspect.answers(requests, t.nodes, t.edges)
+
+
 @query("q_impact_selector", " SELECT 'impact is no fact selector; use operators.impact' AS message")
 def _(t):
     try:

@@ -20,11 +20,20 @@ IGNORED = (
 MAX_DEPTH = 64
 
 
-def scan(spark: SparkSession, root: str, suffixes: str = "*") -> DataFrame:
-    """(path, content, sha256): files below a root that Spark can read, by path relative to it."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", suffixes).load(root)
+def scan(spark: SparkSession, root: str, suffixes: str = "*", ignore: list[str] = (), max_depth: int = MAX_DEPTH) -> DataFrame:
+    """(path, content, sha256): files below a root that Spark can read, by path relative to it.
+
+    Ignored and too deep files are left out by their names, so their bytes are never read; Spark lists names on the driver anyway.
+    """
+    source = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     base = root.rstrip("/").rsplit(":", 1)[-1].lstrip("/")
     relative = F.regexp_replace(F.col("path"), r"^[a-z0-9+.-]+:/*" + re.escape(base) + "/", "")
+    listed = source.option("pathGlobFilter", suffixes).load(root).select("path", relative.alias("relative"))
+    kept = listed.where(~is_ignored(F.col("relative"), ignore_rules(ignore)) & (F.size(F.split("relative", "/")) <= max_depth))
+    paths = [re.sub(r"([\\\[\]{}*?])", r"\\\1", r["path"]) for r in kept.select("path").collect()]
+    if not paths:
+        return spark.createDataFrame([], "path string, content string, sha256 string")
+    df = spark.read.format("binaryFile").load(paths)
     return df.select(relative.alias("path"), F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("sha256"))
 
 

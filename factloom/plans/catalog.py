@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.text import line_count
 from factloom.operators import checks, clones, framework, impact, metrics, search, select, traverse
-from factloom.plans.durable import shared_dir, written
+from factloom.plans.durable import new_path, written
 from factloom.sources import repo
 from factloom.sources.star import oracle_views, view
 
@@ -733,7 +733,7 @@ def _(t):
     from factloom.operators.store import FactStore
 
     full = {"nodes": t.nodes, "edges": select.edges_between(t.edges, t.nodes), "file_hashes": t.nodes.where("kind = 'File'").select("path", F.sha2("path", 256).alias("sha256"))}
-    root = f"{shared_dir(t.spark)}/factloom/store-{__import__('uuid').uuid4().hex}"
+    root = new_path(t.spark, "store")
     store = FactStore(t.spark, root)
     store.replace(full)
     touched = written(t.nodes.where("path LIKE 'part/1%'").select("path").distinct(), "touched")
@@ -750,7 +750,7 @@ def _(t):
 def _(t):
     from factloom.streaming.latency import latency_windows, run_available
 
-    base = f"{shared_dir(t.spark)}/factloom/stream-{__import__('uuid').uuid4().hex}"
+    base = new_path(t.spark, "stream")
     records = t.latency_records.withColumn("recorded_at", F.col("recorded_at").cast("timestamp"))
     records.write.parquet(f"{base}/in")
     schema = records.schema

@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from factloom.functions.paths import normalize_path
 from factloom.operators import clones, framework, impact, inspect, metrics, select, store, traverse
 from factloom.plans.catalog import DIAGNOSTICS, FINDING, IMPORT_KINDS, Tables, _diagnostics, _most, _occurrences, _start, query
-from factloom.plans.durable import shared_dir, written
+from factloom.plans.durable import new_path, written
 from factloom.sources import records, repo
 
 FILE_PATHS = ", fp AS (SELECT path, doc_id, CASE doc_id % 5 WHEN 0 THEN concat('./', path) WHEN 1 THEN concat(' ', replace(path, '/', '\\'), ' ') WHEN 2 THEN concat('../', path) WHEN 3 THEN concat('/', path) ELSE concat('a//./', path) END AS raw FROM files)"
 
 
 def _folder(t: Tables, name: str) -> str:
-    return f"{shared_dir(t.spark)}/factloom/{name}-{uuid.uuid4().hex}"
+    return new_path(t.spark, name)
 
 
 # Paths and scans

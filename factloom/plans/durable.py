@@ -8,6 +8,8 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: list[str] = []
+
 
 @lru_cache(maxsize=1)
 def _own_dir() -> str:
@@ -15,14 +17,35 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
+    """The folder named by spark.checkpoint.dir; one of our own only where that is unset and all tasks run on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return named or _own_dir()
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share: intermediate tables go there")
+    return _own_dir()
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, that `clear` deletes."""
+    _made.append(f"{shared_dir(spark)}/factloom/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` written once to the shared folder and read back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/factloom/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables that this process has made; results not yet written are lost with them."""
+    while _made:
+        delete(spark, _made.pop())

@@ -18,8 +18,10 @@ import html
 import math
 import random
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -94,10 +96,22 @@ def parse(page: str) -> Page:
     out: list[int] = []  # elements that may give no text
     doubt: list[int] = []
     stack: list[int] = []
+    open_at: dict[str, list[int]] = {}  # places in the stack by name
+    blocks: list[int] = []  # and of all block elements
+    holders_open = 0
 
     def close(upto: int) -> None:
+        nonlocal holders_open
         while len(stack) > upto:
-            elements[stack.pop()][2] = len(kinds)
+            e = elements[stack.pop()]
+            e[2] = len(kinds)
+            open_at[e[0]].pop()
+            if e[0] in BLOCK:
+                blocks.pop()
+            holders_open -= e[0] in HOLDERS
+
+    def last_open(*names: str) -> int:
+        return max((open_at[x][-1] for x in names if open_at.get(x)), default=-1)
 
     for m in TOKEN.finditer(page):
         token = m[0]
@@ -110,9 +124,9 @@ def parse(page: str) -> Page:
             continue
         name = NAME.match(token)[1].lower()
         if token[1] == "/":
-            at = next((k for k in range(len(stack) - 1, -1, -1) if elements[stack[k]][0] == name), None)
+            at = last_open(name)
             # An inline tag can't close a block, nor a block inside a holder close the holder.
-            if at is not None and (name in BLOCK or not any(elements[e][0] in BLOCK for e in stack[at + 1 :])):
+            if at >= 0 and (name in BLOCK or not blocks or blocks[-1] <= at):
                 kinds.append(CLASS_OF.get(name, OTHER))
                 texts.append("")
                 names.append("/" + name)
@@ -122,13 +136,9 @@ def parse(page: str) -> Page:
             # An open paragraph ends where a block begins; list and table parts end where their next begins.
             same = {"p"} if name in BLOCK else set()
             same |= {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}.get(name, set())
-            for k in range(len(stack) - 1, -1, -1):
-                kind = elements[stack[k]][0]
-                if kind in same:
-                    close(k)
-                    break
-                if kind in BLOCK:
-                    break
+            at = last_open(*same)
+            if at >= 0 and at >= (blocks[-1] if blocks else -1):
+                close(at)
         kinds.append(CLASS_OF.get(name, OTHER))
         texts.append("")
         names.append(name)
@@ -136,25 +146,35 @@ def parse(page: str) -> Page:
             continue
         index = len(elements)
         elements.append([name, len(kinds) - 1, -1, stack[-1] if stack else -1])
-        inside = any(elements[e][0] in HOLDERS for e in stack)
-        if name in NOT_TEXT and not (name == "header" and inside) or name not in ("html", "body", *HOLDERS) and attributes_say_no(token):
-            sure = name in NOT_TEXT and name != "header" or not inside or attributes_say_no(token, NOT_CLASS - IN_DOUBT)
+        if name in NOT_TEXT and not (name == "header" and holders_open) or name not in ("html", "body", *HOLDERS) and attributes_say_no(token):
+            sure = name in NOT_TEXT and name != "header" or not holders_open or attributes_say_no(token, NOT_CLASS - IN_DOUBT)
             (out if sure else doubt).append(index)
-        elif name == "article" and any(e in out for e in stack):
-            pass
+        open_at.setdefault(name, []).append(len(stack))
+        if name in BLOCK:
+            blocks.append(len(stack))
+        holders_open += name in HOLDERS
         stack.append(index)
     close(0)
-    skipped = [False] * len(kinds)
-    holders = [e for e in elements if e[0] in HOLDERS]
+    holders = sorted(e[1] for e in elements if e[0] in HOLDERS)
+    left_out = []
     for e in out:
         name, first, last, _ = elements[e]
-        if name not in ("nav", "footer", "form", "head") and any(first < h[1] < last for h in holders):
+        if name not in ("nav", "footer", "form", "head") and bisect_right(holders, first) < bisect_left(holders, last):
             continue  # a wrapper of the article, whatever it is called
-        for k in range(first, last):
-            skipped[k] = True
+        left_out.append((first, last))
+    skipped = marked(left_out, len(kinds))
     return Page(kinds, texts, names, [Element(*e) for e in elements], skipped, [Element(*elements[e]) for e in doubt])
 
 
+def marked(ranges: list[tuple[int, int]], n: int) -> list[bool]:
+    """Which of n places lie in a range (first, end)."""
+    step = [0] * (n + 1)
+    for first, end in ranges:
+        step[first] += 1
+        step[end] -= 1
+    return [x > 0 for x in accumulate(step[:n])]
+
+
 def scores(page: Page, weights: dict[str, float], first: int, last: int) -> Iterator[float]:
     """The score of each event; of events left out in a row, the first has that of one tag."""
     left_out = False
@@ -168,12 +188,33 @@ def scores(page: Page, weights: dict[str, float], first: int, last: int) -> Iter
 
 
 def judged(page: Page, weights: dict[str, float]) -> Page:
-    """The page without the elements in doubt whose scores speak against them too, inner ones first."""
+    """The page without the elements in doubt whose scores speak against them too, inner ones first.
+
+    An element that is judged is one step for those around it, so each event is looked at once.
+    """
+    steps: dict[int, tuple[int, float, bool, bool]] = {}  # by first event: the end, the score, whether it is left out, and its end
+    gone = []
     for e in reversed(page.doubtful):
         closed = page.names[e.last - 1] == "/" + e.name
-        if sum(scores(page, weights, e.first + 1, e.last - closed)) <= 0:  # of what it holds
-            page.skipped[e.first : e.last] = [True] * (e.last - e.first)
-    return page
+        total, left_out, k, end = 0.0, False, e.first + 1, e.last - closed
+        while k < end:
+            if k in steps:
+                k, score, out, out_at_end = steps[k]
+                total += (0.0 if left_out else weights[LEFT_OUT]) if out else score
+                left_out = out_at_end
+                continue
+            if page.skipped[k]:
+                total += 0.0 if left_out else weights[LEFT_OUT]
+            else:
+                total += weights["words"] * len(page.texts[k].split()) if page.kinds[k] == "words" else weights[page.kinds[k]]
+            left_out = page.skipped[k]
+            k += 1
+        against = total <= 0  # of what it holds
+        own = weights[page.kinds[e.first]] + (weights[page.kinds[e.last - 1]] if closed else 0.0)
+        steps[e.first] = (e.last, total + own, against, against or left_out and not closed)
+        if against:
+            gone.append((e.first, e.last))
+    return page._replace(skipped=[a or b for a, b in zip(page.skipped, marked(gone, len(page.kinds)))]) if gone else page
 
 
 def best_run(page: Page, weights: dict[str, float]) -> tuple[int, int] | None:

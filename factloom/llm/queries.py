@@ -30,7 +30,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sizes(_table(spark, sf_dir, "documents")).drop("first_position")
+    return mix_sizes(_table(spark, sf_dir, "documents"))
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +135,9 @@ s AS (SELECT k, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY k),
 w AS (SELECT *, CAST(CASE (row_number() OVER (ORDER BY k) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS weight, CAST(3 * source_size AS DOUBLE) AS cap, CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM s),
 l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) / sum(weight) OVER (ORDER BY cap / weight, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 f AS (SELECT level AS found FROM l WHERE level * weight <= cap ORDER BY cap / weight, k LIMIT 1),
-t AS (SELECT k, source_size, least(cap, found * weight) AS target FROM l, f),
-c AS (SELECT d.*, source_size, target, CAST(round(target) AS BIGINT) AS whole, coalesce(sum(size) OVER (PARTITION BY k ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begun FROM d JOIN t USING (k))
-SELECT doc_id, size, source_size, target, CAST(least(size, greatest(whole - begun, 0)) + least(size, greatest(whole - begun - source_size, 0)) + least(size, greatest(whole - begun - 2 * source_size, 0)) AS BIGINT) AS taken FROM c""",
+t AS (SELECT k, source_size, least(cap, found * weight) AS target, CASE (row_number() OVER (ORDER BY k) - 1) % 3 WHEN 0 THEN -0.5 WHEN 1 THEN 0.0 ELSE 0.5 END AS ramp FROM l, f),
+c AS (SELECT d.*, source_size, target, CAST(ramp AS DOUBLE) AS ramp, CAST(round(target) AS BIGINT) AS whole, coalesce(sum(size) OVER (PARTITION BY k ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begun FROM d JOIN t USING (k)),
+u AS (SELECT *, CASE WHEN least(size, greatest(whole - begun, 0)) > 0 THEN least(1.0, (begun + least(size, greatest(whole - begun, 0)) / 2) / whole) END AS share FROM c)
+SELECT doc_id, size, source_size, target, CAST(least(size, greatest(whole - begun, 0)) + least(size, greatest(whole - begun - source_size, 0)) + least(size, greatest(whole - begun - 2 * source_size, 0)) AS BIGINT) AS taken,
+  CASE WHEN ramp = 0 THEN share ELSE (sqrt((1 - ramp) * (1 - ramp) + 4 * ramp * share) - (1 - ramp)) / (2 * ramp) END AS first_position FROM u""",
 }

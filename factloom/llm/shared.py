@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.plans.durable import shared_dir, written
+from factloom.plans.durable import delete, new_path, written
 
-__all__ = ["plain_columns", "shared_dir", "small_arrow_batches", "written"]
+__all__ = ["delete", "new_path", "plain_columns", "small_arrow_batches", "written"]
 
 
 def small_arrow_batches(spark: SparkSession, rows: int = 500, size: int = 4 << 20) -> None:
-    """Bound what one Arrow batch sends to a Python worker, so that long documents can't pile up in one."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    """Bound what one Arrow batch sends to a Python worker, so that long documents can't pile up in one.
+
+    A session's bounds that are smaller stay; larger ones are lowered for good, since frames are run after they are returned.
+    """
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{key}")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
 def plain_columns(df: DataFrame, *names: str) -> DataFrame:

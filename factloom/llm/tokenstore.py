@@ -18,7 +18,6 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.llm import kernel as K
-from factloom.llm.shared import plain_columns, shared_dir, small_arrow_batches
+from factloom.llm.shared import delete, new_path, plain_columns, small_arrow_batches
 
 END_ID = 1
 CHUNK = {"least": 64, "mask_bits": 9, "most": 4096}
@@ -227,6 +226,7 @@ def write_store(docs: DataFrame, vocabulary: str, path: str) -> None:
     recipes = staged.select("doc_id", root.alias("root"), "digests").repartitionByRange("doc_id").withColumn("shard", F.spark_partition_id())
     recipes.sortWithinPartitions("doc_id", "root").write.options(**zipped).parquet(f"{path}/recipes")
     merkle(spark.read.parquet(f"{path}/recipes")).write.options(**zipped).parquet(f"{path}/manifest")
+    delete(spark, f"{path}/encoded")  # a second copy of all ids
 
 
 def _checked_chunks(store: DataFrame) -> DataFrame:
@@ -314,6 +314,6 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
 def token_store(docs: DataFrame, vocabulary: str, path: str | None = None) -> DataFrame:
     """Write the store, then answer from its files."""
-    path = path or f"{shared_dir(docs.sparkSession)}/factloom/tokens-{uuid.uuid4().hex}"
+    path = path or new_path(docs.sparkSession, "tokens")
     write_store(docs, vocabulary, path)
     return read_store(docs.sparkSession, path)

@@ -13,7 +13,8 @@ Names are 64-bit fingerprints by a rolling hash instead of ranks by recursion: e
 Before that, a lossless filter bounds what is sampled. Anchors (the least 64-byte hash of each window of `size` bytes,
 as in winnowing) lie inside every repeated string at the same place, so bytes away from repeated anchors are left out.
 Where a stretch from one repeated anchor past the next repeats as a whole, its starts are settled at once; a place where
-all occurrences of an anchor are settled is left out, too. Texts that are wholly equal are one text here; each copy of a
+all occurrences of an anchor are settled is left out, too. Anchors and stretches meet in ranges of their names, and what is
+found goes back to the texts by joins: no task and no driver holds the names of all. Texts that are wholly equal are one text here; each copy of a
 text of `size` bytes or more is removed as a whole.
 
 Groups of any size: two different places with a name settle it, so each task sends at most two entries for a name to be
@@ -40,9 +41,7 @@ from factloom.llm.shared import plain_columns, small_arrow_batches, written
 
 GRAM = 64
 FLUSH = 500_000
-SET_LIMIT = 4_000_000
 FLAG_BYTES = 32 << 20
-BITMAP_BITS = 27
 RANGE_ENTRIES = 1_500_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 U64 = np.uint64
@@ -103,48 +102,46 @@ def slide(x: np.ndarray, width: int, least: bool) -> np.ndarray:
     return f(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-class Anchored:
-    """A slice with its valid starts and its anchors."""
-
-    def __init__(self, s: K.Slice, size: int):
-        self.s, self.size = s, size
-        self.roll = Rolling(s.buf)
-        width = size - GRAM + 1
-        n = len(s.buf) - size + 1
-        self.doc_of = np.repeat(np.arange(len(s.offsets) - 1), np.diff(s.offsets))
-        if n <= 0:
-            self.at, self.hash = np.zeros(0, np.int64), np.zeros(0, U64)
-            return
-        grams = self.roll.grams(GRAM)
-        inside = self.doc_of[:n] == self.doc_of[size - 1 :]
-        low = np.where(inside, slide(grams, width, True), U64(0))
-        edge = np.zeros(width - 1, U64)
-        high = slide(np.concatenate([edge, low, edge]), width, False)
-        self.at = np.flatnonzero((high == grams) & (high > 0))
-        self.hash = grams[self.at]
-        self.doc = self.doc_of[self.at]
-
-    def blocks(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """From each repeated anchor past the next one of its document, if near: first, last start and the name."""
-        at, doc = self.at[repeated], self.doc[repeated]
-        if len(at) < 2:
-            none = np.zeros(0, np.int64)
-            return none, none, np.zeros(0, U64)
-        a, b = at[:-1], at[1:]
+def anchors_of(s: K.Slice, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of a slice's anchors."""
+    width, n = size - GRAM + 1, len(s.buf) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, U64)
+    grams = Rolling(s.buf).grams(GRAM)
+    doc_of = np.repeat(np.arange(len(s.offsets) - 1), np.diff(s.offsets))
+    inside = doc_of[:n] == doc_of[size - 1 :]
+    low = np.where(inside, slide(grams, width, True), U64(0))
+    edge = np.zeros(width - 1, U64)
+    high = slide(np.concatenate([edge, low, edge]), width, False)
+    at = np.flatnonzero((high == grams) & (high > 0))
+    return at, grams[at]
+
+
+class Repeated:
+    """A slice with the places of its repeated anchors, in order."""
+
+    def __init__(self, s: K.Slice, size: int, at: np.ndarray):
+        self.s, self.size, self.at = s, size, at
+        self.doc = np.searchsorted(s.offsets, at, "right") - 1
+        self.first = np.maximum(at + GRAM - size, s.offsets[self.doc])  # the first start whose string holds the anchor
+
+    def blocks(self) -> tuple[np.ndarray, np.ndarray]:
+        """First and last start from each anchor to the next one of its document, if near."""
+        a, b, doc = self.at[:-1], self.at[1:], self.doc
         ok = (doc[:-1] == doc[1:]) & (b - a <= self.size) & (b + self.size <= self.s.offsets[doc[1:] + 1])
-        a, b = a[ok], b[ok]
-        return a, b, self.roll.at(a, b - a + self.size)
+        return a[ok], b[ok]
 
-    def starts_near(self, anchors: np.ndarray) -> np.ndarray:
-        """Marks the starts whose string holds one of the anchors."""
-        mark = np.zeros(len(self.s.buf) + 1, np.int32)
-        at, doc = self.at[anchors], self.doc[anchors]
-        lo = np.maximum(at + GRAM - self.size, self.s.offsets[doc])
-        hi = np.minimum(at, self.s.offsets[doc + 1] - self.size)
-        ok = hi >= lo
-        np.add.at(mark, lo[ok], 1)
-        np.add.at(mark, hi[ok] + 1, -1)
-        return np.cumsum(mark[:-1]) > 0
+    def starts(self, chosen: np.ndarray) -> np.ndarray:
+        """Marks the starts whose string holds one of the chosen anchors."""
+        lo, hi = self.first[chosen], np.minimum(self.at[chosen], self.s.offsets[self.doc[chosen] + 1] - self.size)
+        return filled(lo[hi >= lo], hi[hi >= lo], len(self.s.buf))
+
+    def state(self, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Marks of the starts that blocks (`whole`: first starts of those that repeat) settle, and of those still open."""
+        a, b = self.blocks()
+        on = np.isin(a, whole)
+        settled = filled(a[on], b[on], len(self.s.buf))
+        return settled, self.starts(np.ones(len(self.at), bool)) & ~settled
 
 
 def filled(lo: np.ndarray, hi: np.ndarray, n: int) -> np.ndarray:
@@ -161,35 +158,6 @@ def runs(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
 
 
-class Members:
-    """A set of names: exact, or, if it would be too large, a bitmap that may hold more. None: unknown, nothing is in it."""
-
-    def __init__(self, names: np.ndarray | None, bits: np.ndarray | None = None):
-        self.names, self.bits = names, bits
-
-    def has(self, h: np.ndarray) -> np.ndarray:
-        if self.bits is not None:
-            i = h >> U64(64 - BITMAP_BITS)
-            return (self.bits[i >> U64(6)] >> (i & U64(63))) & U64(1) == 1
-        if self.names is None or not len(self.names):
-            return np.zeros(len(h), bool)
-        at = np.minimum(np.searchsorted(self.names, h), len(self.names) - 1)
-        return self.names[at] == h
-
-
-def collected(names: DataFrame, superset: bool) -> Members:
-    """`names` (h) on the driver: at most SET_LIMIT of them, else a bitmap of 2 ** BITMAP_BITS bits if a superset will do."""
-    if names.count() <= SET_LIMIT:
-        return Members(np.sort(names.toPandas()["h"].to_numpy(np.int64).view(U64)))
-    if not superset:
-        return Members(None)
-    i = F.shiftrightunsigned("h", 64 - BITMAP_BITS)
-    words = names.select(F.shiftright(i, 6).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - BITMAP_BITS}) & 63 as int))").alias("v")).groupBy("w").agg(F.bit_or("v").alias("v")).toPandas()
-    bits = np.zeros(1 << (BITMAP_BITS - 6), U64)
-    bits[words["w"].to_numpy()] = words["v"].to_numpy(np.int64).view(U64)
-    return Members(None, bits)
-
-
 def dealt(entries: np.ndarray, ranges: int) -> tuple[np.ndarray, list[bytes]]:
     """Entries packed by the range of their name."""
     where = ((entries["h"] >> U64(32)) * U64(ranges) >> U64(32)).astype(np.int64)
@@ -219,50 +187,23 @@ def entries_of(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-Slices = Callable[[K.Slice, np.ndarray], Iterator[np.ndarray]]
-
+def each_text(batches: Iterator[pa.RecordBatch], places: int = 0) -> Iterator[tuple[K.Slice, np.ndarray, list[np.ndarray]]]:
+    """Slices of rows (key, text, then columns of places packed as bytes): the slice, its keys, and each column's places in it.
 
-def each_text(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[K.Slice, np.ndarray]]:
-    """Slices of (key, text) rows with the keys of their documents; a text seen before in this task is made empty."""
+    A text seen before in this task is made empty, and has no places.
+    """
     seen: set[int] = set()
     for batch in batches:
         keys = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         known = [k in seen or seen.add(k) is not None for k in keys.tolist()]
         texts = pa.compute.if_else(pa.array(known), pa.scalar(None, batch.column(1).type), batch.column(1))
+        columns = [batch.column(2 + k).to_pylist() for k in range(places)]
         if len(seen) > 1_000_000:
             seen = set()
         for s in K.slices(texts):
-            yield s, keys[s.first : s.first + len(s.offsets) - 1]
-
-
-def repeated_names(texts: DataFrame, entries: Slices, ranges: int) -> DataFrame:
-    """(h): names that `entries` gives at two places or more."""
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush() -> pa.RecordBatch:
-            e, _ = by_name(np.concatenate(held))
-            third = np.zeros(len(e), bool)
-            third[2:] = e["h"][2:] == e["h"][:-2]
-            full, blobs = dealt(e[~third], ranges)
-            return pa.record_batch([pa.array(full.astype(np.int32)), pa.array(blobs, pa.binary())], names=["range", "entries"])
-
-        held, size = [], 0
-        for s, keys in each_text(batches):
-            for e in entries(s, keys):
-                held.append(e)
-                size += len(e)
-            if size > FLUSH:
-                yield flush()
-                held, size = [], 0
-        if size:
-            yield flush()
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, blobs in held_by_range(batches):
-            e, twice = by_name(np.frombuffer(b"".join(blobs), ENTRY))
-            yield pa.record_batch([pa.array(np.unique(e["h"][twice]).view(np.int64))], names=["h"])
-
-    return texts.mapInArrow(send, "range int, entries binary").repartition(ranges, "range").mapInArrow(meet, "h long")
+            n = len(s.offsets) - 1
+            at = [np.unique(np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(c[s.first + i], "<i4") + s.offsets[i] for i in range(n) if c[s.first + i] and not known[s.first + i])])) for c in columns]
+            yield s, keys[s.first : s.first + n], at
 
 
 def held_by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
@@ -390,56 +331,51 @@ def repeated_starts(docs: DataFrame, size: int) -> DataFrame:
     texts = docs.where(F.octet_length("text") >= size).select("key", "text")
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     ranges = max(12, int(total * 2 / (size - GRAM + 2)) // RANGE_ENTRIES + 1)
-    share = spark.sparkContext.broadcast
-
-    def anchors(s: K.Slice, keys: np.ndarray) -> Iterator[np.ndarray]:
-        x = Anchored(s, size)
-        if len(x.at):
-            yield entries_of(x.hash, keys[x.doc], x.at - s.offsets[x.doc])
-
-    near = share(collected(written(repeated_names(texts, anchors, ranges), "anchors"), True))
-
-    def blocks(s: K.Slice, keys: np.ndarray) -> Iterator[np.ndarray]:
-        x = Anchored(s, size)
-        if len(x.at):
-            a, _, h = x.blocks(near.value.has(x.hash))
-            yield entries_of(h, keys[x.doc_of[a]], a - s.offsets[x.doc_of[a]])
-
-    whole = share(collected(written(repeated_names(texts, blocks, ranges), "blocks"), False))
-
-    def state(x: Anchored) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Repeated anchors; settled starts; starts that may repeat and aren't settled."""
-        repeated = near.value.has(x.hash)
-        a, b, h = x.blocks(repeated)
-        on = whole.value.has(h)
-        settled = filled(a[on], b[on], len(x.s.buf))
-        return repeated, settled, x.starts_near(repeated) & ~settled
-
-    def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s, _ in each_text(batches):
-            x = Anchored(s, size)
-            if len(x.at):
-                repeated, _, unsettled = state(x)
-                count = np.concatenate([[0], np.cumsum(unsettled)])
-                lo = np.maximum(x.at + GRAM - size, s.offsets[x.doc])
-                h = np.unique(x.hash[repeated & (count[x.at + 1] > count[lo])])
-                yield pa.record_batch([pa.array(h.view(np.int64))], names=["h"])
-
-    active = share(collected(written(texts.mapInArrow(asking, "h long").distinct(), "active"), True))
+
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for s, keys, _ in each_text(batches):
+            at, h = anchors_of(s, size)
+            doc = np.searchsorted(s.offsets, at, "right") - 1
+            yield entries_of(h, keys[doc], ((at - s.offsets[doc]) << 1) | 1)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for s, keys, (near,) in each_text(batches, 1):
+            x = Repeated(s, size, near)
+            a, b = x.blocks()
+            doc = np.searchsorted(s.offsets, a, "right") - 1
+            yield entries_of(Rolling(s.buf).at(a, b - a + size) if len(a) else np.zeros(0, U64), keys[doc], ((a - s.offsets[doc]) << 1) | 1)
+
+    def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for s, keys, (near, whole) in each_text(batches, 2):
+            x = Repeated(s, size, near)
+            if len(near):
+                count = np.concatenate([[0], np.cumsum(x.state(whole)[1])])
+                asks = count[near + 1] > count[x.first]
+                yield entries_of(Rolling(s.buf).at(near, GRAM), keys[x.doc], ((near - s.offsets[x.doc]) << 1) | asks)
+
+    def joined(rows: DataFrame, found: DataFrame, name: str, how: str) -> DataFrame:
+        """`rows` with the places found for their keys; these go to all tasks if they are few enough."""
+        found = written(found, name)
+        weight = found.agg(F.coalesce(F.sum(F.octet_length("places") + 16), F.lit(0))).first()[0]
+        found = found.select(F.col("key").alias("f_key"), F.col("places").alias(name))
+        return rows.join(F.broadcast(found) if weight <= FLAG_BYTES else found, F.col("key") == F.col("f_key"), how).drop("f_key")
+
+    # Texts with repeated anchors are all that is looked at from here on.
+    texts = written(joined(texts, answered(texts, anchors, ranges), "near", "inner"), "texts")
+    with_whole = joined(texts, answered(texts, blocks, ranges), "whole", "left")
+    with_active = joined(with_whole, answered(with_whole, asking, ranges), "active", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s, keys in each_text(batches):
-            x = Anchored(s, size)
-            if not len(x.at):
-                continue
-            repeated, settled, unsettled = state(x)
-            wanted = x.starts_near(repeated & active.value.has(x.hash))
+        for s, keys, (near, whole, active) in each_text(batches, 3):
+            x = Repeated(s, size, near)
+            settled, unsettled = x.state(whole)
+            wanted = x.starts(np.isin(near, active))
             rows = []
             for mark, piece in ((settled, False), (wanted, True)):
                 for i, j in zip(*runs(mark)):
                     # Runs of neighbouring documents can touch: cut them there.
                     while i <= j:
-                        d = x.doc_of[i]
+                        d = int(np.searchsorted(s.offsets, i, "right")) - 1
                         end = min(j, s.offsets[d + 1] - size)
                         first = int(i - s.offsets[d])
                         if piece:
@@ -451,7 +387,7 @@ def repeated_starts(docs: DataFrame, size: int) -> DataFrame:
             if rows:
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["key", "first", "piece", "unsettled", "last"])
 
-    cuts = texts.mapInArrow(cut, "key long, first int, piece binary, unsettled binary, last int")
+    cuts = with_active.mapInArrow(cut, "key long, first int, piece binary, unsettled binary, last int")
     cuts = written(cuts.dropDuplicates(["key", "first", "last"]), "pieces")
     settled = cuts.where("piece IS NULL").select("key", "first", "last")
     pieces = cuts.where("piece IS NOT NULL").select(F.monotonically_increasing_id().alias("id"), "key", "first", "piece", "unsettled")

@@ -40,9 +40,11 @@ from factloom.llm import kernel as K
 from factloom.llm.shared import plain_columns, small_arrow_batches, written
 
 GRAM = 64
-FLUSH = 500_000
+FLUSH = 400_000
 FLAG_BYTES = 32 << 20
-RANGE_ENTRIES = 1_500_000
+RANGE_ENTRIES = 1_000_000
+#: Bytes looked at together: each needs about a hundred bytes of a worker.
+SLICE_BYTES = 1 << 19
 BASE = np.uint64(0x9E3779B97F4A7C15)
 U64 = np.uint64
 PLACE = np.dtype([("a", "<i8"), ("b", "<i4")])
@@ -200,7 +202,7 @@ def each_text(batches: Iterator[pa.RecordBatch], places: int = 0) -> Iterator[tu
         columns = [batch.column(2 + k).to_pylist() for k in range(places)]
         if len(seen) > 1_000_000:
             seen = set()
-        for s in K.slices(texts):
+        for s in K.slices(texts, SLICE_BYTES):
             n = len(s.offsets) - 1
             at = [np.unique(np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(c[s.first + i], "<i4") + s.offsets[i] for i in range(n) if c[s.first + i] and not known[s.first + i])])) for c in columns]
             yield s, keys[s.first : s.first + n], at
@@ -358,10 +360,12 @@ def repeated_starts(docs: DataFrame, size: int) -> DataFrame:
         found = written(found, name)
         weight = found.agg(F.coalesce(F.sum(F.octet_length("places") + 16), F.lit(0))).first()[0]
         found = found.select(F.col("key").alias("f_key"), F.col("places").alias(name))
-        return rows.join(F.broadcast(found) if weight <= FLAG_BYTES else found, F.col("key") == F.col("f_key"), how).drop("f_key")
+        if weight <= FLAG_BYTES:
+            return rows.join(F.broadcast(found), F.col("key") == F.col("f_key"), how).drop("f_key")
+        return written(rows.join(found, F.col("key") == F.col("f_key"), how).drop("f_key"), "texts")  # shuffled once
 
     # Texts with repeated anchors are all that is looked at from here on.
-    texts = written(joined(texts, answered(texts, anchors, ranges), "near", "inner"), "texts")
+    texts = joined(texts, answered(texts, anchors, ranges), "near", "inner")
     with_whole = joined(texts, answered(texts, blocks, ranges), "whole", "left")
     with_active = joined(with_whole, answered(with_whole, asking, ranges), "active", "left")
 

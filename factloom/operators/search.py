@@ -50,41 +50,55 @@ def matches(docs: DataFrame, query: str) -> DataFrame:
     return docs.where(F.size(F.array_except(F.array(*map(F.lit, words)), every)) == 0)
 
 
-def bm25(docs: DataFrame, query: str) -> DataFrame:
-    """(node_id, bm25) of matching documents: weighted term counts over all columns, higher is better.
-
-    Document counts and the mean length are of the whole index; no global sort, and one row for each word reaches a join.
-    """
-    words = query_tokens(query)
-    length = sum((F.size(_tokens(c)) for c in WEIGHTS), F.lit(0))
+def _statistics(docs: DataFrame, words: list[str]) -> DataFrame:
+    """One row: n, mean, and df0, df1, ... of the words."""
     has = [F.arrays_overlap(F.concat(*(_tokens(c) for c in WEIGHTS)), F.array(F.lit(w))).cast("long") for w in words]
-    stats = docs.agg(F.count("*").alias("n"), F.avg(length).alias("mean"), *(F.sum(h).alias(f"df{i}") for i, h in enumerate(has)))
+    return docs.agg(F.count("*").alias("n"), F.avg(_length()).alias("mean"), *(F.sum(h).alias(f"df{i}") for i, h in enumerate(has)))
+
+
+def _length() -> Column:
+    return sum((F.size(_tokens(c)) for c in WEIGHTS), F.lit(0))
+
+
+def _bm25(words: list[str]) -> Column:
+    """The score of a document, by its columns and those of `_statistics`."""
     score = F.lit(0.0)
     for i, w in enumerate(words):
         tf = sum((F.size(F.filter(_tokens(c), _is(w))) * F.lit(weight) for c, weight in WEIGHTS.items()), F.lit(0.0))
         idf = F.greatest(F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)), F.lit(1e-6))
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.col("mean")))
-    return matches(docs, query).join(F.broadcast(stats)).select("node_id", score.alias("bm25"))
+        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * _length() / F.col("mean")))
+    return score
+
+
+def bm25(docs: DataFrame, query: str) -> DataFrame:
+    """(node_id, bm25) of matching documents: weighted term counts over all columns, higher is better.
+
+    Document counts and the mean length are of the whole index; no global sort, and one row reaches the join.
+    """
+    words = query_tokens(query)
+    return matches(docs, query).join(F.broadcast(_statistics(docs, words))).select("node_id", _bm25(words).alias("bm25"))
 
 
-def _text_bonus(column: str, query: str) -> Column:
+def _text_bonus(column: Column, query: str) -> Column:
     text = F.lower(F.coalesce(column, F.lit("")))
     joined = " ".join(query_tokens(query))
     return F.when(text == joined, EQUAL).when(F.array_contains(F.split(text, " "), joined), TOKEN).when(text.contains(joined), SUBSTRING).otherwise(0)
 
 
-def bonuses(docs: DataFrame, query: str, context_files: list[str] | None = None) -> DataFrame:
-    """(node_id, bonus): by kind, by how the query sits in the columns, and for files in context."""
-    docs = docs.withColumn("__raw", searchable(F.coalesce("raw_name", F.lit(""))))
+def _bonus(query: str, context_files: list[str] | None) -> Column:
+    raw, words = searchable(F.coalesce("raw_name", F.lit(""))), query_tokens(query)
     kind = F.lit(0)
     for name, value in KIND_BONUS.items():
         kind = kind + F.when(F.col("kind") == name, value).otherwise(0)
-    words = query_tokens(query)
-    first = F.element_at(F.split(F.lower("__raw"), " "), 1)
-    leading = F.when((F.col("kind") == "Function") & (first == (words[0] if words else "")), LEADING).otherwise(0)
+    leading = F.when((F.col("kind") == "Function") & (F.element_at(F.split(F.lower(raw), " "), 1) == (words[0] if words else "")), LEADING).otherwise(0)
     near = F.when(F.coalesce(F.col("path").isin(context_files or [""]), F.lit(False)) & ~F.col("kind").isin("File", "Test"), CONTEXT).otherwise(0)
-    text = _text_bonus("__raw", query) * 2 + _text_bonus("qualified_name", query) + _text_bonus("signature", query) * 0.25
-    return matches(docs, query).select("node_id", (kind + text + leading + near).cast("double").alias("bonus"))
+    text = _text_bonus(raw, query) * 2 + _text_bonus(F.col("qualified_name"), query) + _text_bonus(F.col("signature"), query) * 0.25
+    return (kind + text + leading + near).cast("double")
+
+
+def bonuses(docs: DataFrame, query: str, context_files: list[str] | None = None) -> DataFrame:
+    """(node_id, bonus): by kind, by how the query sits in the columns, and for files in context."""
+    return matches(docs, query).select("node_id", _bonus(query, context_files).alias("bonus"))
 
 
 def match_columns(docs: DataFrame, query: str) -> DataFrame:
@@ -95,8 +109,9 @@ def match_columns(docs: DataFrame, query: str) -> DataFrame:
 
 def search(docs: DataFrame, query: str, *, limit: int = 20, context_files: list[str] | None = None) -> DataFrame:
     """(rank, node_id, kind, path, score): by score, then path (null first), kind, qualified name and id; ranks are 1..limit."""
-    scored = bm25(docs, query).join(bonuses(docs, query, context_files), "node_id").join(docs.select("node_id", "kind", "path", "qualified_name"), "node_id")
-    scored = scored.withColumn("score", F.round(F.col("bm25") + F.col("bonus"), 6))
+    words = query_tokens(query)
+    found = matches(docs, query).join(F.broadcast(_statistics(docs, words)))
+    scored = found.select("node_id", "kind", "path", "qualified_name", F.round(_bm25(words) + _bonus(query, context_files), 6).alias("score"))
     order = [F.desc("score"), F.asc_nulls_first("path"), "kind", "qualified_name", "node_id"]
     top = scored.orderBy(*order).limit(limit)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select("rank", "node_id", "kind", "path", "score")

@@ -40,12 +40,17 @@ def _steps(nodes: DataFrame, edges: DataFrame, kinds: Sequence[str] | None, outw
 
 def reach(nodes: DataFrame, edges: DataFrame, starts: DataFrame, kinds: Sequence[str] | None, outward: bool, max_depth: int | None) -> DataFrame:
     """(id, depth) of nodes within `max_depth` steps of the starts (id); None: as far as it goes."""
-    steps = _steps(nodes, edges, kinds, outward).select("a", "b").distinct()
-    front = written(starts.select("id").distinct().join(nodes.select("id"), "id", "left_semi").select("id", F.lit(0).alias("depth")), "reach")
+    e = edges if kinds is None else edges.where(F.col("kind").isin(list(kinds)))
+    a, b = ("src", "dst") if outward else ("dst", "src")
+    steps = e.select(F.col(a).alias("a"), F.col(b).alias("b"))
+    known = nodes.select("id")
+    front = written(starts.select("id").distinct().join(known, "id", "left_semi").select("id", F.lit(0).alias("depth")), "reach")
     seen, depth = front, 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        new = front.join(steps, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
+        # The frontier meets the edges first: what is made distinct and looked up is only what a level finds.
+        new = front.join(steps, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct()
+        new = new.join(seen.select("id"), "id", "left_anti").join(known, "id", "left_semi")
         front = written(new.select("id", F.lit(depth).alias("depth")), "reach")
         if front.isEmpty():
             break

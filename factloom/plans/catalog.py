@@ -11,7 +11,7 @@ from factloom.functions.text import line_count
 from factloom.operators import checks, clones, framework, impact, metrics, search, select, traverse
 from factloom.plans.durable import new_path, written
 from factloom.sources import repo
-from factloom.sources.star import oracle_views, view
+from factloom.sources.star import oracle_views, stored, view
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,7 +25,7 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return view(self.spark, self.sf_dir, name)
+        return stored(self.spark, self.sf_dir, name) if name in ("nodes", "edges") else view(self.spark, self.sf_dir, name)
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], Callable[[Tables], DataFrame]]:
@@ -162,9 +162,9 @@ def _traversal(name: str, kinds: tuple[str, ...], outward: bool, end: str, depth
 
     @query(f"q_{name}", sql)
     def _(t):
-        edges = written(t.edges, "edges")
+        edges = t.edges
         start = written(_start(t, list(kinds), end), "start")
-        return traverse.reach(written(t.nodes.select("id"), "ids"), edges, start, kinds, outward, depth)
+        return traverse.reach(t.nodes.select("id"), edges, start, kinds, outward, depth)
 
 
 _traversal("callers", ("CALLS",), False, "dst", 3)
@@ -177,7 +177,7 @@ _traversal("children", ("CONTAINS",), True, "src", 3)
 
 @query("q_importers_edges", _reach_sql(IMPORT_KINDS, False, _most(IMPORT_KINDS, "dst"), 2) + ", m AS (SELECT id, min(d) AS d FROM r GROUP BY id) SELECT e.id FROM edges e WHERE kind IN " + IMPORT_KINDS + " AND dst IN (SELECT id FROM m WHERE d < 2) AND src IN (SELECT id FROM m)")
 def _(t):
-    edges, nodes = written(t.edges, "edges"), written(t.nodes.select("id"), "ids")
+    edges, nodes = t.edges, t.nodes.select("id")
     found = traverse.reach(nodes, edges, written(_start(t, list(traverse.IMPORTS), "dst"), "start"), traverse.IMPORTS, False, 2)
     return traverse.reached_edges(nodes, edges, found, traverse.IMPORTS, False, 2).select("id")
 
@@ -185,7 +185,7 @@ def _(t):
 @query("q_importers_limited")
 def _(t):
     start = written(_start(t, list(traverse.IMPORTS), "dst"), "start").withColumn("pos", F.lit(0))
-    found, truncated = traverse.reach_limited(t.nodes, written(t.edges, "edges"), start, traverse.IMPORTS, False, 3, 25)
+    found, truncated = traverse.reach_limited(t.nodes, t.edges, start, traverse.IMPORTS, False, 3, 25)
     return found.withColumn("truncated", F.lit(truncated))
 
 
@@ -197,12 +197,12 @@ def _(t):
 @query("q_descendants", _reach_sql("('CONTAINS')", True, "SELECT 'module:region/1' AS id", None) + " SELECT DISTINCT id FROM r WHERE id <> 'module:region/1'")
 def _(t):
     roots = t.nodes.where("id = 'module:region/1'").select("id")
-    return traverse.contained(written(t.nodes.select("id"), "ids"), written(t.edges, "edges"), roots)
+    return traverse.contained(t.nodes.select("id"), t.edges, roots)
 
 
 @query("q_file_summary", ", i AS (SELECT dst AS id FROM edges WHERE kind = 'CONTAINS' AND src = 'file:part/7') SELECT 'file:part/7' AS id UNION SELECT id FROM i UNION SELECT dst FROM edges WHERE kind IN " + IMPORT_KINDS + " AND src = 'file:part/7' UNION SELECT src FROM edges WHERE kind IN " + IMPORT_KINDS + " AND dst = 'file:part/7'")
 def _(t):
-    return traverse.file_summary(t.nodes, written(t.edges, "edges"), "file:part/7")[0]
+    return traverse.file_summary(t.nodes, t.edges, "file:part/7")[0]
 
 
 IMPACT = _reach_sql(IMPORT_KINDS, False, "SELECT id FROM nodes WHERE kind = 'File' AND path IN ('part/7', 'part/19', 'order/40')", 3) + """, fl AS (SELECT DISTINCT id FROM r),
@@ -214,7 +214,7 @@ IMPACT = _reach_sql(IMPORT_KINDS, False, "SELECT id FROM nodes WHERE kind = 'Fil
 
 def _impact(t: Tables) -> DataFrame:
     paths = t.spark.createDataFrame([("part/7",), ("part/19",), ("order/40",), ("no/such",)], "path string")
-    return impact.impact(written(t.nodes, "nodes"), written(t.edges, "edges"), paths, 3)
+    return impact.impact(t.nodes, t.edges, paths, 3)
 
 
 @query("q_impact_files", IMPACT + " SELECT DISTINCT path FROM ev WHERE kind = 'File'")
@@ -234,7 +234,7 @@ def _(t):
 
 @query("q_dependents", _reach_sql(IMPORT_KINDS, False, "SELECT 'file:part/7' AS id", None) + " SELECT DISTINCT id FROM r WHERE id <> 'file:part/7'")
 def _(t):
-    edges = written(t.edges, "edges")
+    edges = t.edges
     roots = t.spark.createDataFrame([("file:part/7",)], "id string")
     return traverse.dependents(edges.where("kind = 'IMPORTS_FROM'"), edges.where("kind = 'DEPENDS_ON'"), roots)
 
@@ -246,26 +246,26 @@ REACHABLE = _reach_sql("('IMPORTS_FROM')", True, "SELECT id FROM nodes WHERE kin
 @query("q_reachable", REACHABLE + " SELECT id FROM r UNION SELECT id FROM sy")
 def _(t):
     entry = t.nodes.where("kind = 'File' AND path IN ('part/7', 'part/23')").select("id")
-    return traverse.reachable_symbols(written(t.nodes, "nodes"), written(t.edges, "edges"), entry)
+    return traverse.reachable_symbols(t.nodes, t.edges, entry)
 
 
 @query("q_cycles")
 def _(t):
-    edges = written(t.edges.where("kind = 'IMPORTS_FROM'"), "edges")
+    edges = t.edges.where("kind = 'IMPORTS_FROM'")
     return traverse.component_cycles(edges, written(traverse.strong_components(edges), "components"))
 
 
 @query("q_strong_components", """, im AS (SELECT DISTINCT src, dst FROM edges WHERE kind = 'IMPORTS_FROM' AND src <> dst),
   rr(a, b) AS (SELECT src, dst FROM im UNION SELECT rr.a, im.dst FROM rr JOIN im ON im.src = rr.b) SELECT x.a AS id, min(x.b) AS component FROM rr x JOIN rr y ON x.a = y.b AND x.b = y.a GROUP BY x.a""")
 def _(t):
-    return traverse.strong_components(written(t.edges.where("kind = 'IMPORTS_FROM'"), "edges"))
+    return traverse.strong_components(t.edges.where("kind = 'IMPORTS_FROM'"))
 
 
 @query("q_shortest_path", """, o AS (SELECT min(o_orderkey) AS o FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1),
   w AS (SELECT o, c_custkey AS c, c_nationkey AS n FROM o JOIN orders ON o_orderkey = o JOIN customer ON o_custkey = c_custkey)
   SELECT 0 AS step, 'module:region/1' AS id, CAST(NULL AS VARCHAR) AS edge_kind UNION ALL SELECT 1, concat('module:nation/', n), 'CONTAINS' FROM w UNION ALL SELECT 2, concat('module:customer/', c), 'CONTAINS' FROM w UNION ALL SELECT 3, concat('file:order/', o), 'CONTAINS' FROM w""")
 def _(t):
-    nodes, edges = written(t.nodes.select("id"), "ids"), written(t.edges, "edges")
+    nodes, edges = t.nodes.select("id"), t.edges
     held = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     order = held.where("n_regionkey = 1").agg(F.min("o_orderkey")).first()[0]
     return traverse.shortest_path(nodes, edges, "module:region/1", f"file:order/{order}", ["CONTAINS"])
@@ -314,7 +314,7 @@ REVIEW = IMPACT.replace("'part/7', 'part/19', 'order/40'", "'part/5', 'part/31'"
 def _(t):
     rows = [("part/5", "changed", None), ("part/new", "renamed", "part/31"), ("part/none", "deleted", None)]
     changes = t.spark.createDataFrame(rows, "path string, status string, old_path string")
-    return impact.review_context(written(t.nodes, "nodes"), written(t.edges, "edges"), changes).select("id", "role")
+    return impact.review_context(t.nodes, t.edges, changes).select("id", "role")
 
 
 # Search
@@ -366,6 +366,16 @@ def _(t):
     return search.search(search.search_documents(t.nodes), SEARCH_QUERY).withColumn("score", F.round("score", 4))
 
 
+@query("q_search_rank_many", _rank_sql(["brand"], 20))
+def _(t):
+    return search.search(search.search_documents(t.nodes), "brand").withColumn("score", F.round("score", 4))
+
+
+@query("q_search_rank_names", _rank_sql(["supply7", "part"], 15))
+def _(t):
+    return search.search(search.search_documents(t.nodes), "supply7 part", limit=15).withColumn("score", F.round("score", 4))
+
+
 @query("q_search_context_boost", SEARCH + " SELECT node_id, " + _bonus_sql(["brand"]).replace("AS DOUBLE)", "+ (CASE WHEN path = 'part/7' AND kind NOT IN ('File', 'Test') THEN 1000 ELSE 0 END) AS DOUBLE)"))
 def _(t):
     return search.bonuses(search.search_documents(t.nodes), "brand", ["part/7"])
@@ -444,14 +454,14 @@ def _(t):
 
 @query("q_dead_exports_reachable", REACHABLE + f" SELECT id FROM nodes WHERE kind IN ('Function', 'Class') AND {EXPORTED} AND id NOT IN (SELECT dst FROM edges WHERE kind = 'CALLS') AND id NOT IN (SELECT id FROM sy)")
 def _(t):
-    nodes, edges = written(t.nodes, "nodes"), written(t.edges, "edges")
+    nodes, edges = t.nodes, t.edges
     entry = nodes.where("kind = 'File' AND path IN ('part/7', 'part/23')").select("id")
     return checks.unused_exports(nodes, edges, reachable=traverse.reachable_symbols(nodes, edges, entry))
 
 
 @query("q_unused_files", _reach_sql("('IMPORTS_FROM')", True, "SELECT 'file:part/7' AS id", None) + " SELECT id FROM nodes WHERE kind = 'File' AND id IN (SELECT src FROM edges WHERE kind = 'CONTAINS') AND id NOT IN (SELECT dst FROM edges WHERE kind = 'IMPORTS_FROM') AND id NOT IN (SELECT id FROM r)")
 def _(t):
-    return checks.unused_files(written(t.nodes, "nodes"), written(t.edges, "edges"), t.spark.createDataFrame([("file:part/7",)], "id string"))
+    return checks.unused_files(t.nodes, t.edges, t.spark.createDataFrame([("file:part/7",)], "id string"))
 
 
 @query("q_untested_surface", f" SELECT id FROM nodes WHERE kind IN ('Function', 'Method', 'Macro') AND {EXPORTED} AND id NOT IN (SELECT src FROM edges WHERE kind = 'TESTED_BY')")

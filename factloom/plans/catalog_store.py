@@ -193,14 +193,14 @@ LIMITED = f", st AS ({_most(IMPORT_KINDS, 'dst')}), l1 AS (SELECT src AS id, min
 @query("q_importers_first", LIMITED + " SELECT id, 0 AS depth, true AS truncated FROM st UNION ALL SELECT id, 1, true FROM (SELECT id FROM l1 ORDER BY k LIMIT 9) y")
 def _(t):
     start = written(_start(t, list(traverse.IMPORTS), "dst"), "start").withColumn("pos", F.lit(0))
-    found, truncated = traverse.reach_limited(t.nodes, written(t.edges, "edges"), start, traverse.IMPORTS, False, 3, 10)
+    found, truncated = traverse.reach_limited(t.nodes, t.edges, start, traverse.IMPORTS, False, 3, 10)
     return found.select("id", "depth").withColumn("truncated", F.lit(truncated))
 
 
 @query("q_impact_limited", ", im AS (SELECT src AS id, min(kind || ' ' || src) AS k FROM edges WHERE kind IN " + IMPORT_KINDS + " AND dst = 'file:part/7' AND src <> 'file:part/7' GROUP BY src) SELECT 'file:part/7' AS id, 'file' AS role, true AS truncated UNION ALL SELECT id, 'file', true FROM (SELECT id FROM im ORDER BY k LIMIT 7) y")
 def _(t):
     paths = t.spark.createDataFrame([("no/such", 0), ("part/7", 1)], "path string, pos int")
-    found, truncated = impact.impact_limited(written(t.nodes, "nodes"), written(t.edges, "edges"), paths, 3, 8)
+    found, truncated = impact.impact_limited(t.nodes, t.edges, paths, 3, 8)
     return found.select("id", "role").withColumn("truncated", F.lit(truncated))
 
 
@@ -211,7 +211,7 @@ def _(t):
   SELECT id, role, (SELECT count(*) FROM al) > 12 AS truncated FROM (SELECT * FROM al ORDER BY phase, k LIMIT 12) y""")
 def _(t):
     paths = t.spark.createDataFrame([("part/7", 0)], "path string, pos int")
-    found, truncated = impact.impact_limited(written(t.nodes, "nodes"), written(t.edges, "edges"), paths, 0, 12)
+    found, truncated = impact.impact_limited(t.nodes, t.edges, paths, 0, 12)
     return found.select("id", "role").withColumn("truncated", F.lit(truncated))
 
 

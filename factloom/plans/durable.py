@@ -47,5 +47,8 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def clear(spark: SparkSession) -> None:
     """Delete all intermediate tables that this process has made; results not yet written are lost with them."""
+    from factloom.sources import star
+
+    star._stored.clear()
     while _made:
         delete(spark, _made.pop())

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.llm import kernel as K
-from factloom.llm.shared import delete, new_path, plain_columns, small_arrow_batches
+from factloom.llm.shared import arrow_batches, delete, new_path, plain_columns, small_arrow_batches
 
 END_ID = 1
 CHUNK = {"least": 64, "mask_bits": 9, "most": 4096}
@@ -215,9 +215,9 @@ def merkle(recipes: DataFrame) -> DataFrame:
 def write_store(docs: DataFrame, vocabulary: str, path: str) -> None:
     """Encode all documents into the store at `path`."""
     spark = docs.sparkSession
-    small_arrow_batches(spark, 1000, 8 << 20)
     zipped = {"compression": "zstd"}
-    encoded(plain_columns(docs, "doc_id", "text"), vocabulary).write.options(**zipped).parquet(f"{path}/encoded")
+    with arrow_batches(spark, 1000, 8 << 20):  # a batch's pieces are encoded once
+        encoded(plain_columns(docs, "doc_id", "text"), vocabulary).write.options(**zipped).parquet(f"{path}/encoded")
     staged = spark.read.parquet(f"{path}/encoded")
     chunks = staged.select(F.explode(F.arrays_zip("digests", "chunks")).alias("c")).select(F.col("c.digests").alias("digest"), F.col("c.chunks").alias("ids"))
     once = chunks.dropDuplicates(["digest"]).withColumn("n", (F.octet_length("ids") / 2).cast("int"))

@@ -37,12 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import kernel as K
-from factloom.llm.shared import plain_columns, small_arrow_batches, written
+from factloom.llm.shared import plain_columns, released, small_arrow_batches, written
 
 GRAM = 64
-FLUSH = 400_000
+FLUSH = 300_000
 FLAG_BYTES = 32 << 20
-RANGE_ENTRIES = 1_000_000
+RANGE_ENTRIES = 600_000
 #: Bytes looked at together: each needs about a hundred bytes of a worker.
 SLICE_BYTES = 1 << 19
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -241,6 +241,7 @@ def unpacked(row: bytes) -> np.ndarray:
 def by_key(as_runs: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows (bucket, pairs) to a row (key, places) for each key; as runs, first and last of places in a row."""
 
+    @released
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in held_by_range(batches):
             pairs = np.concatenate([unpacked(x) for x in rows])
@@ -264,6 +265,7 @@ def answered(source: DataFrame, entries: Callable[[Iterator[pa.RecordBatch]], It
     """
     names = ["range", "entries", "bucket", "pairs"]
 
+    @released
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> Iterator[pa.RecordBatch]:
             e, twice = by_name(np.concatenate(held))
@@ -293,6 +295,7 @@ def answered(source: DataFrame, entries: Callable[[Iterator[pa.RecordBatch]], It
         if size:
             yield from flush()
 
+    @released
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rest() -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -369,6 +372,7 @@ def repeated_starts(docs: DataFrame, size: int) -> DataFrame:
     with_whole = joined(texts, answered(texts, blocks, ranges), "whole", "left")
     with_active = joined(with_whole, answered(with_whole, asking, ranges), "active", "left")
 
+    @released
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, keys, (near, whole, active) in each_text(batches, 3):
             x = Repeated(s, size, near)
@@ -448,6 +452,7 @@ def remove_repeats(docs: DataFrame, *, size: int = 400) -> DataFrame:
     hint = F.broadcast if weight <= FLAG_BYTES else (lambda x: x)
     rows = keyed.join(hint(flags), F.col("key") == F.col("f_key"), "left").select("doc_id", "text", "settled", "places", "copied")
 
+    @released
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []

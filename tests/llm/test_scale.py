@@ -149,7 +149,10 @@ def test_defined_results_of_scans_and_pages(spark):
 def test_pipeline_stages_take_any_rows(spark, tmp_path):
     import corpus_pipeline
 
-    good = " ".join(f"the house of word{i} and the garden that was there for" for i in range(30))
+    from factloom.llm.quality import quality
+
+    every = spark.read.parquet(f"{SF}/documents.parquet")
+    good = every.join(quality(every).where("kept"), "doc_id", "left_semi").orderBy("doc_id").first()["text"]
     rows = [(1, good, "en", "a", 5, 1), (1, good, "en", "a", 5, 1), (2, None, None, None, None, 2), (3, "", "en", None, 0, 3), (None, good + " more", "en", "b", 7, 4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size long")
     for some in (docs, docs.limit(0)):

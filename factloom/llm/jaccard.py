@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm import kernel as K
 from factloom.llm.components import components, joined
-from factloom.llm.shared import plain_columns, small_arrow_batches, written
+from factloom.llm.shared import plain_columns, released, small_arrow_batches, written
 
 #: Shingles that come last in the order: found as repeated within a task, and then this often overall.
 OFTEN, OFTEN_IN_TASK, OFTEN_MOST = 32, 2, 400_000
@@ -67,6 +67,7 @@ def document_sets(docs: DataFrame, width: int) -> DataFrame:
     Only the first copy of a set in a task has its sketch.
     """
 
+    @released
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen = [], 0, set()
         null = lambda n, kind: pa.nulls(n, kind)
@@ -130,6 +131,7 @@ def prefix_parts(docs: DataFrame, width: int, percent: int, last: np.ndarray, ra
     """Rows (range, entries): prefix entries (token, group, place in the order) packed as bytes; and rows (group, sid, n) with range -1."""
     spread = docs.sparkSession.sparkContext.broadcast(last)
 
+    @released
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, seen, groups = spread.value, set(), set()
         names = ["range", "entries", "grp", "sid", "n"]
@@ -184,6 +186,7 @@ def prefix_parts(docs: DataFrame, width: int, percent: int, last: np.ndarray, ra
 def shared_tokens(parts: DataFrame) -> DataFrame:
     """Entries (token, grp, pos) whose token is in the prefix of two groups or more; rows (grp, sid, n) of members go through."""
 
+    @released
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["token", "grp", "pos", "sid", "n"]
         held: dict[int, list[bytes]] = {}
@@ -243,6 +246,7 @@ def whole_sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
     w = wanted.select(F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash"), "sid")
     chosen = d.join(hint(w), d["doc_id"].eqNullSafe(w["w_id"]) & (d["text_hash"] == w["w_hash"])).select("sid", "text")
 
+    @released
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in K.slices(batch.column(1)):
@@ -271,6 +275,7 @@ class Verifier:
         """Those of the pairs (a, b) whose similarity is high enough."""
         percent = self.percent
 
+        @released
         def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 on = []
@@ -279,6 +284,7 @@ class Verifier:
                     on.append(100 * common >= percent * (m + n - common))
                 yield pa.record_batch(batch.columns[:2], names=["a", "b"]).filter(pa.array(on, pa.bool_()))
 
+        @released
         def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 on = []

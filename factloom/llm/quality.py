@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import kernel as K
-from factloom.llm.shared import plain_columns, small_arrow_batches
+from factloom.llm.shared import plain_columns, released, small_arrow_batches
 
 #: Common words of each language that has a reference.
 COMMON = {
@@ -170,6 +170,7 @@ def references(docs: DataFrame, limits: Limits) -> dict[str, tuple[np.ndarray, n
     """
     bins = len(COMMON["en"]) + 1
 
+    @released
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, chars, common = tables(), np.zeros((len(LANGS), N_CLASS), np.int64), np.zeros((len(LANGS), bins), np.int64)
         for batch in batches:
@@ -233,6 +234,7 @@ def quality(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     small_arrow_batches(docs.sparkSession)
     refs = references(docs, limits)
 
+    @released
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = tables()
         for batch in batches:
@@ -255,6 +257,7 @@ def keep_good(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     refs = references(plain_columns(docs, "doc_id", "lang", "text"), limits)
     lang, text = docs.columns.index("lang"), docs.columns.index("text")
 
+    @released
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = tables()
         for batch in batches:

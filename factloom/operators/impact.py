@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.paths import path_from_id
 from factloom.functions.text import json_flag
-from factloom.operators.traverse import IMPORTS, contained, reach, reach_limited
+from factloom.operators.traverse import IMPORTS, reach, reach_limited
 from factloom.plans.durable import written
 
 
@@ -23,15 +23,17 @@ def impact(nodes: DataFrame, edges: DataFrame, paths: DataFrame, max_depth: int
     starts = nodes.where("kind = 'File'").join(paths.select("path"), "path", "left_semi").select("id")
     files = reach(nodes, edges, starts, IMPORTS, False, max_depth).select("id")
     files = nodes.where("kind = 'File'").join(files, "id", "left_semi").select("id")
-    inside = contained(nodes, edges, files)
-    known = nodes.join(files.unionByName(inside).distinct(), "id", "left_semi")
-    symbols = known.where((F.col("kind") != "File") & ~is_test()).select("id")
+    inside = reach(nodes, edges, files, ("CONTAINS",), True, None).select("id")
+    facts = nodes.select("id", "kind", "path", is_test().alias("test"))
+    known = written(facts.join(inside, "id", "left_semi"), "impact")
+    symbols = known.where((F.col("kind") != "File") & ~F.coalesce("test", F.lit(False))).select("id")
     tests = edges.where("kind = 'TESTED_BY'").join(symbols.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-    tests = nodes.join(tests, "id", "left_semi").select("id", F.coalesce("path", path_from_id(F.col("id"))).alias("path"))
-    test_files = nodes.where("kind = 'File'").join(tests.select("path").distinct(), "path", "left_semi").select("id")
-    every = nodes.join(known.select("id").unionByName(tests.select("id")).unionByName(test_files).distinct(), "id", "left_semi")
-    role = F.when(F.col("kind") == "File", "file").when(is_test(), "test").otherwise("symbol")
-    return every.select("id", role.alias("role"), F.coalesce("path", path_from_id(F.col("id"))).alias("path"))
+    tests = written(facts.join(tests, "id", "left_semi"), "impact")
+    paths_of_tests = tests.select(F.coalesce("path", path_from_id(F.col("id"))).alias("path")).distinct()
+    test_files = facts.where("kind = 'File'").join(paths_of_tests, "path", "left_semi").select("id", "kind", "path", "test")
+    role = F.when(F.col("kind") == "File", "file").when(F.col("test"), "test").otherwise("symbol")
+    every = known.unionByName(tests).unionByName(test_files)
+    return every.select("id", role.alias("role"), F.coalesce("path", path_from_id(F.col("id"))).alias("path")).distinct()
 
 
 def _descendants(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:

@@ -1,18 +1,44 @@
-"""Ranked search: an inverted index by explode, BM25 over weighted columns, bonuses and a deterministic top k."""
+"""Ranked search: BM25 over weighted columns, bonuses and a deterministic top k.
+
+Every function takes search documents, which it reads in one pass, or an `Index` of them. An index is written once and holds
+postings in order of their terms, so a query reads the row groups of its words and the documents that hold them all.
+"""
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.paths import basename
 from factloom.functions.text import json_text, searchable
+from factloom.plans.durable import written
 
 #: Column weights, kind bonuses and text bonuses: fixed values.
 WEIGHTS = {"name": 10.0, "qualified_name": 6.0, "file_path": 3.0, "signature": 1.0}
 KIND_BONUS = {"Class": 320, "Function": 280, "Type": 240, "Test": -400, "File": -500}
 EQUAL, TOKEN, SUBSTRING, LEADING, CONTEXT = 160, 120, 80, 90, 1000
 K1, B = 1.2, 0.75
+#: Hits up to which they go to all tasks that read documents; beyond it both sides are shuffled.
+FEW_HITS = 100_000
+
+
+class Index(NamedTuple):
+    """Written tables of search documents with unique ids."""
+
+    docs: DataFrame
+    postings: DataFrame  # (term, node_id, tf, length): a term's weighted count in a document, and the document's length
+    totals: DataFrame  # one row (n, mean)
+
+
+def build_index(docs: DataFrame) -> Index:
+    """An index of `docs`, in the shared folder. Documents with one term are dealt by their ids, so no task holds a hot term."""
+    docs = written(docs, "search")
+    weighted = F.concat(*(F.transform(_tokens(c), _weighted(w)) for c, w in WEIGHTS.items()))
+    each = docs.select("node_id", _length().alias("length"), F.inline(weighted))
+    postings = each.groupBy("term", "node_id", "length").agg(F.sum("w").alias("tf")).select("term", "node_id", "tf", "length").sortWithinPartitions("term")
+    return Index(docs, written(postings, "postings"), written(docs.agg(F.count("*").alias("n"), F.avg(_length()).alias("mean")), "totals"))
 
 
 def search_documents(nodes: DataFrame) -> DataFrame:
@@ -37,46 +63,76 @@ def _tokens(column: str) -> Column:
     return F.array_remove(F.split(F.lower(column), " "), "")
 
 
+def _weighted(weight: float):
+    return lambda x: F.struct(x.alias("term"), F.lit(weight).alias("w"))
+
+
 def _is(word: str):
     return lambda x: x == F.lit(word)
 
 
-def matches(docs: DataFrame, query: str) -> DataFrame:
+def _rows(docs: DataFrame | Index) -> DataFrame:
+    return docs.docs if isinstance(docs, Index) else docs
+
+
+def _hits(index: Index, words: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(node_id, length, tf0, ...) of documents with all words, written; and one row n, mean, df0, ..."""
+    found = index.postings.where(F.col("term").isin(words))
+    tf = [F.max(F.when(F.col("term") == w, F.col("tf"))).alias(f"tf{i}") for i, w in enumerate(words)]
+    hits = found.groupBy("node_id").agg(F.max("length").alias("length"), *tf).dropna()
+    df = found.agg(*(F.count(F.when(F.col("term") == w, 1)).alias(f"df{i}") for i, w in enumerate(words)))
+    hits = written(hits, "hits")
+    return F.broadcast(hits) if hits.count() <= FEW_HITS else hits, index.totals.join(F.broadcast(df))
+
+
+def matches(docs: DataFrame | Index, query: str) -> DataFrame:
     """Documents that hold all the query's words, in any column. A query without words matches nothing."""
     words = query_tokens(query)
     if not words:
-        return docs.limit(0)
+        return _rows(docs).limit(0)
+    if isinstance(docs, Index):
+        return docs.docs.join(_hits(docs, words)[0].select("node_id"), "node_id", "left_semi")
     every = F.array_distinct(F.concat(*(_tokens(c) for c in WEIGHTS)))
     return docs.where(F.size(F.array_except(F.array(*map(F.lit, words)), every)) == 0)
 
 
-def _statistics(docs: DataFrame, words: list[str]) -> DataFrame:
-    """One row: n, mean, and df0, df1, ... of the words."""
+def _measured(docs: DataFrame | Index, words: list[str]) -> DataFrame:
+    """Matching documents with length, tf0, ..., and n, mean, df0, ... of all documents; one row reaches the join."""
+    if isinstance(docs, Index) and words:
+        hits, totals = _hits(docs, words)
+        return docs.docs.join(hits, "node_id").join(F.broadcast(totals))
+    docs = _rows(docs)
+    found = matches(docs, " ".join(words)).select("*", _length().alias("length"), *(_tf(w).alias(f"tf{i}") for i, w in enumerate(words)))
     has = [F.arrays_overlap(F.concat(*(_tokens(c) for c in WEIGHTS)), F.array(F.lit(w))).cast("long") for w in words]
-    return docs.agg(F.count("*").alias("n"), F.avg(_length()).alias("mean"), *(F.sum(h).alias(f"df{i}") for i, h in enumerate(has)))
+    totals = docs.agg(F.count("*").alias("n"), F.avg(_length()).alias("mean"), *(F.sum(h).alias(f"df{i}") for i, h in enumerate(has)))
+    return found.join(F.broadcast(totals))
 
 
 def _length() -> Column:
     return sum((F.size(_tokens(c)) for c in WEIGHTS), F.lit(0))
 
 
+def _tf(word: str) -> Column:
+    return sum((F.size(F.filter(_tokens(c), _is(word))) * F.lit(weight) for c, weight in WEIGHTS.items()), F.lit(0.0))
+
+
 def _bm25(words: list[str]) -> Column:
-    """The score of a document, by its columns and those of `_statistics`."""
+    """The score of a document, by the columns of `_measured`."""
     score = F.lit(0.0)
-    for i, w in enumerate(words):
-        tf = sum((F.size(F.filter(_tokens(c), _is(w))) * F.lit(weight) for c, weight in WEIGHTS.items()), F.lit(0.0))
+    for i in range(len(words)):
+        tf = F.col(f"tf{i}")
         idf = F.greatest(F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)), F.lit(1e-6))
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * _length() / F.col("mean")))
+        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     return score
 
 
-def bm25(docs: DataFrame, query: str) -> DataFrame:
+def bm25(docs: DataFrame | Index, query: str) -> DataFrame:
     """(node_id, bm25) of matching documents: weighted term counts over all columns, higher is better.
 
-    Document counts and the mean length are of the whole index; no global sort, and one row reaches the join.
+    Document counts and the mean length are of all documents, matching or not.
     """
     words = query_tokens(query)
-    return matches(docs, query).join(F.broadcast(_statistics(docs, words))).select("node_id", _bm25(words).alias("bm25"))
+    return _measured(docs, words).select("node_id", _bm25(words).alias("bm25"))
 
 
 def _text_bonus(column: Column, query: str) -> Column:
@@ -96,31 +152,30 @@ def _bonus(query: str, context_files: list[str] | None) -> Column:
     return (kind + text + leading + near).cast("double")
 
 
-def bonuses(docs: DataFrame, query: str, context_files: list[str] | None = None) -> DataFrame:
+def bonuses(docs: DataFrame | Index, query: str, context_files: list[str] | None = None) -> DataFrame:
     """(node_id, bonus): by kind, by how the query sits in the columns, and for files in context."""
     return matches(docs, query).select("node_id", _bonus(query, context_files).alias("bonus"))
 
 
-def match_columns(docs: DataFrame, query: str) -> DataFrame:
+def match_columns(docs: DataFrame | Index, query: str) -> DataFrame:
     """(node_id, columns): names of the columns that hold the query, comma-joined."""
     joined = " ".join(query_tokens(query))
     return matches(docs, query).select("node_id", F.concat_ws(",", *(F.when(F.lower(c).contains(joined), F.lit(c)) for c in WEIGHTS)).alias("columns"))
 
 
-def search(docs: DataFrame, query: str, *, limit: int = 20, context_files: list[str] | None = None) -> DataFrame:
+def search(docs: DataFrame | Index, query: str, *, limit: int = 20, context_files: list[str] | None = None) -> DataFrame:
     """(rank, node_id, kind, path, score): by score, then path (null first), kind, qualified name and id; ranks are 1..limit."""
     words = query_tokens(query)
-    found = matches(docs, query).join(F.broadcast(_statistics(docs, words)))
-    scored = found.select("node_id", "kind", "path", "qualified_name", F.round(_bm25(words) + _bonus(query, context_files), 6).alias("score"))
+    scored = _measured(docs, words).select("node_id", "kind", "path", "qualified_name", F.round(_bm25(words) + _bonus(query, context_files), 6).alias("score"))
     order = [F.desc("score"), F.asc_nulls_first("path"), "kind", "qualified_name", "node_id"]
     top = scored.orderBy(*order).limit(limit)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select("rank", "node_id", "kind", "path", "score")
 
 
-def search_summary(docs: DataFrame, query: str, limit: int = 20) -> DataFrame:
+def search_summary(docs: DataFrame | Index, query: str, limit: int = 20) -> DataFrame:
     """One row: total matches, returned, distinct kinds of the index, comma-joined."""
     total = matches(docs, query).agg(F.count("*").alias("total"))
-    kinds = docs.agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
+    kinds = _rows(docs).agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
     return total.join(F.broadcast(kinds)).select("total", F.least("total", F.lit(limit)).cast("long").alias("returned"), "kinds")
 
 

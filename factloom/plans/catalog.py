@@ -11,7 +11,7 @@ from factloom.functions.text import line_count
 from factloom.operators import checks, clones, framework, impact, metrics, search, select, traverse
 from factloom.plans.durable import new_path, written
 from factloom.sources import repo
-from factloom.sources.star import oracle_views, stored, view
+from factloom.sources.star import once, oracle_views, stored, view
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,6 +27,11 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return stored(self.spark, self.sf_dir, name) if name in ("nodes", "edges") else view(self.spark, self.sf_dir, name)
 
+    @property
+    def search_index(self) -> search.Index:
+        """The search index of the folder's nodes, written once for each application, as the nodes are."""
+        return once(self.spark, self.sf_dir, "search", lambda: search.build_index(search.search_documents(self.nodes)))
+
 
 def query(name: str, sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], Callable[[Tables], DataFrame]]:
     """Register a query on Tables; `sql` follows the views' WITH clause: `, more AS (...) SELECT ...`."""
@@ -328,7 +333,7 @@ SEARCH_QUERY = "Brand 13"
 
 @query("q_search_match", SEARCH + " SELECT node_id, kind FROM tk WHERE list_contains(tokens, 'brand') AND list_contains(tokens, '13')")
 def _(t):
-    return search.matches(search.search_documents(t.nodes), SEARCH_QUERY).select("node_id", "kind")
+    return search.matches(t.search_index, SEARCH_QUERY).select("node_id", "kind")
 
 
 def _bonus_sql(words: list[str]) -> str:
@@ -342,12 +347,12 @@ def _bonus_sql(words: list[str]) -> str:
 
 @query("q_search_bonus", SEARCH + f" SELECT node_id, {_bonus_sql(['brand', '13'])}")
 def _(t):
-    return search.bonuses(search.search_documents(t.nodes), SEARCH_QUERY)
+    return search.bonuses(t.search_index, SEARCH_QUERY)
 
 
 @query("q_search_columns", SEARCH + " SELECT node_id, concat_ws(',', " + ", ".join(f"CASE WHEN contains(lower({c}), 'brand 13') THEN '{c}' END" for c in search.WEIGHTS) + ") AS columns FROM tk WHERE list_contains(tokens, 'brand') AND list_contains(tokens, '13')")
 def _(t):
-    return search.match_columns(search.search_documents(t.nodes), SEARCH_QUERY)
+    return search.match_columns(t.search_index, SEARCH_QUERY)
 
 
 def _rank_sql(words: list[str], limit: int) -> str:
@@ -363,27 +368,27 @@ def _rank_sql(words: list[str], limit: int) -> str:
 
 @query("q_search_rank", _rank_sql(["brand", "13"], 20))
 def _(t):
-    return search.search(search.search_documents(t.nodes), SEARCH_QUERY).withColumn("score", F.round("score", 4))
+    return search.search(t.search_index, SEARCH_QUERY).withColumn("score", F.round("score", 4))
 
 
 @query("q_search_rank_many", _rank_sql(["brand"], 20))
 def _(t):
-    return search.search(search.search_documents(t.nodes), "brand").withColumn("score", F.round("score", 4))
+    return search.search(t.search_index, "brand").withColumn("score", F.round("score", 4))
 
 
 @query("q_search_rank_names", _rank_sql(["supply7", "part"], 15))
 def _(t):
-    return search.search(search.search_documents(t.nodes), "supply7 part", limit=15).withColumn("score", F.round("score", 4))
+    return search.search(t.search_index, "supply7 part", limit=15).withColumn("score", F.round("score", 4))
 
 
 @query("q_search_context_boost", SEARCH + " SELECT node_id, " + _bonus_sql(["brand"]).replace("AS DOUBLE)", "+ (CASE WHEN path = 'part/7' AND kind NOT IN ('File', 'Test') THEN 1000 ELSE 0 END) AS DOUBLE)"))
 def _(t):
-    return search.bonuses(search.search_documents(t.nodes), "brand", ["part/7"])
+    return search.bonuses(t.search_index, "brand", ["part/7"])
 
 
 @query("q_search_summary", SEARCH + " SELECT count(*) AS total, CAST(least(count(*), 20) AS BIGINT) AS returned, (SELECT string_agg(DISTINCT kind, ',' ORDER BY kind) FROM sd) AS kinds FROM tk WHERE list_contains(tokens, 'brand') AND list_contains(tokens, '13')")
 def _(t):
-    return search.search_summary(search.search_documents(t.nodes), SEARCH_QUERY)
+    return search.search_summary(t.search_index, SEARCH_QUERY)
 
 
 @query("q_search_incremental", SEARCH + " SELECT node_id, kind, path, name FROM sd")

@@ -7,12 +7,16 @@ all orders and line items.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.plans.durable import new_path
 
+T = TypeVar("T")
+
 #: Views by name; each is SQL that Spark and DuckDB both run over the driver's tables.
 VIEWS = {
     "seq": """SELECT o, n, p, s, f, lead(p) OVER (PARTITION BY o ORDER BY n, p, s) AS np, lead(s) OVER (PARTITION BY o ORDER BY n, p, s) AS ns
@@ -80,22 +84,31 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql, **{n: view(spark, sf_dir, n) for n in NEEDS[name]})
 
 
-_stored: dict[tuple[str, str, str], str] = {}
+_stored: dict[tuple[str, str, str], object] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], T]) -> T:
+    """What `make` gives for a folder, made once for each application. What changes in the folder later isn't seen."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _stored:
+        _stored[key] = make()
+    return _stored[key]
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The nodes or edges of a folder, built once for each application into the shared folder, as a fact store is: by kind, in order of ids.
 
-    A query by kind reads that kind's files alone, and one by ids skips row groups. What changes in the folder later isn't seen.
+    A query by kind reads that kind's files alone, and one by ids skips row groups.
     """
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _stored:
+
+    def make() -> str:
         path = new_path(spark, name)
         df = view(spark, sf_dir, name)
         df.repartition("kind", F.hash("id") % 8).sortWithinPartitions("kind", "dst" if name == "edges" else "id").write.partitionBy("kind").parquet(path)
-        _stored[key] = path
+        return path
+
     columns = ["id", "kind", "src", "dst"] if name == "edges" else ["id", "kind", "path", "name", "attributes"]
-    return spark.read.schema(", ".join(f"{c} string" for c in columns)).parquet(_stored[key]).select(*columns)
+    return spark.read.schema(", ".join(f"{c} string" for c in columns)).parquet(once(spark, sf_dir, name, make)).select(*columns)
 
 
 def oracle_views() -> str:

@@ -38,20 +38,31 @@ def _steps(nodes: DataFrame, edges: DataFrame, kinds: Sequence[str] | None, outw
     return steps.join(nodes.select(F.col("id").alias("b")), "b", "left_semi")
 
 
+#: Ids of a level, and bytes in them, up to which they are sent to all tasks.
+FEW_IDS, FEW_BYTES = 200_000, 16 << 20
+
+
+def existing(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """(id) of a written table of distinct ids whose nodes exist. Few ids go to the nodes, which then aren't shuffled."""
+    n, size = found.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("id")), F.lit(0))).first()
+    if n <= FEW_IDS and size <= FEW_BYTES:
+        return nodes.select("id").join(F.broadcast(found.select("id")), "id", "left_semi").distinct()
+    return found.select("id").join(nodes.select("id"), "id", "left_semi")
+
+
 def reach(nodes: DataFrame, edges: DataFrame, starts: DataFrame, kinds: Sequence[str] | None, outward: bool, max_depth: int | None) -> DataFrame:
     """(id, depth) of nodes within `max_depth` steps of the starts (id); None: as far as it goes."""
     e = edges if kinds is None else edges.where(F.col("kind").isin(list(kinds)))
     a, b = ("src", "dst") if outward else ("dst", "src")
     steps = e.select(F.col(a).alias("a"), F.col(b).alias("b"))
-    known = nodes.select("id")
-    front = written(starts.select("id").distinct().join(known, "id", "left_semi").select("id", F.lit(0).alias("depth")), "reach")
+    front = written(existing(nodes, written(starts.select("id").distinct(), "starts")).select("id", F.lit(0).alias("depth")), "reach")
     seen, depth = front, 0
     while max_depth is None or depth < max_depth:
         depth += 1
         # The frontier meets the edges first: what is made distinct and looked up is only what a level finds.
         new = front.join(steps, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct()
-        new = new.join(seen.select("id"), "id", "left_anti").join(known, "id", "left_semi")
-        front = written(new.select("id", F.lit(depth).alias("depth")), "reach")
+        new = written(new.join(seen.select("id"), "id", "left_anti"), "found")
+        front = written(existing(nodes, new).select("id", F.lit(depth).alias("depth")), "reach")
         if front.isEmpty():
             break
         seen = seen.unionByName(front)

@@ -141,3 +141,14 @@ def test_cycles_of_large_and_dense_components(spark):
     assert found == expected and len(expected) > 20
     large = traverse.component_cycles(edges, both).where("component = 'r000000'").collect()
     assert [(r["cycle"][:18], r["cycle"].count(" -> ")) for r in large] == [("r000000 -> r000001", 110_000)]
+
+
+def test_levels_beyond_what_is_broadcast(spark, monkeypatch):
+    n, e = graph(spark, BASE_NODES, BASE_EDGES)
+    n = n.unionByName(n)  # repeated nodes
+    start = n.where("kind = 'File'").select("id")
+    few = sorted(map(tuple, traverse.reach(n, e, start, None, True, None).collect()))
+    monkeypatch.setattr(traverse, "FEW_IDS", 0)
+    assert sorted(map(tuple, traverse.reach(n, e, start, None, True, None).collect())) == few
+    assert len({x for x, _ in few}) == len(few) > 0
+    assert traverse.reach(n, e, start.limit(0), None, True, None).count() == 0

@@ -14,7 +14,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -154,10 +156,12 @@ def scan_text(text: str, limit: float) -> Found:
     counts.append(len(spans) - sum(counts))
     base = joined(spans)
     covered = sorted((a, b) for a, _, b in spans)
+    begins, ends = [a for a, _ in covered], list(accumulate((b for _, b in covered), max))
     for m in CONTEXT.finditer(text):
         g = next(i for i in (1, 2, 3) if m[i] is not None)
         a, b = m.span(g)
-        if not any(x < b and a < y for x, y in covered) and is_secret_value(m[g], limit):
+        before = bisect_left(begins, b)  # base spans that begin before the value ends
+        if (not before or ends[before - 1] <= a) and is_secret_value(m[g], limit):
             spans.append((a, 3, b))
     return Found(spans, counts, base)
 

@@ -1,6 +1,7 @@
 """What only shows with many partitions, hot keys, large counts and long or broken inputs."""
 
 import math
+import random
 import time
 from collections import Counter
 
@@ -172,3 +173,18 @@ def test_session_bounds_only_shrink(spark, name):
     queries.QUERIES[name](spark, SF).count()
     assert spark.conf.get(key) == "40"
     spark.conf.set(key, before)
+
+
+def test_secrets_among_many_base_spans():
+    words = ["secret=abcd1234", "pwd: Xk9$mQ2!vT", "passphrase=" + "f" * 40, "AKIA" + "B7" * 10, "token: 'QxZ vTk LmW pRn'", "plain"]
+    rng = random.Random(3)
+    text = " ".join(rng.choice(words) for _ in range(400))
+    found = secrets.scan_text(text, 8.0)
+    base = [(a, b) for a, k, b in found.spans if k < 3]
+    want = []
+    for m in secrets.CONTEXT.finditer(text):
+        a, b = m.span(next(i for i in (1, 2, 3) if m[i] is not None))
+        if not any(x < b and a < y for x, y in base) and secrets.guess_cost(text[a:b]) >= 8.0:
+            want.append((a, b))
+    assert [(a, b) for a, k, b in sorted(found.spans) if k == 3] == want and want
+    assert len(secrets.scan_text("secret=abcd1234 pwd: banana1 " * 50_000, 8.0).spans) == 50_000

@@ -4,6 +4,7 @@ import random
 from collections import deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.operators import impact, select, traverse
 
@@ -152,3 +153,20 @@ def test_levels_beyond_what_is_broadcast(spark, monkeypatch):
     assert sorted(map(tuple, traverse.reach(n, e, start, None, True, None).collect())) == few
     assert len({x for x, _ in few}) == len(few) > 0
     assert traverse.reach(n, e, start.limit(0), None, True, None).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_cycles_of_one_component_are_many_tasks_work(spark, monkeypatch, seed):
+    monkeypatch.setattr(traverse, "BLOCK_BYTES", 300)
+    rng = random.Random(seed)
+    near = {f"é{i}" if i % 3 else f"n{i:02}": set() for i in range(40)}
+    names = list(near)
+    for i, x in enumerate(names):
+        near[x] = {names[(i + 1) % 40], *rng.sample(names, 3)} - {x}
+    edges = spark.createDataFrame([(a, b) for a in near for b in near[a]], "src string, dst string")
+    own = spark.createDataFrame([(x, "c") for x in near], "id string, component string")
+    found = traverse.component_cycles(edges, own).select("component", "cycle", F.spark_partition_id().alias("task")).collect()
+    expected = sorted(" -> ".join([*c, c[0]]) for c in traverse.cycles_of({a: list(b) for a, b in near.items()}))
+    assert sorted(r["cycle"] for r in found) == expected and {r["component"] for r in found} == {"c"}
+    assert len({r["task"] for r in found}) > 3
+    assert traverse.component_cycles(edges, own.limit(0)).count() == 0

@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.plans.durable import written
+
 TABLES = {
     "nodes": "id string, kind string, path string, name string, attributes string",
     "edges": "id string, kind string, src string, dst string",
     "file_hashes": "path string, sha256 string",
 }
 VERSION = 1
+#: Missing ends up to which they go to all tasks that read edges; buckets in which tables are compared.
+FEW_MISSING, BUCKETS = 100_000, 512
 
 
 class StoreError(Exception):
@@ -22,10 +26,33 @@ class StoreError(Exception):
 
 
 def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id) of edges with an end that doesn't exist."""
-    ids = nodes.select("id").distinct()
-    ends = edges.select(F.col("id").alias("edge"), F.explode(F.array("src", "dst")).alias("id"))
-    return ends.join(ids, "id", "left_anti").select(F.col("edge").alias("id")).distinct()
+    """(id) of edges with an end that doesn't exist. Ends are made distinct first, so edges' ids aren't shuffled with them."""
+    ends = edges.select("src").unionByName(edges.select(F.col("dst").alias("src"))).distinct()
+    missing = ends.join(nodes.select(F.col("id").alias("src")), "src", "left_anti")
+    missing = written(missing, "missing")
+    lost = F.broadcast(missing) if missing.count() <= FEW_MISSING else missing
+    return edges.join(lost, "src", "left_semi").select("id").unionByName(edges.join(lost.withColumnRenamed("src", "dst"), "dst", "left_semi").select("id")).distinct()
+
+
+def differences(a: DataFrame, b: DataFrame) -> int:
+    """Rows of either table that the other lacks, repeats counted.
+
+    Rows fall into buckets by a hash; count and sums of two more hashes of the rows are compared by bucket, and only buckets
+    that differ are compared row by row. Tables that are the same are not shuffled. Spark's hashes pass over nulls, so these are hashed too.
+    """
+    b = b.select(*a.columns)
+    bucket = F.pmod(F.hash(*a.columns), F.lit(BUCKETS))
+
+    def digest(df: DataFrame) -> DataFrame:
+        rows = df.select(bucket.alias("bucket"), *(F.xxhash64(F.lit(seed), *df.columns, *(F.col(c).isNull() for c in df.columns)).cast("decimal(38,0)").alias(f"h{seed}") for seed in (1, 2)))
+        return rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("h1").alias("h1"), F.sum("h2").alias("h2"))
+
+    x, y = ({tuple(r) for r in digest(df).collect()} for df in (a, b))  # at most BUCKETS rows
+    apart = sorted({r[0] for r in x ^ y})
+    if not apart:
+        return 0
+    a, b = (df.where(bucket.isin(apart)) for df in (a, b))
+    return a.exceptAll(b).count() + b.exceptAll(a).count()
 
 
 class FactStore:
@@ -75,7 +102,7 @@ class FactStore:
         now, snapshot = self.current(), uuid.uuid4().hex
         for name, ddl in TABLES.items():
             columns = T.StructType.fromDDL(ddl).names
-            tables[name].select(*columns).sortWithinPartitions(columns[0]).write.parquet(f"{self.root}/snapshots/{snapshot}/{name}")
+            tables[name].select(*columns).sortWithinPartitions(columns[0]).write.option("compression", "zstd").parquet(f"{self.root}/snapshots/{snapshot}/{name}")
         kinds = {t: sorted(r["kind"] for r in tables[t].select("kind").distinct().collect()) for t in ("nodes", "edges")}  # kinds are a fixed vocabulary
         meta = {"version": VERSION, "node_kinds": kinds["nodes"], "edge_kinds": kinds["edges"], **(metadata or {})}
         self._point({"sequence": (now[0] if now else 0) + 1, "snapshot": snapshot, "metadata": json.dumps(meta)})

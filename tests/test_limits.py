@@ -74,3 +74,28 @@ def test_durable_needs_a_shared_folder_off_local_mode(spark, monkeypatch):
     durable.delete(spark, durable._made.pop())
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         spark.read.parquet(made[-1])
+
+
+def test_differences_count_rows_of_both_sides(spark):
+    a = spark.createDataFrame([("a", None), ("a", None), ("b", "1"), ("c", "2")], "x string, y string")
+    b = spark.createDataFrame([("1", "b"), (None, "a"), ("3", "c"), ("4", "d")], "y string, x string")
+    assert store.differences(a, a) == store.differences(a.limit(0), a.limit(0)) == 0
+    assert store.differences(a, b) == store.differences(b, a) == a.exceptAll(b.select("x", "y")).count() + b.select("x", "y").exceptAll(a).count() == 4
+    assert store.differences(a, a.limit(0)) == 4
+
+
+def test_the_same_tables_are_not_shuffled_whole(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("rows of equal tables were compared one by one")
+
+    monkeypatch.setattr(type(spark.range(1)), "exceptAll", refuse)
+    a = spark.range(100).selectExpr("cast(id AS string) AS x", "cast(id % 7 AS string) AS y")
+    assert store.differences(a, a.repartition(3)) == 0
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_dangling_edges_by_either_end(spark, monkeypatch, few):
+    monkeypatch.setattr(store, "FEW_MISSING", few)
+    nodes = spark.createDataFrame([("a",), ("b",), ("b",)], "id string")
+    edges = spark.createDataFrame([("1", "a", "b"), ("2", "a", "x"), ("3", "x", "b"), ("4", "x", "y"), ("4", "x", "y")], "id string, src string, dst string")
+    assert sorted(r["id"] for r in store.dangling(nodes, edges).collect()) == ["2", "3", "4"]

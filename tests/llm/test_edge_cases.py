@@ -105,6 +105,21 @@ def test_suffixes(docs, spark):
     assert remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_suffixes_keep_passages_below_the_size(spark):
+    def text(k, shared):
+        return " ".join(f"d{k}a{i}" for i in range(90)) + f"{k}{shared}{k}" + " ".join(f"d{k}b{i}" for i in range(90))
+
+    # 57 words with the blanks around them; the passages of documents 1 and 2 are a byte short.
+    short, whole = (" " + " ".join(f"{p}{i:05d}" for i in range(56)) + f" {last} " for p, last in (("s", "s5600"), ("w", "w5600x")))
+    assert (len(short), len(whole), len(short.split())) == (399, 400, 57)
+    docs = spark.createDataFrame([(1, text(1, short)), (2, text(2, short)), (3, text(3, whole)), (4, text(4, whole)), (5, text(5, ""))], "doc_id long, text string")
+    for size, gone in ((400, {3: whole, 4: whole}), (399, {1: short, 2: short, 3: whole, 4: whole})):
+        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows(remove_repeats(docs, size=size))}
+        for r in rows(docs):
+            k, t, cut = r["doc_id"], r["text"], gone.get(r["doc_id"], "")
+            assert got[k] == (len(t), len(cut), int(k in gone), hashlib.sha256((t.replace(cut, "") if cut else t).encode()).hexdigest())
+
+
 def test_token_store(docs, spark, tmp_path):
     from tokenizers import Tokenizer
 

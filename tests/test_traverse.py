@@ -170,3 +170,17 @@ def test_cycles_of_one_component_are_many_tasks_work(spark, monkeypatch, seed):
     assert sorted(r["cycle"] for r in found) == expected and {r["component"] for r in found} == {"c"}
     assert len({r["task"] for r in found}) > 3
     assert traverse.component_cycles(edges, own.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_components_write_edges_again_only_if_some_are_lost(spark, monkeypatch, few):
+    names, write = [], traverse.written
+    monkeypatch.setattr(traverse, "FEW_IDS", few)
+    monkeypatch.setattr(traverse, "written", lambda df, name: names.append(name) or write(df, name))
+    ring = spark.createDataFrame([(f"n{i}", f"n{(i + 1) % 5}") for i in range(5)] + [("n0", "n3"), ("n1", "n1"), ("n0", None)], "src string, dst string")
+    assert {tuple(r) for r in traverse.cyclic_core(ring).collect()} == {(f"n{i}", f"n{(i + 1) % 5}") for i in range(5)} | {("n0", "n3")}
+    assert names.count("core") == 1
+    tail = ring.unionByName(spark.createDataFrame([("n0", "x"), ("x", "y"), ("z", "n2"), ("a", "b"), ("b", "a"), ("b", "n4")], "src string, dst string"))
+    found = {r["id"]: r["component"] for r in traverse.strong_components(tail).collect()}
+    assert found == {**{f"n{i}": "n0" for i in range(5)}, "a": "a", "b": "a"}
+    assert traverse.strong_components(ring.limit(0)).count() == 0

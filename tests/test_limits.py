@@ -99,3 +99,27 @@ def test_dangling_edges_by_either_end(spark, monkeypatch, few):
     nodes = spark.createDataFrame([("a",), ("b",), ("b",)], "id string")
     edges = spark.createDataFrame([("1", "a", "b"), ("2", "a", "x"), ("3", "x", "b"), ("4", "x", "y"), ("4", "x", "y")], "id string, src string, dst string")
     assert sorted(r["id"] for r in store.dangling(nodes, edges).collect()) == ["2", "3", "4"]
+
+
+def test_an_increment_writes_only_a_layer(spark, tmp_path):
+    """Edges that lose an end go, of edges with one id the kept one stays, and what isn't touched isn't written again."""
+    s = store.FactStore(spark, str(tmp_path / "store"))
+    node = lambda *ids: spark.createDataFrame([(i, "File" if i.startswith("file") else "Function", i.split(":")[1].split("#")[0], None, None) for i in ids], store.TABLES["nodes"])
+    edge = lambda *rows: spark.createDataFrame([(i or f"edge:{k}:{a}->{b}", k, a, b) for i, k, a, b in rows], store.TABLES["edges"])
+    hashes = lambda *rows: spark.createDataFrame(list(rows), store.TABLES["file_hashes"])
+    rows = lambda t: sorted(map(tuple, s.read(t).collect()), key=str)
+    first = edge((None, "CALLS", "function:a#f", "function:b#g"), ("own", "CALLS", "function:b#g", "function:a#f"), (None, "X", "file:a", "file:b"))
+    s.replace({"nodes": [node("file:a", "function:a#f"), node("file:b", "function:b#g")], "edges": first, "file_hashes": hashes(("a", "1"), ("b", "2"))})
+    assert rows("edges") == sorted(map(tuple, first.collect()), key=str)
+    fresh = edge(("own", "CALLS", "file:b", "file:a"), (None, "X", "file:b", "file:a"), (None, "X", "file:b", "file:a"), (None, "X", "file:b", "file:none"))
+    snapshot = s.update(node("file:b"), fresh, hashes(("b", "3")), spark.createDataFrame([("b",)], "path string"))
+    assert rows("nodes") == sorted(map(tuple, node("file:a", "file:b", "function:a#f").collect()), key=str)
+    assert rows("edges") == sorted(map(tuple, edge((None, "X", "file:a", "file:b"), (None, "X", "file:b", "file:a"), ("own", "CALLS", "file:b", "file:a")).collect()), key=str)
+    assert rows("file_hashes") == [("a", "1"), ("b", "3")]
+    assert spark.read.parquet(f"{s.root}/snapshots/{snapshot}/nodes").count() == 1
+    assert store.differences(s.read("nodes"), [node("file:a"), node("file:b", "function:a#f")]) == 0
+    # A kept edge has the same id as a new one, and a second layer.
+    s.update(node("file:b"), edge(("edge:X:file:a->file:b", "X", "file:b", "file:b")), hashes(), spark.createDataFrame([("b",)], "path string"))
+    assert rows("edges") == [("edge:X:file:a->file:b", "X", "file:a", "file:b")] and rows("file_hashes") == [("a", "1")]
+    s.update(node(), edge(), hashes(), spark.createDataFrame([("b",)], "path string"))
+    assert rows("edges") == [] and s.metadata("edge_kinds") == [] and s.metadata("node_kinds") == ["File", "Function"]
